@@ -6,6 +6,8 @@ part -> ring -> vertex, where ring 0 of a part is the shell and the others are h
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,11 +19,6 @@ RING = T.ArrayType(VERTEX)
 PARTS = T.ArrayType(T.ArrayType(RING))
 GEOMETRY = T.StructType([T.StructField("kind", T.StringType()), T.StructField("parts", PARTS)])
 
-EDGE_DDL = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
-
-# One boundary hit outweighs any possible number of ray crossings.
-_ON_EDGE = 1 << 40
-
 
 def vertex(x: Column, y: Column, z: Column | None = None) -> Column:
     return F.struct(
@@ -162,29 +159,61 @@ def is_empty(geom: Column) -> Column:
     return geom.isNull() | (F.size(rings(geom)) <= 0) | (F.size(F.flatten(rings(geom))) <= 0)
 
 
-def ray_count(edge_array: Column, px: Column, py: Column) -> Column:
-    """Crossings of the ray to the right of (px, py); huge when the point lies on an edge."""
+def banded_edges(geom: Column) -> Column:
+    """Edges cut up for point tests: ``struct<y0, h, bands array<array<double>>>``.
 
-    def step(acc, e):
-        cross = (e["x2"] - e["x1"]) * (py - e["y1"]) - (e["y2"] - e["y1"]) * (px - e["x1"])
-        on_edge = (
-            (cross == 0)
-            & (px >= F.least(e["x1"], e["x2"]))
-            & (px <= F.greatest(e["x1"], e["x2"]))
-            & (py >= F.least(e["y1"], e["y2"]))
-            & (py <= F.greatest(e["y1"], e["y2"]))
-        )
-        up, down = (e["y1"] <= py) & (e["y2"] > py), (e["y1"] > py) & (e["y2"] <= py)
-        hit = (up & (cross > 0)) | (down & (cross < 0))
-        return acc + F.when(on_edge, F.lit(_ON_EDGE)).when(hit, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    The box is sliced into about 2 sqrt(n) horizontal bands; each holds the edges that reach it
+    as flat x1, y1, x2, y2 runs. A test then looks at one band instead of the whole outline.
+    """
+    all_edges = edges(geom)
+
+    def build(es):
+        lows = F.transform(es, lambda e: F.least(e["y1"], e["y2"]))
+        highs = F.transform(es, lambda e: F.greatest(e["y1"], e["y2"]))
+        return F.struct(es.alias("es"), F.array_min(lows).alias("y0"), F.array_max(highs).alias("y1"),
+                        F.ceil(F.sqrt(F.size(es)) * 2).cast("int").alias("n"))
 
-    return F.aggregate(edge_array, F.lit(0).cast("long"), step)
+    def fill(b):
+        h = (b["y1"] - b["y0"]) / b["n"]
+        # one band of slack each side absorbs the rounding of the band index
+        reach = lambda i: F.filter(b["es"], lambda e: (F.least(e["y1"], e["y2"]) <= b["y0"] + h * (i + 1.001))
+                                   & (F.greatest(e["y1"], e["y2"]) >= b["y0"] + h * (i - 0.001)))
+        flat = lambda i: F.flatten(F.transform(reach(i), lambda e: F.array(e["x1"], e["y1"], e["x2"], e["y2"])))
+        return F.struct(b["y0"].alias("y0"), h.alias("h"),
+                        F.transform(F.sequence(F.lit(0), b["n"] - 1), flat).alias("bands"))
 
+    # one-element arrays bind the intermediate result once
+    return F.transform(F.array(build(all_edges)), fill)[0]
 
-def strictly_inside(edge_array: Column, px: Column, py: Column) -> Column:
-    """Even-odd test over all rings at once; boundary points are outside."""
-    n = ray_count(edge_array, px, py)
-    return (n < _ON_EDGE) & (n % 2 == 1)
+
+def band_at(banded: Column, py: Column) -> Column:
+    """The band a height falls in; heights must lie within the box."""
+    last = F.size(banded["bands"]) - 1
+    i = F.when(banded["h"] > 0, F.floor((py - banded["y0"]) / banded["h"])).otherwise(F.lit(0))
+    return banded["bands"][F.greatest(F.least(i.cast("int"), last), F.lit(0))]
+
+
+@F.arrow_udf(T.ByteType())
+def location(band: pa.Array, px: pa.Array, py: pa.Array) -> pa.Array:
+    """1 strictly inside, 0 on the boundary, -1 outside, by even-odd ray casting.
+
+    Tests a whole Arrow batch at once: the edges of all rows form one flat array, and each row
+    sums its own stretch.
+    """
+    offsets = np.asarray(band.offsets)
+    e = np.asarray(band.values)[offsets[0]:offsets[-1]].reshape(-1, 4)
+    n = np.diff(offsets) // 4
+    x = np.repeat(px.to_numpy(zero_copy_only=False), n)
+    y = np.repeat(py.to_numpy(zero_copy_only=False), n)
+    x1, y1, x2, y2 = e.T
+    cross = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+    up, down = (y1 <= y) & (y2 > y) & (cross > 0), (y1 > y) & (y2 <= y) & (cross < 0)
+    on = ((cross == 0) & (x >= np.minimum(x1, x2)) & (x <= np.maximum(x1, x2))
+          & (y >= np.minimum(y1, y2)) & (y <= np.maximum(y1, y2)))
+    row = np.repeat(np.arange(len(n)), n)
+    odd = np.bincount(row[up | down], minlength=len(n)) % 2 == 1
+    touching = np.bincount(row[on], minlength=len(n)) > 0
+    return pa.array(np.where(touching, 0, np.where(odd, 1, -1)).astype(np.int8))
 
 
 def proper_crossing(p1, p2, q1, q2, eps: float = 1e-9) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sliceweave.session import cut_lineage
+from sliceweave.session import materialize
 
 
 def with_position(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
@@ -16,7 +16,7 @@ def with_position(df: DataFrame, order: list[str], name: str = "pos") -> DataFra
     plans read them rather than derive them again. A non-unique order leaves ties to the sort.
     """
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    stored = cut_lineage(parts.withColumn("_id", F.monotonically_increasing_id()))
+    stored = materialize(parts.withColumn("_id", F.monotonically_increasing_id()))
     # the id is (partition << 33) + row number in the partition
     split = stored.withColumns({"_p": F.shiftright("_id", 33), "_i": F.col("_id").bitwiseAND((1 << 33) - 1)})
     sizes = split.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))

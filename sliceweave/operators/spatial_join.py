@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sliceweave.functions import geometry as G
@@ -12,10 +12,10 @@ _BOX = ["_xmin", "_ymin", "_xmax", "_ymax"]
 
 
 def filed_polygons(polygons: DataFrame, geom: str = "geometry") -> DataFrame:
-    """Polygons with their edges and box, one row per grid cell of their own level."""
+    """Polygons with their banded edges and box, one row per grid cell of their own level."""
     shaped = polygons.filter(~G.is_empty(F.col(geom))).withColumn("_box", G.bounds(F.col(geom)))
     shaped = shaped.withColumns({c: F.col(f"_box.{c[1:]}") for c in _BOX})
-    shaped = shaped.withColumn("_edges", G.edges(F.col(geom))).drop("_box", geom)
+    shaped = shaped.withColumn("_edges", G.banded_edges(F.col(geom))).drop("_box", geom)
     return grid.file_boxes(shaped, _BOX)
 
 
@@ -27,16 +27,18 @@ def polygon_levels(polygons: DataFrame, geom: str = "geometry") -> list[int]:
 
 def candidate_pairs(points: DataFrame, polygons: DataFrame, x: str, y: str, on: list[str], geom: str,
                     levels: list[int] | None = None) -> DataFrame:
-    """Points joined to the polygons whose box holds them, with the polygon's ``_edges``."""
+    """Points joined to the polygons whose box holds them, with the polygon's edges at the point's height."""
     levels = polygon_levels(polygons, geom) if levels is None else levels
     if not levels:
         levels = [0]
     probes = grid.probe_points(points, F.col(x), F.col(y), levels)
     joined = probes.join(filed_polygons(polygons, geom), [*on, "_level", "_gx", "_gy"])
-    return joined.filter(
+    boxed = joined.filter(
         (F.col(x) >= F.col("_xmin")) & (F.col(x) <= F.col("_xmax"))
         & (F.col(y) >= F.col("_ymin")) & (F.col(y) <= F.col("_ymax"))
     )
+    band = G.band_at(F.col("_edges"), F.col(y))
+    return boxed.withColumn("_edges", band).drop("_level", "_gx", "_gy", *_BOX)
 
 
 def points_within(points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y", on: list[str] = (),
@@ -47,8 +49,7 @@ def points_within(points: DataFrame, polygons: DataFrame, x: str = "x", y: str =
     has one cell per level and a polygon one level, so no pair arises twice.
     """
     pairs = candidate_pairs(points, polygons, x, y, list(on), geom, levels)
-    inside = pairs.filter(G.strictly_inside(F.col("_edges"), F.col(x), F.col(y)))
-    return inside.drop("_level", "_gx", "_gy", "_edges", *_BOX)
+    return pairs.filter(G.location("_edges", x, y) == 1).drop("_edges")
 
 
 def unique_assignment(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, **join) -> DataFrame:

@@ -9,6 +9,7 @@ from sliceweave.functions import geometry as G
 from sliceweave.operators.matrix import Matrix, attach_metadata, filter_by_counts, group_sum
 from sliceweave.operators.rings import load_features, polygons_from_vertices
 from sliceweave.operators.spatial_join import unique_assignment
+from sliceweave.session import materialize
 
 
 def cell_polygons(vertices: DataFrame, factor: float, order: list[str] | None = None) -> DataFrame:
@@ -29,11 +30,13 @@ def aggregate_bins(bins: DataFrame, x: DataFrame, var: DataFrame, polygons: Data
 
     Every polygon stays in obs, with the number of bins assigned to it.
     """
-    assigned = unique_assignment(bins, polygons, bin_key, "barcode", on=list(on))
+    # the assignment feeds both the bin counts and the group sum, and the sums feed every later
+    # filter: each is stored once rather than derived again per use
+    assigned = materialize(unique_assignment(bins, polygons, bin_key, "barcode", on=list(on)))
     per_cell = assigned.groupBy("barcode").agg(F.count(F.lit(1)).alias("num_assigned_bins"))
     obs = polygons.drop("geometry").join(per_cell, "barcode", "left")
     obs = obs.withColumn("num_assigned_bins", F.coalesce("num_assigned_bins", F.lit(0)).cast("long"))
-    summed = group_sum(x, assigned, bin_key, "barcode", var_key, value)
+    summed = materialize(group_sum(x, assigned, bin_key, "barcode", var_key, value))
     return Matrix(obs, var, summed, "barcode", var_key, value)
 
 
@@ -41,7 +44,7 @@ def bins_to_cells(vertices: DataFrame, bins: DataFrame, x: DataFrame, var: DataF
                   metadata_key: str, bin_key: str, var_key: str, value: str, factor: float, min_count: float = 1,
                   keep: bool = True) -> Matrix:
     """The whole chain; without metadata the last merge is left out."""
-    polygons = cell_polygons(vertices, factor)
+    polygons = materialize(cell_polygons(vertices, factor))
     m = aggregate_bins(bins, x, var, polygons, bin_key, var_key, value)
     m = filter_by_counts(m, min_count, keep)
     if metadata is None:
