@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 
 from sliceweave.functions import geometry as G
 from sliceweave.functions.scalar import MICRON_PER_PIXEL, PIXEL_PER_MICRON
+from sliceweave.operators import assemble as AS
+from sliceweave.operators import chains as CH
+from sliceweave.operators import matching as MT
 from sliceweave.operators import matrix as MX
 from sliceweave.operators import merge as M
 from sliceweave.operators import rings as R
 from sliceweave.operators import spatial_join as SJ
 from sliceweave.plans import bins_to_cells as B2C
+from sliceweave.session import materialize
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -451,3 +455,173 @@ SELECT bin_id, gene, CAST(v AS BIGINT) AS value FROM x JOIN c USING (bin_id) JOI
 def count_filter_joint(spark, sf):
     m = MX.filter_by_counts(order_matrix(spark, sf), 120, keep=False)
     return m.x.select("bin_id", "gene", F.col("value").cast("long").alias("value"))
+
+
+# ------------------------------------------------- matching and merging serial sections
+
+NEURON_TYPES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]
+
+
+def section_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as cells of five serial sections; the plane grows with the table."""
+    return table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("pos"),
+        F.expr("concat('s', o_orderkey % 5)").alias("sampleid"),
+        F.expr("concat('c', o_orderkey)").alias("cell_id"),
+        F.col("o_orderpriority").alias("final_annot"),
+        F.expr("o_totalprice % 1000.0D").alias("warp_x"),
+        F.expr("cast(floor(o_custkey / 100) * 10 as double) + ((o_orderkey div 5) % 40) * 0.25D").alias("warp_y"),
+        F.expr("cast((o_orderkey % 5) * 12 as double)").alias("warp_z"),
+        F.expr("concat('V', o_custkey % 3 + 1)").alias("branchlabel"),
+        F.col("o_orderstatus").alias("spot_class"),
+        F.expr("cast(o_orderkey % 7 as double)").alias("total_counts"),
+        F.expr("(o_custkey % 50) * 0.5D").alias("cell_area"),
+    )
+
+
+SQL_SECTIONS = """cells AS (SELECT o_orderkey AS pos, 's' || (o_orderkey % 5) AS sampleid, 'c' || o_orderkey AS cell_id,
+  o_orderpriority AS final_annot, o_totalprice % 1000.0::DOUBLE AS warp_x,
+  CAST(floor(o_custkey / 100) * 10 AS DOUBLE) + ((o_orderkey // 5) % 40) * 0.25::DOUBLE AS warp_y,
+  CAST((o_orderkey % 5) * 12 AS DOUBLE) AS warp_z, 'V' || (o_custkey % 3 + 1) AS branchlabel, o_orderstatus AS spot_class,
+  CAST(o_orderkey % 7 AS DOUBLE) AS total_counts, (o_custkey % 50) * 0.5::DOUBLE AS cell_area FROM orders),
+blk AS (SELECT sampleid, arg_min(warp_z, pos) AS z, count(*) FILTER (final_annot <> '5-LOW') AS neurons FROM cells GROUP BY 1),
+sec AS (SELECT *, row_number() OVER (ORDER BY z, sampleid) - 1 AS ord FROM blk WHERE neurons > 100),
+neu AS (SELECT ord, pos, final_annot AS ct, warp_x AS x, warp_y AS y FROM cells JOIN sec USING (sampleid) WHERE final_annot <> '5-LOW')"""
+
+SQL_LINKS = SQL_SECTIONS + """,
+cnd AS (SELECT a.ord, a.pos AS a, b.pos AS b, a.ct, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS "by",
+        sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS dist
+        FROM neu a JOIN neu b ON b.ord = a.ord + 1 AND a.ct = b.ct AND b.x >= a.x - 31 AND b.x <= a.x + 31
+        AND abs(b.y - a.y) <= 31),
+near AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY dist, a) AS rb
+         FROM cnd WHERE dist <= 30),
+links AS (SELECT ord, a, b, dist, ct, ax, ay, bx, "by" FROM near WHERE ra = 1 AND rb = 1)"""
+
+
+def _neurons(spark, sf):
+    cells = section_cells(spark, sf)
+    return MT.block_neurons(cells, MT.neuron_block(cells, NEURON_TYPES), NEURON_TYPES)
+
+
+def mbn(spark, sf) -> DataFrame:
+    return MT.mutual_best(materialize(_neurons(spark, sf)), 30.0)
+
+
+@query("section_block", f"WITH {SQL_SECTIONS} SELECT sampleid, z, neurons, ord FROM sec")
+def section_block(spark, sf):
+    block = MT.neuron_block(section_cells(spark, sf), NEURON_TYPES)
+    return block.select("sampleid", "z", "neurons", F.col("ord").cast("long").alias("ord"))
+
+
+@query("mbn_links", f"WITH {SQL_LINKS} SELECT a, b, dist, ct FROM links")
+def mbn_links(spark, sf):
+    return mbn(spark, sf).select("a", "b", "dist", "ct")
+
+
+_TURN = lambda a, b, c: f"(({b}x - {a}x) * ({c}y - {a}y) - ({b}y - {a}y) * ({c}x - {a}x))"
+
+
+@query("crossings", f"""WITH {SQL_LINKS},
+p AS (SELECT s.ord, s.a AS i, t.a AS j, s.dist AS di, t.dist AS dj, s.ax AS p1x, s.ay AS p1y, s.bx AS p2x, s."by" AS p2y,
+      t.ax AS q1x, t.ay AS q1y, t.bx AS q2x, t."by" AS q2y
+      FROM links s JOIN links t ON s.ord = t.ord AND s.a < t.a AND t.ax >= s.ax - 61 AND t.ax <= s.ax + 61 AND abs(t.ay - s.ay) <= 61),
+d AS (SELECT *, {_TURN('q1', 'q2', 'p1')} AS d1, {_TURN('q1', 'q2', 'p2')} AS d2, {_TURN('p1', 'p2', 'q1')} AS d3,
+      {_TURN('p1', 'p2', 'q2')} AS d4 FROM p)
+SELECT ord, CASE WHEN di >= dj THEN i ELSE j END AS hi, CASE WHEN di >= dj THEN j ELSE i END AS lo FROM d
+WHERE ((d1 > 1e-9 AND d2 < -1e-9) OR (d1 < -1e-9 AND d2 > 1e-9)) AND ((d3 > 1e-9 AND d4 < -1e-9) OR (d3 < -1e-9 AND d4 > 1e-9))""")
+def crossings(spark, sf):
+    return MT.crossings(materialize(mbn(spark, sf))).select(F.col("ord").cast("long").alias("ord"), "hi", "lo")
+
+
+@query("crossing_removal")
+def crossing_removal(spark, sf):
+    return MT.remove_crossings(materialize(mbn(spark, sf))).select("a", "b", "dist", "ct")
+
+
+@query("tps_links")
+def tps_links(spark, sf):
+    return MT.match_sections(section_cells(spark, sf), NEURON_TYPES)[1]
+
+
+@query("match_statistics")
+def match_statistics(spark, sf):
+    return MT.match_statistics(*MT.match_sections(section_cells(spark, sf), NEURON_TYPES))
+
+
+SQL_THREADS = SQL_LINKS.replace("WITH", "") + """,
+walk AS (SELECT a, b, dist, ct, a AS head, 0 AS hop FROM links WHERE a NOT IN (SELECT b FROM links)
+         UNION ALL SELECT l.a, l.b, l.dist, l.ct, w.head, w.hop + 1 FROM walk w JOIN links l ON l.a = w.b)"""
+
+SQL_PICKS = SQL_THREADS + """,
+thr AS (SELECT head, count(*) AS m, list(30.0::DOUBLE - dist ORDER BY hop) AS w FROM walk GROUP BY 1),
+msk AS (SELECT head, m, w, k FROM thr, range(0, 16) r(k) WHERE k < (1 << m) AND (k & (k >> 1) & (k >> 2)) = 0),
+scr AS (SELECT head, k, list_sum(list_transform(range(0, m), lambda i: CASE WHEN (k >> i) & 1 = 1 THEN w[i + 1] ELSE 0.0::DOUBLE END)) AS s
+        FROM msk),
+bst AS (SELECT head, arg_max(k, s) AS k FROM scr GROUP BY 1),
+sel AS (SELECT a, b, dist, ct, walk.head, hop FROM walk JOIN bst ON walk.head = bst.head WHERE (k >> hop) & 1 = 1)"""
+
+SQL_CHAINS = SQL_PICKS + """,
+grp AS (SELECT *, hop - row_number() OVER (PARTITION BY head ORDER BY hop) AS g FROM sel),
+mem AS (SELECT head, g, a AS pos FROM grp UNION SELECT head, g, b FROM grp),
+chn AS (SELECT min(pos) AS chain, list(pos ORDER BY pos) AS members FROM mem GROUP BY head, g)"""
+
+
+@query("threads", f"WITH RECURSIVE {SQL_THREADS} SELECT a, b, dist, ct, head, CAST(hop AS BIGINT) AS hop FROM walk")
+def threads(spark, sf):
+    return CH.thread_links(materialize(mbn(spark, sf)).select("a", "b", "dist", "ct"))
+
+
+def _chosen(spark, sf):
+    return CH.choose_links(CH.threads(materialize(mbn(spark, sf))), 30.0, 3)
+
+
+@query("dp_links", f"WITH RECURSIVE {SQL_PICKS} SELECT a, b, dist, ct FROM sel")
+def dp_links(spark, sf):
+    return CH.selected_links(_chosen(spark, sf))
+
+
+@query("chains", f"WITH RECURSIVE {SQL_CHAINS} SELECT chain, array_to_string(members, ',') AS members FROM chn")
+def chains(spark, sf):
+    out = CH.chains(_chosen(spark, sf))
+    return out.select("chain", F.array_join(F.transform("members", lambda v: v.cast("string")), ",").alias("members"))
+
+
+@query("assemble", f"""WITH RECURSIVE {SQL_CHAINS},
+fr AS (SELECT chain, c.* FROM chn, unnest(members) u(p) JOIN cells c ON c.pos = p),
+md AS (SELECT chain, branchlabel, row_number() OVER (PARTITION BY chain ORDER BY count(*) DESC, branchlabel) AS r FROM fr GROUP BY 1, 2),
+rp AS (SELECT chain, sampleid, row_number() OVER (PARTITION BY chain ORDER BY total_counts DESC, pos) AS r FROM fr),
+mg AS (SELECT f.chain AS source_pos, 'neuron' AS cell_class, true AS is_merged, count(*) AS chain_length,
+  count(DISTINCT f.sampleid) AS n_sections, arg_min(final_annot, pos) AS final_annot, any_value(md.branchlabel) AS branchlabel,
+  'merged_neuron' AS spot_class, avg(warp_x) AS warp_x, avg(warp_y) AS warp_y, avg(warp_z) AS warp_z, sum(cell_area) AS total_cell_area,
+  avg(cell_area) AS mean_cell_area, sum(total_counts) AS total_counts, any_value(rp.sampleid) AS sampleid,
+  string_agg(f.sampleid, ',' ORDER BY pos) AS sampleid_list, string_agg(cell_id, ',' ORDER BY pos) AS cell_id_list,
+  string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS block_pos_list
+  FROM fr f JOIN md ON md.chain = f.chain AND md.r = 1 JOIN rp ON rp.chain = f.chain AND rp.r = 1 GROUP BY 1),
+sg AS (SELECT pos, CASE WHEN final_annot <> '5-LOW' THEN 'neuron' ELSE 'non-neuron' END, false, 1, 1, final_annot, branchlabel, spot_class,
+  warp_x, warp_y, warp_z, cell_area, cell_area, total_counts, sampleid, sampleid, cell_id, CAST(pos AS VARCHAR)
+  FROM cells WHERE pos NOT IN (SELECT pos FROM fr)),
+al AS (SELECT * FROM mg UNION ALL SELECT * FROM sg)
+SELECT * REPLACE (round(warp_x, 6) AS warp_x, round(warp_y, 6) AS warp_y, round(warp_z, 6) AS warp_z,
+  round(mean_cell_area, 6) AS mean_cell_area) FROM al""")
+def assemble(spark, sf):
+    cells = section_cells(spark, sf)
+    obs = AS.assemble(cells, materialize(CH.chains(_chosen(spark, sf))), NEURON_TYPES)
+    return obs.withColumns({c: F.round(c, 6) for c in ("warp_x", "warp_y", "warp_z", "mean_cell_area")})
+
+
+@query("assemble_expression", f"""WITH RECURSIVE {SQL_CHAINS}, mp AS (SELECT chain, unnest(members) AS pos FROM chn)
+SELECT coalesce(chain, l_orderkey) AS source_pos, l_partkey AS gene, CAST(sum(l_quantity) AS BIGINT) AS value
+FROM lineitem LEFT JOIN mp ON pos = l_orderkey GROUP BY 1, 2""")
+def assemble_expression(spark, sf):
+    chain_table = materialize(CH.chains(_chosen(spark, sf)))
+    out = AS.assemble_matrix(order_matrix(spark, sf), section_cells(spark, sf), chain_table, NEURON_TYPES)
+    return out.x.withColumn("value", F.col("value").cast("long"))
+
+
+@query("assemble_names", f"""WITH RECURSIVE {SQL_CHAINS}, mp AS (SELECT chain, unnest(members) AS pos FROM chn)
+SELECT chain AS source_pos, 'merged_' || (row_number() OVER (ORDER BY chain) - 1) AS obs_name FROM chn
+UNION ALL SELECT pos, 'cell_' || (row_number() OVER (ORDER BY pos) - 1) FROM cells WHERE pos NOT IN (SELECT pos FROM mp)""")
+def assemble_names(spark, sf):
+    cells = section_cells(spark, sf)
+    obs = AS.assemble(cells, materialize(CH.chains(_chosen(spark, sf))), NEURON_TYPES)
+    return AS.name_rows(obs).select("source_pos", "obs_name")
