@@ -15,12 +15,16 @@ from sliceweave.functions import geometry as G
 from sliceweave.functions.scalar import MICRON_PER_PIXEL, PIXEL_PER_MICRON
 from sliceweave.operators import assemble as AS
 from sliceweave.operators import chains as CH
+from sliceweave.operators import components as CO
 from sliceweave.operators import matching as MT
 from sliceweave.operators import matrix as MX
 from sliceweave.operators import merge as M
+from sliceweave.operators import neighbourhood as NB
+from sliceweave.operators import raster as RA
 from sliceweave.operators import rings as R
 from sliceweave.operators import spatial_join as SJ
 from sliceweave.plans import bins_to_cells as B2C
+from sliceweave.plans import segmentation as SG
 from sliceweave.session import materialize
 
 QUERIES: dict = {}
@@ -625,3 +629,191 @@ def assemble_names(spark, sf):
     cells = section_cells(spark, sf)
     obs = AS.assemble(cells, materialize(CH.chains(_chosen(spark, sf))), NEURON_TYPES)
     return AS.name_rows(obs).select("source_pos", "obs_name")
+
+
+# ------------------------------------------------------------------------------ rasters
+
+IMAGE_W, IMAGE_H = 128, 64
+
+
+def pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """Images of 128 x 64 pixels and four channels: order -> pixel, line number -> channel, quantity -> value."""
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", (F.col("l_linenumber") % 4).alias("ch")).agg(
+        (F.sum("l_quantity") * 16).cast("long").alias("q"))
+    grid = table(spark, sf, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("ch"))
+    full = grid.join(lines, (F.col("o_orderkey") == F.col("l_orderkey")) & (grid["ch"] == lines["ch"]), "left")
+    return full.select(
+        F.expr(f"o_orderkey div {IMAGE_W * IMAGE_H}").alias("img"), grid["ch"],
+        F.expr(f"cast((o_orderkey % {IMAGE_W * IMAGE_H}) div {IMAGE_W} as int)").alias("y"),
+        F.expr(f"cast(o_orderkey % {IMAGE_W} as int)").alias("x"), F.coalesce("q", F.lit(0)).alias("v"))
+
+
+SQL_PIXELS = f"""px AS (SELECT o_orderkey // {IMAGE_W * IMAGE_H} AS img, CAST(c AS INTEGER) AS ch,
+  CAST((o_orderkey % {IMAGE_W * IMAGE_H}) // {IMAGE_W} AS INTEGER) AS y, CAST(o_orderkey % {IMAGE_W} AS INTEGER) AS x,
+  coalesce(q, 0) AS v FROM orders CROSS JOIN range(0, 4) r(c)
+  LEFT JOIN (SELECT l_orderkey, l_linenumber % 4 AS ch, CAST(sum(l_quantity) * 16 AS BIGINT) AS q FROM lineitem GROUP BY 1, 2) l
+  ON o_orderkey = l.l_orderkey AND l.ch = c)"""
+
+
+def channel(spark, sf, ch: int) -> DataFrame:
+    return pixels(spark, sf).filter(F.col("ch") == ch)
+
+
+@query("stack_channels", f"""WITH {SQL_PIXELS} SELECT img, CASE ch WHEN 2 THEN 0 ELSE 1 END AS ch, y, x, v FROM px WHERE ch IN (0, 2)""")
+def stack_channels(spark, sf):
+    return RA.stack_channels([channel(spark, sf, c).drop("ch") for c in (2, 0)])
+
+
+@query("raster_threshold", f"""WITH {SQL_PIXELS} SELECT img, ch, y, x,
+  CASE WHEN v >= [200, 1000, 2000, 500][ch + 1] THEN v ELSE 0 END AS v FROM px""")
+def raster_threshold(spark, sf):
+    return RA.threshold(pixels(spark, sf), [200, 1000, 2000, 500])
+
+
+@query("raster_threshold_invert", f"""WITH {SQL_PIXELS} SELECT img, ch, y, x,
+  CASE WHEN v <= [200, 1000, 2000, 500][ch + 1] THEN v ELSE 65535 END AS v FROM px""")
+def raster_threshold_invert(spark, sf):
+    return RA.threshold(pixels(spark, sf), [200, 1000, 2000, 500], invert=True)
+
+
+@query("raster_invert", f"WITH {SQL_PIXELS} SELECT img, ch, y, x, 65535 - v AS v FROM px")
+def raster_invert(spark, sf):
+    return RA.invert(pixels(spark, sf), 65535)
+
+
+@query("raster_mask", f"""WITH {SQL_PIXELS} SELECT p.img, p.ch, p.y, p.x, CASE WHEN m.v > 600 THEN p.v ELSE 0 END AS v
+FROM px p JOIN px m ON p.img = m.img AND p.y = m.y AND p.x = m.x AND m.ch = 1""")
+def raster_mask(spark, sf):
+    return RA.mask_by_raster(pixels(spark, sf), channel(spark, sf, 1), 600)
+
+
+@query("raster_flip_rotate", f"""WITH {SQL_PIXELS}, d AS (SELECT img, max(y) + 1 AS h, max(x) + 1 AS w FROM px GROUP BY 1)
+SELECT img, ch, CAST(x AS INTEGER) AS y, CAST(y AS INTEGER) AS x, v FROM px JOIN d USING (img)""")
+def raster_flip_rotate(spark, sf):
+    src = pixels(spark, sf)
+    size = RA.image_size(src)
+    turned = RA.rotate90(RA.flip(src, "horizon", size), 1, size)
+    return turned.withColumns({"y": F.col("y").cast("int"), "x": F.col("x").cast("int")})
+
+
+@query("rgb_blend", f"""WITH {SQL_PIXELS}, e AS (SELECT img, ch, CAST(min(v) AS FLOAT) AS lo, CAST(max(v) AS FLOAT) AS hi FROM px GROUP BY 1, 2),
+n AS (SELECT img, ch, y, x, CAST((CAST(v AS FLOAT) - lo) / CAST(CAST(hi - lo AS FLOAT) + CAST(1e-8 AS FLOAT) AS FLOAT) AS FLOAT) AS n FROM px JOIN e USING (img, ch)),
+w AS (SELECT img, y, x, max(n) FILTER (ch = 0) AS a, max(n) FILTER (ch = 1) AS b, max(n) FILTER (ch = 2) AS c, max(n) FILTER (ch = 3) AS d FROM n GROUP BY 1, 2, 3),
+s AS (SELECT img, y, x, CAST(CAST(CAST(b AS DOUBLE) AS FLOAT)::DOUBLE + c::DOUBLE AS FLOAT) AS r0, d, a, b, c FROM w),
+t AS (SELECT img, y, x, CAST(r0::DOUBLE + d::DOUBLE AS FLOAT) AS r, CAST(a::DOUBLE + b::DOUBLE AS FLOAT) AS g, CAST(a::DOUBLE + c::DOUBLE AS FLOAT) AS bl FROM s)
+SELECT img, y, x, 255 - CAST(round_even(CAST(least(r, 1::FLOAT) * 255::FLOAT AS FLOAT)::DOUBLE, 0) AS BIGINT) AS r,
+  255 - CAST(round_even(CAST(least(g, 1::FLOAT) * 255::FLOAT AS FLOAT)::DOUBLE, 0) AS BIGINT) AS g,
+  255 - CAST(round_even(CAST(least(bl, 1::FLOAT) * 255::FLOAT AS FLOAT)::DOUBLE, 0) AS BIGINT) AS b FROM t""")
+def rgb_blend(spark, sf):
+    return RA.blend_rgb(pixels(spark, sf), inverted=True)
+
+
+@query("intensity_hist", f"""WITH {SQL_PIXELS}, k AS (SELECT img, log10(v + 1e-6::DOUBLE) AS u FROM px WHERE ch = 2 AND v > 1),
+e AS (SELECT img, min(u) AS lo, max(u) AS hi FROM k GROUP BY 1),
+b AS (SELECT img, least(CAST(floor((u - lo) * (100.0::DOUBLE / (hi - lo))) AS BIGINT), 99) AS b, u, lo, (hi - lo) / 100.0::DOUBLE AS w FROM k JOIN e USING (img)),
+f AS (SELECT img, lo, w, CASE WHEN u < lo + b * w THEN b - 1 WHEN u >= lo + (b + 1) * w AND b < 99 THEN b + 1 ELSE b END AS bin FROM b)
+SELECT img, bin, round(lo + bin * w, 9) AS lower, round(lo + (bin + 1) * w, 9) AS upper, count(*) AS n FROM f GROUP BY ALL""")
+def intensity_hist(spark, sf):
+    out = RA.intensity_histogram(pixels(spark, sf), 2, 100, 1, log=True)
+    return out.withColumns({"lower": F.round("lower", 9), "upper": F.round("upper", 9)})
+
+
+_SQL_8BIT = SQL_PIXELS + """, e8 AS (SELECT img, ch, max(v) AS top FROM px GROUP BY 1, 2),
+p8 AS (SELECT img, ch, y, x, CASE WHEN top > 0 THEN CAST(floor(v::DOUBLE / top::DOUBLE * 255) AS BIGINT) ELSE 0 END AS v
+       FROM px JOIN e8 USING (img, ch))"""
+
+
+@query("scale_8bit", f"WITH {_SQL_8BIT} SELECT img, ch, y, x, v FROM p8")
+def scale_8bit(spark, sf):
+    return RA.to_8bit(pixels(spark, sf))
+
+
+@query("otsu", f"""WITH {_SQL_8BIT}, h AS (SELECT img, ch, v, count(*)::DOUBLE AS n FROM p8 GROUP BY 1, 2, 3),
+c AS (SELECT img, ch, v, sum(n) OVER u AS n1, sum(n * v) OVER u AS s1, sum(n) OVER a AS nt, sum(n * v) OVER a AS st FROM h
+      WINDOW u AS (PARTITION BY img, ch ORDER BY v), a AS (PARTITION BY img, ch)),
+s AS (SELECT img, ch, v, CASE WHEN n1 < nt THEN n1 * (nt - n1) * (s1 / n1 - (st - s1) / (nt - n1)) * (s1 / n1 - (st - s1) / (nt - n1)) ELSE 0 END AS s FROM c)
+SELECT img, ch, v AS t FROM (SELECT *, row_number() OVER (PARTITION BY img, ch ORDER BY s DESC, v) AS r FROM s) WHERE r = 1""")
+def otsu(spark, sf):
+    return RA.otsu(RA.to_8bit(pixels(spark, sf)))
+
+
+_SQL_GRID = """, d AS (SELECT img, max(y) + 1 AS h, max(x) + 1 AS w FROM px GROUP BY 1),
+g AS (SELECT img, CAST(yy AS INTEGER) AS y, CAST(xx AS INTEGER) AS x, h, w FROM d, range(0, h) a(yy), range(0, w) b(xx))"""
+
+
+@query("blur", f"""WITH {_SQL_8BIT}{_SQL_GRID}, i AS (SELECT img, y, x, v FROM p8 WHERE ch = 1),
+k AS (SELECT CAST(o AS INTEGER) AS o, exp(-(o * o) / 8.0::DOUBLE) AS e FROM range(-5, 6) r(o)),
+kn AS (SELECT o, e / (SELECT sum(e) FROM k) AS wt FROM k),
+c AS (SELECT g.img, g.y, g.x, wt, o, abs(g.y + o) % (2 * h - 2) AS m, h FROM g, kn),
+v1 AS (SELECT c.img, c.y, c.x, sum(wt * v) AS s FROM c JOIN i ON i.img = c.img AND i.x = c.x
+       AND i.y = CASE WHEN m >= h THEN 2 * h - 2 - m ELSE m END GROUP BY 1, 2, 3),
+c2 AS (SELECT g.img, g.y, g.x, wt, abs(g.x + o) % (2 * w - 2) AS m, w FROM g, kn)
+SELECT c2.img, 1 AS ch, c2.y, c2.x, CAST(round_even(sum(wt * s), 0) AS BIGINT) AS v FROM c2 JOIN v1 ON v1.img = c2.img AND v1.y = c2.y
+  AND v1.x = CASE WHEN m >= w THEN 2 * w - 2 - m ELSE m END GROUP BY 1, 3, 4""")
+def blur(spark, sf):
+    return NB.blur(RA.to_8bit(channel(spark, sf, 1)), 11)
+
+
+def islands_mask(spark, sf) -> DataFrame:
+    """Sparse set pixels: channel 3 above a high value."""
+    return channel(spark, sf, 3).withColumn("v", F.when(F.col("v") > 600, 255).otherwise(0).cast("long"))
+
+
+_SQL_MASK = SQL_PIXELS + _SQL_GRID + ", mk AS (SELECT img, y, x FROM px WHERE ch = 3 AND v > 600)"
+
+
+def _sql_grow(name: str, src: str, k: int) -> str:
+    lo, hi = -(k // 2), k - 1 - k // 2
+    return f"""{name} AS (SELECT DISTINCT g.img, g.y, g.x FROM {src} s, range({lo}, {hi + 1}) a(dy), range({lo}, {hi + 1}) b(dx), g
+      WHERE g.img = s.img AND g.y = s.y - dy AND g.x = s.x - dx)"""
+
+
+@query("dilate", f"""WITH {_SQL_MASK}, {_sql_grow('dl', 'mk', 5)}
+SELECT g.img, 3 AS ch, g.y, g.x, CAST(CASE WHEN dl.img IS NULL THEN 0 ELSE 255 END AS BIGINT) AS v FROM g
+LEFT JOIN dl ON dl.img = g.img AND dl.y = g.y AND dl.x = g.x""")
+def dilate(spark, sf):
+    return NB.dilate(islands_mask(spark, sf), 5)
+
+
+@query("close", f"""WITH {_SQL_MASK}, {_sql_grow('dl', 'mk', 3)},
+cl AS (SELECT g.img, g.y, g.x FROM g LEFT JOIN (SELECT DISTINCT z.img, z.y - dy AS y, z.x - dx AS x
+        FROM (SELECT g.img, g.y, g.x FROM g ANTI JOIN dl ON dl.img = g.img AND dl.y = g.y AND dl.x = g.x) z,
+        range(-1, 2) a(dy), range(-1, 2) b(dx)) u
+       ON u.img = g.img AND u.y = g.y AND u.x = g.x WHERE u.img IS NULL)
+SELECT g.img, 3 AS ch, g.y, g.x, CAST(CASE WHEN cl.img IS NULL THEN 0 ELSE 255 END AS BIGINT) AS v FROM g
+LEFT JOIN cl ON cl.img = g.img AND cl.y = g.y AND cl.x = g.x""")
+def close(spark, sf):
+    return NB.close(islands_mask(spark, sf), 3)
+
+
+_SQL_ISLANDS = f"""WITH RECURSIVE {_SQL_MASK},
+rc(img, y, x, ly, lx) AS (SELECT img, y, x, y, x FROM mk UNION
+  SELECT m.img, m.y, m.x, r.ly, r.lx FROM rc r JOIN mk m ON m.img = r.img AND m.y BETWEEN r.y - 1 AND r.y + 1 AND m.x BETWEEN r.x - 1 AND r.x + 1),
+lb AS (SELECT img, y, x, min(CAST(ly AS BIGINT) * 2147483648 + lx) AS label FROM rc GROUP BY 1, 2, 3)"""
+
+
+@query("components", f"{_SQL_ISLANDS} SELECT img, 3 AS ch, y, x, label FROM lb")
+def components(spark, sf):
+    return CO.label_islands(islands_mask(spark, sf), tile=32)
+
+
+@query("island_area", f"""{_SQL_ISLANDS} SELECT img, 3 AS ch, y, x, label, CAST(255 AS BIGINT) AS v FROM lb
+JOIN (SELECT img, label FROM lb GROUP BY 1, 2 HAVING count(*) >= 6) USING (img, label)""")
+def island_area(spark, sf):
+    return CO.large_islands(CO.label_islands(islands_mask(spark, sf), tile=32), 6)
+
+
+@query("island_contours")
+def island_contours(spark, sf):
+    """Whole island step: 8 bits, blur, Otsu, closing, islands by area, growth, outer contours."""
+    _, contours = SG.island_mask(channel(spark, sf, 2), kernel=3, grow=3, min_area=20, ksize=5)
+    return contours.select("img", "ch", "label", G.area(F.col("geometry")).alias("area"))
+
+
+@query("mask_by_polygon", f"""WITH {SQL_PIXELS} SELECT img, ch, y, x,
+  CASE WHEN x + 0.5 > 20.25 AND x + 0.5 < 90.25 AND y + 0.5 > 5.25 + img % 3 AND y + 0.5 < 40.25 THEN v ELSE 0 END AS v FROM px""")
+def mask_by_polygon(spark, sf):
+    src = pixels(spark, sf)
+    shapes = src.select("img").distinct().withColumn(
+        "geometry", G.rectangle(F.lit(20.25), F.col("img") % 3 + 5.25, F.lit(90.25), F.lit(40.25)))
+    return RA.mask_by_polygon(src, shapes)
