@@ -20,6 +20,7 @@ from sliceweave.operators import matching as MT
 from sliceweave.operators import matrix as MX
 from sliceweave.operators import merge as M
 from sliceweave.operators import neighbourhood as NB
+from sliceweave.operators import overlay as OV
 from sliceweave.operators import raster as RA
 from sliceweave.operators import rings as R
 from sliceweave.operators import spatial_join as SJ
@@ -817,3 +818,55 @@ def mask_by_polygon(spark, sf):
     shapes = src.select("img").distinct().withColumn(
         "geometry", G.rectangle(F.lit(20.25), F.col("img") % 3 + 5.25, F.lit(90.25), F.lit(40.25)))
     return RA.mask_by_polygon(src, shapes)
+
+
+# ------------------------------------------------------------------------ polygon overlay
+
+_TINY = "(c_custkey % 11 = 0)"
+_BX, _BY = f"({_CX} + 3 + c_custkey % 5)", f"({_CY} + c_custkey % 3 - 1)"
+_BH = "(1 + (c_custkey % 4) * 0.5)"
+_AX, _AY = f"(CASE WHEN {_TINY} THEN {_BX} ELSE {_CX} END)", f"(CASE WHEN {_TINY} THEN {_BY} ELSE {_CY} END)"
+_AH = f"(CASE WHEN {_TINY} THEN 0.5 ELSE 4.0 END)"
+
+
+def overlay_layers(spark, sf):
+    """Square neurons, and square non-neurons that reach into one or two of them."""
+    src = table(spark, sf, "customer").select("c_custkey")
+    side = lambda c, h, s: F.expr(f"cast({c} {s} {h} as double)")
+    box = lambda x, y, h: G.rectangle(side(x, h, "-"), side(y, h, "-"), side(x, h, "+"), side(y, h, "+"))
+    pid = F.col("c_custkey").cast("string").alias("pid")
+    return src.select(pid, box(_AX, _AY, _AH).alias("geometry")), src.select(pid, box(_BX, _BY, _BH).alias("geometry"))
+
+
+@query("overlay_difference", f"""WITH a AS (SELECT c_custkey AS pid, {_AX} - {_AH} AS x0, {_AX} + {_AH} AS x1, {_AY} - {_AH} AS y0, {_AY} + {_AH} AS y1 FROM customer),
+b AS (SELECT c_custkey AS q, {_BX} - {_BH} AS u0, {_BX} + {_BH} AS u1, {_BY} - {_BH} AS v0, {_BY} + {_BH} AS v1 FROM customer),
+p AS (SELECT * FROM a JOIN b ON x0 < u1 AND u0 < x1 AND y0 < v1 AND v0 < y1),
+gone AS (SELECT DISTINCT pid FROM p WHERE x0 >= u0 AND x1 <= u1 AND y0 >= v0 AND y1 <= v1),
+held AS (SELECT DISTINCT q FROM p WHERE pid NOT IN (SELECT pid FROM gone) AND u0 >= x0 AND u1 <= x1 AND v0 >= y0 AND v1 <= y1),
+cut AS (SELECT pid, sum((least(x1, u1) - greatest(x0, u0)) * (least(y1, v1) - greatest(y0, v0))) AS s FROM p
+        WHERE q NOT IN (SELECT q FROM held) GROUP BY 1)
+SELECT CAST(a.pid AS VARCHAR) AS pid, round(CAST((x1 - x0) * (y1 - y0) - coalesce(s, 0) AS DOUBLE), 6) AS area FROM a
+LEFT JOIN cut ON a.pid = cut.pid WHERE a.pid NOT IN (SELECT pid FROM gone)""")
+def overlay_difference(spark, sf):
+    out = OV.harmonise(*overlay_layers(spark, sf))
+    return out.groupBy("pid").agg(F.round(F.sum(G.area(F.col("geometry"))), 6).alias("area"))
+
+
+@query("overlay_of_cells", None)
+def overlay_of_cells(spark, sf):
+    """Overlapping quadrilaterals: even customers less odd ones, as parts with their area."""
+    cells = polygons(spark, sf).select(F.col("cell_id").cast("string").alias("pid"), "cell_id", "geometry")
+    even, odd = cells.filter("cell_id % 2 = 0").drop("cell_id"), cells.filter("cell_id % 2 = 1").drop("cell_id")
+    return OV.harmonise(even, odd).select("pid", "part", F.round(G.area(F.col("geometry")), 6).alias("area"))
+
+
+@query("valid_polygons", """SELECT CAST(c_custkey AS VARCHAR) AS pid FROM customer WHERE c_custkey % 5 <> 2""")
+def valid_polygons(spark, sf):
+    """Every fifth outline is a bow tie."""
+    corner = lambda dx, dy: G.vertex(F.expr(f"{_CX} + {dx}"), F.expr(f"{_CY} + {dy}"))
+    square = F.array(*[corner(*c) for c in ((0, 0), (4, 0), (4, 4), (0, 4), (0, 0))])
+    bow = F.array(*[corner(*c) for c in ((0, 0), (4, 4), (4, 0), (0, 3), (0, 0))])
+    shapes = table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("pid"),
+        G.polygon(F.when(F.col("c_custkey") % 5 == 2, bow).otherwise(square)).alias("geometry"))
+    return OV.valid_only(shapes).select("pid")
