@@ -134,12 +134,13 @@ def stack_tables(tables: list[DataFrame], join: str = "outer") -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [t.select(*common) for t in tables])
 
 
-def section_z(sections: DataFrame, order: str, start: float = 0.0, step: float = 12.0) -> DataFrame:
+def section_z(sections: DataFrame, order: str, start: float = 0.0, step: float = 12.0, by: list[str] = ()) -> DataFrame:
     """Depth per section from its place among the sections present (a missing one leaves no gap).
 
-    ``sections`` holds one row per section, so the unpartitioned ranking window is small.
+    ``sections`` holds one row per section, so the ranking window is small even without ``by``.
     """
-    rank = F.row_number().over(Window.orderBy(order)) - 1
+    window = Window.partitionBy(*by).orderBy(order) if by else Window.orderBy(order)
+    rank = F.row_number().over(window) - 1
     return sections.withColumn("warp_z", F.lit(float(start)) + rank * F.lit(float(step)))
 
 

@@ -39,13 +39,7 @@ def stack_sections(shapes: DataFrame, sections: DataFrame, start: float = 0.0, s
     ``sections`` holds ``tglabel, sampleid, pos``; depth counts only the sections that have shapes.
     """
     present = sections.join(shapes.select("tglabel", "sampleid").distinct(), ["tglabel", "sampleid"], "left_semi")
-    sides = [r[0] for r in present.select("tglabel").distinct().collect()]  # left and right
-    depth = None
-    for side in sides:
-        one = section_z(present.filter(F.col("tglabel") == side), "pos", start, step)
-        depth = one if depth is None else depth.unionByName(one)
-    if depth is None:
-        raise ValueError("no listed section has shapes")
+    depth = section_z(present, "pos", start, step, ["tglabel"])
     out = shapes.join(depth.select("tglabel", "sampleid", "warp_z"), ["tglabel", "sampleid"])
     out = out.withColumn("geometry", G.set_z(F.col("geometry"), F.col("warp_z"))).drop("warp_z")
     out = out.withColumnRenamed("sampleid", "slicename")

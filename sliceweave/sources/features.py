@@ -34,13 +34,13 @@ def read_geojson(spark: SparkSession, path: str, properties: str | None = None,
     line breaks, one file per row. ``properties`` is the DDL of the properties; without it names
     and types are taken from the data.
     """
-    shape = "type string, id string, properties string, geometry struct<type: string, coordinates: string>"
+    shape = "type: string, id: string, properties: string, geometry: struct<type: string, coordinates: string>"
     if one_document:
         whole = spark.read.text(path, wholetext=True)
-        items = whole.select(F.explode(F.from_json("value", f"features array<struct<{_as_fields(shape)}>>")["features"]).alias("f"))
+        items = whole.select(F.explode(F.from_json("value", f"features array<struct<{shape}>>")["features"]).alias("f"))
     else:
         line = F.regexp_replace(F.regexp_replace(F.trim("value"), r"^,", ""), r",$", "")
-        items = spark.read.text(path).select(F.from_json(line, shape).alias("f"))
+        items = spark.read.text(path).select(F.from_json(line, f"struct<{shape}>").alias("f"))
     feature = items.filter(F.col("f.type") == "Feature").select(
         F.col("f.id").alias("_fid"), F.col("f.properties").alias("_props"),
         _from_coordinates(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("geometry"))
@@ -54,21 +54,6 @@ def read_geojson(spark: SparkSession, path: str, properties: str | None = None,
     return infer_types(_promote_id(out))
 
 
-def _as_fields(ddl: str) -> str:
-    return ", ".join(f"{a.strip().split(' ', 1)[0]}: {a.strip().split(' ', 1)[1]}" for a in _split_top(ddl))
-
-
-def _split_top(ddl: str) -> list[str]:
-    out, depth, word = [], 0, ""
-    for ch in ddl:
-        depth += (ch == "<") - (ch == ">")
-        if ch == "," and depth == 0:
-            out, word = [*out, word], ""
-        else:
-            word += ch
-    return [*out, word]
-
-
 def _promote_id(df: DataFrame) -> DataFrame:
     return df.drop("_fid") if "id" in df.columns else df.withColumnRenamed("_fid", "id")
 
