@@ -35,7 +35,7 @@ def string_key(value: Column, missing: str = "match") -> Column:
 
 def decode_bytes(df: DataFrame, *columns: str) -> DataFrame:
     """Decode the named columns from UTF-8 where the schema says they are binary."""
-    binary = [c for c in columns if isinstance(df.schema[c].dataType, T.BinaryType)]
+    binary = [c for c in columns if c in df.columns and isinstance(df.schema[c].dataType, T.BinaryType)]
     return df.withColumns({c: F.decode(F.col(c), "UTF-8") for c in binary}) if binary else df
 
 

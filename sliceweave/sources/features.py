@@ -7,6 +7,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sliceweave.functions import geometry as G
 from sliceweave.operators.position import with_position
@@ -147,7 +148,7 @@ def from_wkb(blobs: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(bytes(b) if b is not None else None) for b in blobs], columns=["kind", "parts"])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_wkb(geoms: pd.DataFrame) -> pd.Series:
     """Well-known binary, little-endian, three-dimensional when every vertex has z."""
 

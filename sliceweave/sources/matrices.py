@@ -19,7 +19,7 @@ def write_matrix(m: Matrix, path: str, names: str = "first", mode: str = "error"
     m.var.write.mode(mode).parquet(f"{path}/var")
     m.x.write.mode(mode).parquet(f"{path}/x")
     for df, key, front, back in ((m.obs, m.obs_key, "obs_index", "barcode"), (m.var, m.var_key, "var_index", "symbol")):
-        others = [c for c in df.columns if c not in (front, back)]
+        others = [c for c in df.columns if c != (front if names == "first" else back)]
         label = F.col(key).cast("string")
         out = df.select(label.alias(front), *others) if names == "first" else df.select(*others, label.alias(back))
         write_table(out, f"{path}/{'obs' if df is m.obs else 'var'}_table", mode=mode)
