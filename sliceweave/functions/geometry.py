@@ -45,7 +45,7 @@ def rectangle(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
 
 def close_ring(ring: Column) -> Column:
     """Repeat the first vertex at the end unless it is there already."""
-    first, last = ring[0], F.element_at(ring, -1)
+    first, last = F.get(ring, F.lit(0)), F.try_element_at(ring, F.lit(-1))
     same = (first["x"] == last["x"]) & (first["y"] == last["y"])
     return F.when(same, ring).otherwise(F.concat(ring, F.array(first)))
 
@@ -87,7 +87,8 @@ def ring_moments(ring: Column) -> Column:
 
     Coordinates are taken relative to the first vertex so that far-away rings keep precision.
     """
-    ox, oy = ring[0]["x"], ring[0]["y"]
+    first = F.get(ring, F.lit(0))
+    ox, oy = first["x"], first["y"]
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
 
     def step(acc, e):

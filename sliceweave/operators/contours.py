@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +13,14 @@ from sliceweave.operators.neighbourhood import STEPS, TILE, border_codes
 from sliceweave.operators.spatial_join import points_within
 
 
-def _trace(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Walk the outer border of one island; keep the pixels where the direction turns."""
-    code = {(y, x): c for y, x, c in zip(pdf["y"].tolist(), pdf["x"].tolist(), pdf["code"].tolist())}
+@F.pandas_udf(G.RING)
+def trace(borders: pd.Series) -> pd.Series:
+    """Closed ring of the turning points of each island's outer border, from its border pixels (flat y, x, code runs)."""
+    return pd.Series([_walk(np.asarray(b).reshape(-1, 3)) for b in borders])
+
+
+def _walk(border: np.ndarray) -> list:
+    code = {(y, x): c for y, x, c in border.tolist()}
     start = min(code)
     ring = []
     if code[start]:
@@ -28,12 +34,10 @@ def _trace(pdf: pd.DataFrame) -> pd.DataFrame:
                 break
             first = first or (pixel, out)
             if out != incoming:
-                ring.append((pixel[1], pixel[0]))
+                ring.append({"x": float(pixel[1]), "y": float(pixel[0]), "z": None})
             pixel = (pixel[0] + STEPS[out][0], pixel[1] + STEPS[out][1])
             came, incoming = (out + 4) % 8, out
-    head = pdf.iloc[0]
-    return pd.DataFrame({"img": head["img"], "ch": head["ch"], "label": head["label"], "i": range(len(ring)),
-                         "x": [float(p[0]) for p in ring], "y": [float(p[1]) for p in ring]})
+    return [*ring, ring[0]] if ring else ring
 
 
 def outer_contours(islands: DataFrame, size: DataFrame | None = None, tile: int = TILE) -> DataFrame:
@@ -43,15 +47,13 @@ def outer_contours(islands: DataFrame, size: DataFrame | None = None, tile: int
     they become that island's one geometry value. Islands in a hole of another are left out, and
     so are islands whose border encloses no area.
     """
-    kinds = {c: islands.schema[c].dataType.simpleString() for c in ("img", "ch")}
     border = border_codes(islands.select("img", "ch", "y", "x", "v"), size, tile)
     labelled = border.join(islands.select("img", "ch", "y", "x", "label"), ["img", "ch", "y", "x"])
-    points = labelled.groupBy("img", "ch", "label").applyInPandas(
-        _trace, f"img {kinds['img']}, ch {kinds['ch']}, label long, i int, x double, y double")
-    listed = points.groupBy("img", "ch", "label").agg(
-        F.array_sort(F.collect_list(F.struct("i", G.vertex(F.col("x"), F.col("y")).alias("v")))).alias("_l"))
-    ring = G.close_ring(F.transform("_l", lambda s: s["v"]))
-    shapes = listed.filter(F.size("_l") >= 3).select("img", "ch", "label", G.polygon(ring).alias("geometry"))
+    # one row per island before its border is walked: that row is as large as its polygon
+    rows = labelled.groupBy("img", "ch", "label").agg(
+        F.flatten(F.collect_list(F.array(F.col("y").cast("long"), F.col("x").cast("long"), "code"))).alias("_b"))
+    traced = rows.select("img", "ch", "label", trace("_b").alias("_ring")).filter(F.size("_ring") >= 4)
+    shapes = traced.select("img", "ch", "label", G.polygon(F.col("_ring")).alias("geometry"))
     starts = shapes.select("img", "ch", F.col("label").alias("inner"), (F.col("label") % ROW).cast("double").alias("px"),
                            F.floor(F.col("label") / ROW).cast("double").alias("py"))
     nested = points_within(starts, shapes.select("img", "ch", "geometry"), "px", "py", ["img", "ch"])

@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sliceweave.functions import geometry as G
 from sliceweave.operators import grid
@@ -166,10 +168,10 @@ def _holds(ring, px, py) -> bool:
     return odd
 
 
-def _simple_rings(pdf: pd.DataFrame) -> list:
+def _simple_rings(pieces: np.ndarray) -> list:
     """Rings of the directed pieces of one polygon, cut apart wherever a walk meets itself."""
     leaving = {}
-    for x1, y1, x2, y2 in zip(pdf["x1"].tolist(), pdf["y1"].tolist(), pdf["x2"].tolist(), pdf["y2"].tolist()):
+    for x1, y1, x2, y2 in pieces.tolist():
         leaving.setdefault((x1, y1), []).append((x2, y2))
     rings = []
     for origin in sorted(leaving):
@@ -201,25 +203,24 @@ def _simple_rings(pdf: pd.DataFrame) -> list:
     return rings
 
 
-def _stitch(keys: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = _simple_rings(pdf)
-        shells = sorted([(_area2(r), r) for r in rings if _area2(r) > 0])
-        holes = [[] for _ in shells]
-        for ring in rings:
-            if _area2(ring) < 0:
-                mx, my = (ring[0][0] + ring[1][0]) / 2, (ring[0][1] + ring[1][1]) / 2
-                home = next((i for i, (_, s) in enumerate(shells) if _holds(s, mx, my)), None)
-                if home is not None:
-                    holes[home].append(ring)
-        rows = [(p, r, i, x, y) for p, (_, shell) in enumerate(shells)
-                for r, ring in enumerate([shell, *holes[p]]) for i, (x, y) in enumerate([*ring, ring[0]])]
-        out = pd.DataFrame(rows, columns=["part", "ring", "i", "x", "y"])
-        for n, k in enumerate(keys):
-            out.insert(n, k, pdf[k].iloc[0])
-        return out
+@F.pandas_udf(T.ArrayType(G.PARTS))
+def stitch(pieces: pd.Series) -> pd.Series:
+    """Parts of each polygon, as geometries of one part, from its directed pieces (flat x1, y1, x2, y2 runs)."""
+    return pd.Series([_parts(np.asarray(p).reshape(-1, 4)) for p in pieces])
 
-    return run
+
+def _parts(pieces: np.ndarray) -> list:
+    rings = [(_area2(r), r) for r in _simple_rings(pieces)]
+    shells = sorted(r for r in rings if r[0] > 0)
+    parts = [[shell] for _, shell in shells]
+    for area, ring in rings:
+        if area < 0:
+            mx, my = (ring[0][0] + ring[1][0]) / 2, (ring[0][1] + ring[1][1]) / 2
+            home = next((part for part in parts if _holds(part[0], mx, my)), None)
+            if home is not None:
+                home.append(ring)
+    place = lambda p: {"x": p[0], "y": p[1], "z": None}
+    return [[[[place(p) for p in (*ring, ring[0])] for ring in part]] for part in parts]
 
 
 def difference_exploded(a: DataFrame, b: DataFrame, on: list[str] = ()) -> DataFrame:
@@ -278,14 +279,11 @@ def _overlay(a: DataFrame, b: DataFrame, on: list[str], rules: bool) -> DataFram
 
     changed = materialize(outline.select(*on, F.col("pid2").alias("pid")).unionByName(
         pieces.join(lost, [*on, "sid"], "left_semi").select(*on, "pid")).distinct())
-    kind = "".join(f"{c} {near.schema[c].dataType.simpleString()}, " for c in on)
-    rows = mine.unionByName(theirs).join(changed, [*on, "pid"], "left_semi").groupBy(*on, "pid").applyInPandas(
-        _stitch([*on, "pid"]), f"{kind}pid string, part int, ring int, i int, x double, y double")
-    seq = lambda key, value: F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda s: s["v"])
-    rings = rows.groupBy(*on, "pid", "part", "ring").agg(
-        seq("i", G.vertex(F.col("x"), F.col("y")).alias("v")).alias("_ring"))
-    shapes = rings.groupBy(*on, "pid", "part").agg(seq("ring", F.col("_ring").alias("v")).alias("_part"))
-    cut = shapes.select(*on, "pid", "part", G.geometry(F.array("_part")).alias("geometry"))
+    # one row per polygon before the rings are walked: that row is as large as its result geometry
+    rows = mine.unionByName(theirs).join(changed, [*on, "pid"], "left_semi").groupBy(*on, "pid").agg(
+        F.flatten(F.collect_list(F.array("x1", "y1", "x2", "y2"))).alias("_p"))
+    cut = rows.select(*on, "pid", F.posexplode(stitch("_p")).alias("part", "_parts")).select(
+        *on, "pid", "part", G.geometry(F.col("_parts")).alias("geometry"))
 
     # untouched neurons, in parts
     same = everything.filter("layer = 'A'").drop("layer", *_BOX).join(changed, [*on, "pid"], "left_anti")

@@ -42,12 +42,13 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and return a scan of it.
 
     The lineage ends there, so a lost executor costs only its own tasks. As a columnar table it
     is read with column pruning, and its file sizes tell the planner what may be broadcast.
+    ``rows_per_file`` keeps files of very wide rows small, since readers take many rows at once.
     """
     path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
