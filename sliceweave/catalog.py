@@ -852,7 +852,24 @@ def overlay_difference(spark, sf):
     return out.groupBy("pid").agg(F.round(F.sum(G.area(F.col("geometry"))), 6).alias("area"))
 
 
-@query("overlay_of_cells", None)
+@query("polygons_within", f"""SELECT CAST(a.c_custkey AS VARCHAR) AS pid, CAST(b.c_custkey AS VARCHAR) AS pid2
+FROM (SELECT c_custkey, {_AX} - {_AH} AS x0, {_AX} + {_AH} AS x1, {_AY} - {_AH} AS y0, {_AY} + {_AH} AS y1 FROM customer) a
+JOIN (SELECT c_custkey, {_BX} - {_BH} AS u0, {_BX} + {_BH} AS u1, {_BY} - {_BH} AS v0, {_BY} + {_BH} AS v1 FROM customer) b
+ON x0 >= u0 AND x1 <= u1 AND y0 >= v0 AND y1 <= v1""")
+def polygons_within(spark, sf):
+    return OV.polygons_within(*overlay_layers(spark, sf))
+
+
+@query("polygons_contain", f"""SELECT CAST(a.c_custkey AS VARCHAR) AS pid2, CAST(b.c_custkey AS VARCHAR) AS pid
+FROM (SELECT c_custkey, {_AX} - {_AH} AS x0, {_AX} + {_AH} AS x1, {_AY} - {_AH} AS y0, {_AY} + {_AH} AS y1 FROM customer) a
+JOIN (SELECT c_custkey, {_BX} - {_BH} AS u0, {_BX} + {_BH} AS u1, {_BY} - {_BH} AS v0, {_BY} + {_BH} AS v1 FROM customer) b
+ON u0 >= x0 AND u1 <= x1 AND v0 >= y0 AND v1 <= y1""")
+def polygons_contain(spark, sf):
+    neurons, others = overlay_layers(spark, sf)
+    return OV.polygons_within(others, neurons)
+
+
+@query("overlay_of_cells")
 def overlay_of_cells(spark, sf):
     """Overlapping quadrilaterals: even customers less odd ones, as parts with their area."""
     cells = polygons(spark, sf).select(F.col("cell_id").cast("string").alias("pid"), "cell_id", "geometry")

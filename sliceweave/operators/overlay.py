@@ -238,7 +238,17 @@ def harmonise(neurons: DataFrame, nonneurons: DataFrame, on: list[str] = ()) ->
     return _overlay(neurons, nonneurons, list(on), rules=True)
 
 
-def _overlay(a: DataFrame, b: DataFrame, on: list[str], rules: bool) -> DataFrame:
+def polygons_within(a: DataFrame, b: DataFrame, on: list[str] = ()) -> DataFrame:
+    """Inner join ``on, pid, pid2``: polygons of ``a`` that lie within a polygon of ``b``.
+
+    Swap the tables for the join by containment.
+    """
+    _, _, pieces, shared, inside = _arrange(a, b, list(on))
+    return _within(pieces, shared, inside, list(on), "A")
+
+
+def _arrange(a: DataFrame, b: DataFrame, on: list[str]):
+    """All polygons, those that meet the other layer, their boundary pieces, and how the pieces lie."""
     layer = lambda df, name: df.filter(~G.is_empty(F.col("geometry"))).select(
         *on, F.lit(name).alias("layer"), F.col("pid").cast("string").alias("pid"), "geometry")
     everything = materialize(_boxed_polygons(layer(a, "A").unionByName(layer(b, "B"))))
@@ -250,7 +260,11 @@ def _overlay(a: DataFrame, b: DataFrame, on: list[str], rules: bool) -> DataFram
     near = materialize(everything.drop(*_BOX).join(active, [*on, "layer", "pid"], "left_semi"))
     edges = materialize(boundary_edges(near, [*on, "layer", "pid"]))
     pieces = materialize(_pieces(edges, on))
-    shared, inside = _relations(near, pieces, on)
+    return everything, near, pieces, *_relations(near, pieces, on)
+
+
+def _overlay(a: DataFrame, b: DataFrame, on: list[str], rules: bool) -> DataFrame:
+    everything, near, pieces, shared, inside = _arrange(a, b, on)
 
     ids = [*on, "layer", "pid"]
     second = lambda df: df.select(*on, F.col("layer").alias("layer2"), F.col("pid").alias("pid2"))

@@ -33,9 +33,22 @@ def rows_of(columns, data):
     return sorted(tuple(norm(r[i]) for i in order) for r in data)
 
 
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "float": "FLOAT"}
+
+
+def type_difference(df, con, sql):
+    """Columns whose type differs between the query and its SQL."""
+    want = {r[0]: r[1] for r in con.execute(f"describe {sql}").fetchall()}
+    got = {c: KINDS.get(t, t) for c, t in df.dtypes}
+    return ", ".join(f"{c}: {got[c]} vs {want.get(c)}" for c in sorted(got) if got[c] != want.get(c))
+
+
 def compare(spark, con, sf, name, fn, sql):
     """Difference text, or an empty string when rows, columns and values agree."""
     df = fn(spark, sf)
+    types = type_difference(df, con, sql)
+    if types:
+        return f"types {types}"
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     cur = con.execute(sql)
     cols = [d[0] for d in cur.description]
