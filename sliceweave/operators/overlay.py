@@ -243,15 +243,25 @@ def polygons_within(a: DataFrame, b: DataFrame, on: list[str] = ()) -> DataFrame
 
     Swap the tables for the join by containment.
     """
-    _, _, pieces, shared, inside = _arrange(a, b, list(on))
-    return _within(pieces, shared, inside, list(on), "A")
+    on = list(on)
+    _, _, pieces, shared, inside = _arrange(a, b, on)
+    pairs = _within(pieces, shared, inside, on, "A")
+    copies = _one_per_shape(b, on).select(*on, "geometry", F.col("pid").alias("pid2")).join(
+        b.select(*on, "geometry", F.col("pid").cast("string").alias("copy")), [*on, "geometry"])
+    return pairs.join(copies, [*on, "pid2"]).select(*on, "pid", F.col("copy").alias("pid2"))
+
+
+def _one_per_shape(polygons: DataFrame, on: list[str]) -> DataFrame:
+    """Each geometry once, under its lowest id: copies of one outline would meet each other in pairs."""
+    return polygons.filter(~G.is_empty(F.col("geometry"))).groupBy(*on, "geometry").agg(
+        F.min(F.col("pid").cast("string")).alias("pid"))
 
 
 def _arrange(a: DataFrame, b: DataFrame, on: list[str]):
     """All polygons, those that meet the other layer, their boundary pieces, and how the pieces lie."""
     layer = lambda df, name: df.filter(~G.is_empty(F.col("geometry"))).select(
         *on, F.lit(name).alias("layer"), F.col("pid").cast("string").alias("pid"), "geometry")
-    everything = materialize(_boxed_polygons(layer(a, "A").unionByName(layer(b, "B"))))
+    everything = materialize(_boxed_polygons(layer(a, "A").unionByName(layer(_one_per_shape(b, on), "B"))))
     keyed = everything.withColumn("key", F.struct("layer", "pid"))
     meets = grid.overlapping_boxes(keyed, "key", on, _BOX, ["layer"], _levels(everything),
                                    lambda c: c("layer_1") != c("layer_2"))

@@ -66,7 +66,7 @@ def mask_by_polygon(pixels: DataFrame, polygons: DataFrame, inverted: bool = Fal
     """Blank the pixels whose centre lies in no polygon (or, inverted, in one)."""
     centres = pixels.select("img", "y", "x").distinct()
     centres = centres.withColumns({"_px": F.col("x") + 0.5, "_py": F.col("y") + 0.5})
-    hits = points_within(centres, polygons.select(*on, "geometry"), "_px", "_py", list(on))
+    hits = points_within(centres, polygons.select(*on, "geometry").distinct(), "_px", "_py", list(on))
     hits = hits.select("img", "y", "x").distinct().withColumn("_m", F.lit(True))
     covered = F.coalesce("_m", F.lit(False))
     keep = ~covered if inverted else covered

@@ -34,6 +34,13 @@ def build_barcodes(features: DataFrame, position: str, id_column: str | None) ->
     return features.withColumn("barcode", F.coalesce(F.when(text != "", text), fallback))
 
 
+def with_measures(polygons: DataFrame) -> DataFrame:
+    """Add area and centroid from one pass over the outline."""
+    m = polygons.withColumn("_m", G.moments(F.col("geometry")))
+    area = F.col("_m.area")
+    return m.withColumns({"polygon_area": area, "centroid_x": F.col("_m.mx") / area, "centroid_y": F.col("_m.my") / area}).drop("_m")
+
+
 def load_features(features: DataFrame, order: list[str], id_column: str | None = None, check: bool = True) -> DataFrame:
     """Segmentation polygons ready for assignment.
 
@@ -46,7 +53,5 @@ def load_features(features: DataFrame, order: list[str], id_column: str | None =
         raise ValueError("no valid polygon features were found")
     numbered = with_position(json_scalars(kept), order, "polygon_pos")
     out = build_barcodes(numbered, "polygon_pos", id_column)
-    out = out.withColumn("polygon_area", G.area(F.col("geometry")))
-    out = out.withColumn("_c", G.centroid(F.col("geometry")))
-    out = out.withColumns({"centroid_x": F.col("_c.x"), "centroid_y": F.col("_c.y")}).drop("_c")
+    out = with_measures(out)
     return require_unique(out, "barcode") if check else out

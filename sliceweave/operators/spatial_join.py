@@ -52,14 +52,22 @@ def points_within(points: DataFrame, polygons: DataFrame, x: str = "x", y: str =
     return pairs.filter(G.location("_edges", x, y) == 1).drop("_edges")
 
 
+def distinct_shapes(polygons: DataFrame, on: list[str], polygon_id: str, geom: str) -> DataFrame:
+    """One row per geometry with its lowest id and the number of copies.
+
+    Copies would multiply the candidates of every point on them; a join needs each geometry once.
+    """
+    return polygons.filter(~G.is_empty(F.col(geom))).groupBy(*on, geom).agg(
+        F.min(polygon_id).alias(polygon_id), F.count(F.lit(1)).alias("_copies"))
+
+
 def unique_assignment(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, **join) -> DataFrame:
     """(point, polygon) for the points strictly within exactly one polygon."""
-    on = list(join.get("on", ()))
+    on, geom = list(join.get("on", ())), join.get("geom", "geometry")
     x, y = join.get("x", "x"), join.get("y", "y")
-    hits = points_within(
-        points.select(*on, point_id, x, y), polygons.select(*on, polygon_id, join.get("geom", "geometry")), **join
-    )
-    counted = hits.groupBy(*on, point_id).agg(F.count(F.lit(1)).alias("_n"), F.min(polygon_id).alias(polygon_id))
+    shapes = distinct_shapes(polygons, on, polygon_id, geom)
+    hits = points_within(points.select(*on, point_id, x, y), shapes, **join)
+    counted = hits.groupBy(*on, point_id).agg(F.sum("_copies").alias("_n"), F.min(polygon_id).alias(polygon_id))
     return counted.filter("_n = 1").drop("_n")
 
 
@@ -86,20 +94,26 @@ def label_points(points: DataFrame, masks: DataFrame, point_id: str, x: str, y:
     """
     factor = F.lit(1.0 / micron_per_pixel)
     scaled = points.select(*on, point_id, (F.col(x) * factor).alias("_px"), (F.col(y) * factor).alias("_py"))
-    hits = points_within(scaled, masks.select(*on, label, order, "geometry"), "_px", "_py", on)
+    # of masks with one outline only the last can win
+    latest = masks.groupBy(*on, "geometry").agg(F.max_by(label, order).alias(label), F.max(order).alias(order))
+    hits = points_within(scaled, latest, "_px", "_py", on)
     last = hits.groupBy(*on, point_id).agg(F.max_by(label, F.col(order)).alias(label))
     out = points.join(last, [*on, point_id], "left")
     return out.withColumn(label, F.coalesce(F.col(label), F.lit(unassigned)))
 
 
-def counts_per_polygon(points: DataFrame, polygons: DataFrame, polygon_id: str, name: str, **join) -> DataFrame:
-    """Points strictly inside each polygon that has any; combined map-side before the shuffle."""
-    on = list(join.get("on", ()))
-    x, y = join.get("x", "x"), join.get("y", "y")
-    hits = points_within(
-        points.select(*on, x, y), polygons.select(*on, polygon_id, join.get("geom", "geometry")), **join
-    )
-    return hits.groupBy(*on, polygon_id).agg(F.count(F.lit(1)).alias(name))
+def counts_per_polygon(points: DataFrame, polygons: DataFrame, polygon_id: str, counts: dict, **join) -> DataFrame:
+    """Polygons with aggregates over the points strictly inside, null where there are none.
+
+    ``counts`` maps a column name to an aggregate over point columns. Points are combined
+    map-side per geometry; copies of a geometry take the same values afterwards.
+    """
+    on, geom = list(join.get("on", ())), join.get("geom", "geometry")
+    shapes = distinct_shapes(polygons.select(*on, geom, F.col(polygon_id).alias("_shape")), on, "_shape", geom)
+    hits = points_within(points, shapes.drop("_copies"), **join)
+    per_shape = hits.groupBy(*on, "_shape").agg(*[agg.alias(name) for name, agg in counts.items()])
+    found = shapes.join(per_shape, [*on, "_shape"]).select(*on, geom, *counts)
+    return polygons.join(found, [*on, geom], "left").select(*polygons.columns, *counts)
 
 
 def transcript_ratio(polygons: DataFrame, nonneuron: DataFrame, neuron: DataFrame, polygon_id: str,
@@ -115,18 +129,11 @@ def transcript_ratio(polygons: DataFrame, nonneuron: DataFrame, neuron: DataFram
     # one spatial join serves both point sets
     marked = nonneuron.withColumn("_m", F.lit(0)).unionByName(neuron.withColumn("_m", F.lit(1)))
     x, y = join.get("x", "x"), join.get("y", "y")
-    hits = points_within(
-        marked.select(*on, x, y, "_m"), polygons.select(*on, polygon_id, join.get("geom", "geometry")), **join
-    )
-    counts = hits.groupBy(*on, polygon_id).agg(
-        F.sum((F.col("_m") == 0).cast("long")).alias("nonneuron_count"),
-        F.sum((F.col("_m") == 1).cast("long")).alias("neuron_count"),
-    )
+    counts = {"nonneuron_count": F.sum((F.col("_m") == 0).cast("long")), "neuron_count": F.sum((F.col("_m") == 1).cast("long"))}
+    counted = counts_per_polygon(marked.select(*on, x, y, "_m"), polygons, polygon_id, counts, **join)
     floor = 0 if strict else 1
-    out = polygons.join(counts, [*on, polygon_id], "left").withColumns(
-        {c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(floor)).cast("long")
-         for c in ("nonneuron_count", "neuron_count")}
-    )
+    out = counted.withColumns(
+        {c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(floor)).cast("long") for c in counts})
     total = F.col("nonneuron_count") + F.col("neuron_count")
     out = out.withColumn("ratio", F.when(total > 0, F.col("nonneuron_count") / total).otherwise(F.lit(10.0)))
     if keep_all:

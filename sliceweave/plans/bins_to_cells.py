@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sliceweave.functions import geometry as G
 from sliceweave.operators.matrix import Matrix, attach_metadata, filter_by_counts, group_sum
-from sliceweave.operators.rings import load_features, polygons_from_vertices
+from sliceweave.operators.rings import load_features, polygons_from_vertices, with_measures
 from sliceweave.operators.spatial_join import unique_assignment
 from sliceweave.session import materialize
 
@@ -18,9 +18,7 @@ def cell_polygons(vertices: DataFrame, factor: float, order: list[str] | None =
     scaled = polygons.withColumn("geometry", G.scale(F.col("geometry"), factor))
     if order is None:
         # ids are known to be there, so no position is needed for a fallback name
-        out = scaled.withColumn("barcode", F.col("cell_id").cast("string"))
-        out = out.withColumn("polygon_area", G.area(F.col("geometry")))
-        return out.withColumns({f"centroid_{a}": G.centroid(F.col("geometry"))[a] for a in ("x", "y")})
+        return with_measures(scaled.withColumn("barcode", F.col("cell_id").cast("string")))
     return load_features(scaled, order, "cell_id")
 
 

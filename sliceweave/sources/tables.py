@@ -99,14 +99,10 @@ def read_sheet(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
 
     ``pos`` numbers the rows in file order; a sheet is a short file.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("i", "line"))
-    parts = F.split("line", "\t")
-    kept = lines.filter(~F.col("line").startswith("#")).select("i", parts.alias("f"))
-    first = kept.agg(F.min("i").alias("h"))
-    # one header row; the sheet's few lines are compared with it
-    rows = kept.join(F.broadcast(first), F.col("i") > F.col("h"))
-    rows = rows.filter(F.size("f") >= len(fields))
-    return rows.select(F.col("i").alias("pos"), *[F.col("f")[n].alias(name) for n, name in enumerate(fields)])
+    lines = F.filter(F.split("value", "\r?\n"), lambda l: ~l.startswith("#"))
+    body = spark.read.text(path, wholetext=True).select(F.posexplode(F.slice(lines, 2, F.size(lines))).alias("pos", "line"))
+    rows = body.select("pos", F.split("line", "\t").alias("f")).filter(F.size("f") >= len(fields))
+    return rows.select("pos", *[F.col("f")[n].alias(name) for n, name in enumerate(fields)])
 
 
 def side_sections(sheet: DataFrame, side: str) -> DataFrame:

@@ -153,3 +153,14 @@ def test_warp(spark):
     v = [(p["x"], p["y"]) for part in out.first()["geometry"]["parts"] for ring in part for p in ring]
     w = [(p["x"], p["y"]) for part in poly.first()["geometry"]["parts"] for ring in part for p in ring]
     assert v == [(x + 0.25 * x, y + 1) for x, y in w]
+
+
+def test_copies_of_a_shape(spark):
+    many = shapes(spark, [(f"c{i}", [[box(0, 0, 2, 2)]]) for i in range(50)] + [("d", [[box(4, 0, 6, 2)]])])
+    cells = pts(spark, [(1, 1), (5, 1)])
+    assert [(r["id"], r["pid"]) for r in SJ.unique_assignment(cells, many, "id", "pid").collect()] == [(1, "d")]
+    counts = SJ.counts_per_polygon(cells, many, "pid", {"n": F.count(F.lit(1))}).collect()
+    assert len(counts) == 51 and {r["n"] for r in counts} == {1}
+    neuron = shapes(spark, [("n", [[box(1, 0, 3, 2)]]), ("i", [[box(0.5, 0.5, 1, 1)]])])
+    assert parts_area(OV.harmonise(neuron, many)) == {"n": [2.0]}
+    assert OV.polygons_within(neuron, many).count() == 50
