@@ -18,7 +18,7 @@ from sliceweave.llm.common import slices, words_of
 from sliceweave.session import materialize
 
 #: Words whose ids a Python worker remembers; beyond that it starts anew.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 300_000
 
 
 class WordIds:

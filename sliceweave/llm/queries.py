@@ -88,3 +88,72 @@ def op10_pack(spark, sf_dir):
     from sliceweave.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------------------------------------------ 2 exact top-k
+
+@query("op2_top_inner_products", """WITH v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(CAST(256 AS DOUBLE) * x)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, q.r AS qr, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score, c.r FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id, r) AS rank FROM s) WHERE rank <= 5""")
+def op2_top_inner_products(spark, sf_dir):
+    from sliceweave.llm.topk import top_inner_products
+
+    whole = F.transform(F.col("embedding"), lambda x: F.floor(x.cast("double") * 256.0).cast("double"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), whole).alias("embedding"))
+    return top_inner_products(vectors).select("query_id", "rank", "vec_id", F.round("score").cast("long").alias("score"))
+
+
+# ------------------------------------------------------------------------------------------------ 4 repeated passages
+
+@query("op4_sentence_spans")
+def op4_sentence_spans(spark, sf_dir):
+    from sliceweave.llm.spans import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# ------------------------------------------------------------------------------------------------ 5 toxicity
+
+@query("op5_toxicity")
+def op5_toxicity(spark, sf_dir):
+    from sliceweave.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+# ------------------------------------------------------------------------------------------------ 6 near duplicates
+
+@query("op6_near_duplicates")
+def op6_near_duplicates(spark, sf_dir):
+    from sliceweave.llm.near_dups import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+# ------------------------------------------------------------------------------------------------ 8 approximate neighbours
+
+@query("op8_nearest")
+def op8_nearest(spark, sf_dir):
+    from sliceweave.llm.ann import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+# ------------------------------------------------------------------------------------------------ 9 language
+
+@query("op9_language")
+def op9_language(spark, sf_dir):
+    from sliceweave.llm.language import of_documents
+
+    return of_documents(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+@query("language_of_pages")
+def language_of_pages(spark, sf_dir):
+    """The same for web pages, which have an address and markup; the text model comes from the documents."""
+    from sliceweave.llm.language import fit, of_pages
+
+    model = fit(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    return of_pages(table(spark, sf_dir, "pages"), model)
