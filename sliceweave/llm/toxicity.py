@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -16,9 +18,11 @@ SPAN, DECAY = 6, 0.5
 STEPS = [(j, k, DECAY ** (k - 2)) for k in range(2, SPAN) for j in range(1, k)]
 #: Features are hashed to so many places.
 PLACES = 1 << 20
-#: Bounds of the fit: labelled documents of each class, clean words as examples, landmarks of each class, rounds.
-TOXIC_DOCS, CLEAN_DOCS, CLEAN_WORDS, LANDMARKS, ROUNDS = 4000, 8000, 30_000, 128, 4
-MARKS = "\"'.,;:!?()[]{}<>|"
+#: Bounds of the fit: labelled documents of each class, clean words by chance and by score, landmarks of each class, rounds.
+TOXIC_DOCS, CLEAN_DOCS, CLEAN_WORDS, HARD_WORDS, LANDMARKS, ROUNDS = 4000, 8000, 20_000, 4000, 256, 3
+#: How much a term must explain, see explaining_terms.
+LEAST_GAIN, LEAST_AGAIN, TERMS_A_TEXT = 2.0, 8.0, 4
+MARKS = "\"'.,;:!?()[]{}<>|%#*$&@^~_-+=/\\`"
 
 
 def subsequences(terms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -159,9 +163,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on sentences of labelled documents.
 
     A clean document has clean sentences only; a toxic one has at least one toxic sentence, and in it a toxic term, but the
-    label does not say which. So examples are terms: those of clean sentences are clean, and of each toxic document the
-    term that scores highest is toxic, chosen anew in every round. Terms are compared by the kernel through landmarks.
-    Only words that occur in two or more different toxic texts and in no clean one can be chosen.
+    label does not say which. So examples are terms. Those of clean sentences are clean. Toxic ones are chosen from words
+    that two or more toxic texts hold and hardly any clean one: again and again the one that explains most toxic texts which
+    none before explains, so words that merely stand in copies of a toxic text are left out. Terms are compared by the kernel
+    through landmarks. After each round the clean words that look most toxic join the examples.
     """
     from sliceweave.session import materialize
 
@@ -179,36 +184,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     held = materialize(sample.mapInPandas(words, "toxic int, doc long, term string"))
     counts = held.groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good"))
-    suspects = materialize(counts.filter("bad >= 2 and good = 0"))
-    rows = held.filter("toxic = 1").join(suspects, "term").select("doc", "term", "bad").collect()
-    clean = [r["term"] for r in counts.filter("good > 0").orderBy(F.xxhash64("term"), "term").limit(CLEAN_WORDS).select("term").collect()]
-    if not rows or not clean:
+    suspects = materialize(counts.filter("bad >= 2 and bad >= 4 * good"))
+    rows = held.filter("toxic = 1").join(suspects, "term").select("doc", "term").collect()
+    harmless = counts.filter("good > 0 and bad < 4 * good").select("term")
+    clean = [r["term"] for r in harmless.orderBy(F.xxhash64("term"), "term").limit(CLEAN_WORDS).collect()]
+    toxic = explaining_terms(rows)
+    if not toxic or not clean:
         return Model(np.zeros(PLACES, dtype=np.float32), -1.0, 1.0, 0.0)
-    by_doc, often = {}, {}
-    for r in rows:
-        by_doc.setdefault(r["doc"], []).append(r["term"])
-        often[r["term"]] = r["bad"]
-    terms = sorted(often, key=lambda t: (-often[t], t))
-    number = {t: i for i, t in enumerate(terms)}
-    docs_terms = [np.array(sorted(number[t] for t in ts)) for _, ts in sorted(by_doc.items())]
-    kernel = Kernel(terms[:LANDMARKS] + clean[:LANDMARKS])
-    values, vectors = np.linalg.eigh(kernel(terms[:LANDMARKS] + clean[:LANDMARKS]))
-    good = values > 1e-4 * values.max()
-    root = vectors[:, good] / np.sqrt(values[good])
-    x_bad, x_clean = kernel(terms) @ root, kernel(clean) @ root
-    weight = np.array([often[t] for t in terms], dtype=float)
-    chosen = np.minimum(weight, 50.0)
-    for _ in range(ROUNDS):
-        use = chosen > 0
-        x = np.vstack([x_bad[use], x_clean])
-        y = np.concatenate([np.ones(use.sum()), -np.ones(len(x_clean))])
+    hard: list[str] = []
+    for turn in range(ROUNDS):
+        examples = clean + hard
+        marks = [t for t, _ in toxic[:LANDMARKS]] + clean[:LANDMARKS // 2] + hard[:LANDMARKS // 2]
+        kernel = Kernel(marks)
+        values, vectors = np.linalg.eigh(kernel(marks))
+        good = values > 1e-4 * values.max()
+        root = vectors[:, good] / np.sqrt(values[good])
+        x = np.vstack([kernel([t for t, _ in toxic]) @ root, kernel(examples) @ root])
+        y = np.concatenate([np.ones(len(toxic)), -np.ones(len(examples))])
+        share = np.sqrt([n for _, n in toxic])
         # both classes weigh the same in all
-        w = np.concatenate([chosen[use] / chosen[use].sum(), np.full(len(x_clean), 1.0 / len(x_clean))]) * 2000
-        line, bias = fit_machine(x, y, w)
-        scores = x_bad @ line
-        best = np.array([t[np.argmax(scores[t])] for t in docs_terms])
-        chosen = np.bincount(best, minlength=len(terms)).astype(float)
-    table = kernel.table(root @ line)
+        line, bias = fit_machine(x, y, np.concatenate([share / share.sum(), np.full(len(examples), 1.0 / len(examples))]) * 2000)
+        table = kernel.table(root @ line)
+        if turn + 1 < ROUNDS:
+            hard = _hardest(harmless, table, bias, hard)
 
     def scored(frames):
         for frame in frames:
@@ -219,6 +217,55 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(table, bias, slope, shift)
 
 
+def explaining_terms(rows: list) -> list[tuple[str, int]]:
+    """Terms that explain the documents, with the documents that hold each. ``rows`` are pairs (doc, term).
+
+    Greedily: a term is taken if it explains texts of weight LEAST_GAIN that none before explains, or of weight
+    LEAST_AGAIN that fewer than TERMS_A_TEXT do, since a toxic text often holds several.
+    """
+    terms = sorted({r["term"] for r in rows})
+    number = {t: i for i, t in enumerate(terms)}
+    by_doc: dict[int, list[int]] = {}
+    by_term: list[list[int]] = [[] for _ in terms]
+    for r in rows:
+        by_doc.setdefault(r["doc"], []).append(number[r["term"]])
+        by_term[number[r["term"]]].append(r["doc"])
+    # copies of a text share their smallest hash, so together they weigh as one text
+    sign = {d: min(hash_of(terms[t]) for t in ts) for d, ts in by_doc.items()}
+    alike = Counter(sign.values())
+    weight = {d: 1.0 / alike[s] for d, s in sign.items()}
+    gain, out, told = np.zeros(len(terms)), [], dict.fromkeys(by_doc, 0)
+    again = np.zeros(len(terms))
+    for d, ts in by_doc.items():
+        gain[ts] += weight[d]
+        again[ts] += weight[d]
+    free = np.ones(len(terms), dtype=bool)
+    while len(terms):
+        rank = np.where(free & ((gain >= LEAST_GAIN) | (again >= LEAST_AGAIN)), gain + again, -1.0)
+        best = int(np.argmax(rank))
+        if rank[best] < 0:
+            break
+        free[best] = False
+        out.append((terms[best], len(by_term[best])))
+        for d in by_term[best]:
+            told[d] += 1
+            if told[d] == 1:
+                gain[by_doc[d]] -= weight[d]
+            if told[d] == TERMS_A_TEXT:
+                again[by_doc[d]] -= weight[d]
+    return sorted(out, key=lambda t: (-t[1], t[0]))
+
+
+def _hardest(harmless: DataFrame, table: np.ndarray, bias: float, known: list[str]) -> list[str]:
+    """The clean terms with the greatest scores, HARD_WORDS at most, and those found before."""
+    def run(frames):
+        for frame in frames:
+            yield pd.DataFrame({"term": frame["term"], "score": term_scores(list(frame["term"]), table, bias) if len(frame) else []})
+
+    top = harmless.mapInPandas(run, "term string, score double").orderBy(F.desc("score"), "term").limit(HARD_WORDS).collect()
+    return list(dict.fromkeys([r["term"] for r in top] + known))
+
+
 def hash_of(text: str) -> int:
     import xxhash
 
