@@ -18,10 +18,10 @@ SPAN, DECAY = 6, 0.5
 STEPS = [(j, k, DECAY ** (k - 2)) for k in range(2, SPAN) for j in range(1, k)]
 #: Features are hashed to so many places.
 PLACES = 1 << 20
-#: Bounds of the fit: labelled documents of each class, clean words by chance and by score, landmarks of each class, rounds.
-TOXIC_DOCS, CLEAN_DOCS, CLEAN_WORDS, HARD_WORDS, LANDMARKS, ROUNDS = 4000, 8000, 20_000, 4000, 256, 3
+#: Bounds of the fit: labelled documents of each class, clean words by chance (and a quarter as many by frequency) and by score, landmarks of each class, rounds.
+TOXIC_DOCS, CLEAN_DOCS, CLEAN_WORDS, HARD_WORDS, LANDMARKS, ROUNDS = 4000, 8000, 20_000, 4000, 192, 5
 #: How much a term must explain, see explaining_terms.
-LEAST_GAIN, LEAST_AGAIN, TERMS_A_TEXT = 2.0, 8.0, 4
+LEAST_GAIN, LEAST_AGAIN, TERMS_A_TEXT = 2.0, 12.0, 12
 MARKS = "\"'.,;:!?()[]{}<>|%#*$&@^~_-+=/\\`"
 
 
@@ -59,8 +59,8 @@ class Kernel:
 
     def __call__(self, terms: list[str]) -> np.ndarray:
         out = np.zeros((len(terms), len(self.rows)))
-        for at in range(0, len(terms), 1000):
-            part = terms[at:at + 1000]
+        for at in range(0, len(terms), 400):
+            part = terms[at:at + 400]
             who, where, weight, norm = subsequences(part)
             column = np.searchsorted(self.columns, where)
             hit = self.columns[np.minimum(column, len(self.columns) - 1)] == where
@@ -98,7 +98,23 @@ def fit_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float =
 
 
 def terms_of(words: list[str]) -> list[str]:
-    return [w.lower().strip(MARKS) or w for w in words]
+    """Words in lower case without marks at their ends, and without marks inside if letters are left."""
+    out = []
+    for w in words:
+        t = w.lower().strip(MARKS)
+        if not t.isalnum():
+            t = "".join(c for c in t if c.isalnum()) or w
+        out.append(t)
+    return out
+
+
+def disguised(term: str) -> list[str]:
+    """The term with a letter put in, and with a letter exchanged, at a place and by a letter that the term determines."""
+    if len(term) < 4:
+        return []
+    h = hash_of(term)
+    at, letter, other = 1 + h % (len(term) - 2), "xzqkj01v"[h // 64 % 8], "x1qk0jzv"[h // 512 % 8]
+    return [term[:at + 1] + letter + term[at + 1:], term[:at] + other + term[at + 1:]]
 
 
 def spaced_out(codes: np.ndarray, counts: np.ndarray, words: list[str]) -> tuple[list[str], np.ndarray]:
@@ -166,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     label does not say which. So examples are terms. Those of clean sentences are clean. Toxic ones are chosen from words
     that two or more toxic texts hold and hardly any clean one: again and again the one that explains most toxic texts which
     none before explains, so words that merely stand in copies of a toxic text are left out. Terms are compared by the kernel
-    through landmarks. After each round the clean words that look most toxic join the examples.
+    through landmarks, and also learnt with a letter put in or exchanged. After each round the clean words that look most toxic join the examples.
     """
     from sliceweave.session import materialize
 
@@ -186,27 +202,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts = held.groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good"))
     suspects = materialize(counts.filter("bad >= 2 and bad >= 4 * good"))
     rows = held.filter("toxic = 1").join(suspects, "term").select("doc", "term").collect()
-    harmless = counts.filter("good > 0 and bad < 4 * good").select("term")
-    clean = [r["term"] for r in harmless.orderBy(F.xxhash64("term"), "term").limit(CLEAN_WORDS).collect()]
+    harmless = counts.filter("good > 0 and bad < 4 * good").select("term", "good")
+    frequent = harmless.orderBy(F.desc("good"), "term").limit(CLEAN_WORDS // 4).collect()
+    chance = harmless.orderBy(F.xxhash64("term"), "term").limit(CLEAN_WORDS).collect()
+    clean = list(dict.fromkeys(r["term"] for r in frequent + chance))
     toxic = explaining_terms(rows)
     if not toxic or not clean:
         return Model(np.zeros(PLACES, dtype=np.float32), -1.0, 1.0, 0.0)
     hard: list[str] = []
     for turn in range(ROUNDS):
         examples = clean + hard
-        marks = [t for t, _ in toxic[:LANDMARKS]] + clean[:LANDMARKS // 2] + hard[:LANDMARKS // 2]
+        known = set(examples)
+        marks = [t for t, _ in toxic[:LANDMARKS]] + clean[:LANDMARKS // 2] + hard[:LANDMARKS]
         kernel = Kernel(marks)
         values, vectors = np.linalg.eigh(kernel(marks))
         good = values > 1e-4 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])
-        x = np.vstack([kernel([t for t, _ in toxic]) @ root, kernel(examples) @ root])
-        y = np.concatenate([np.ones(len(toxic)), -np.ones(len(examples))])
-        share = np.sqrt([n for _, n in toxic])
+        bad = toxic + [(v, n / 4) for t, n in toxic for v in disguised(t) if v not in known]
+        x = np.vstack([kernel([t for t, _ in bad]) @ root, kernel(examples) @ root])
+        y = np.concatenate([np.ones(len(bad)), -np.ones(len(examples))])
+        share = np.sqrt([n for _, n in bad])
         # both classes weigh the same in all
         line, bias = fit_machine(x, y, np.concatenate([share / share.sum(), np.full(len(examples), 1.0 / len(examples))]) * 2000)
         table = kernel.table(root @ line)
         if turn + 1 < ROUNDS:
-            hard = _hardest(harmless, table, bias, hard)
+            hard = _hardest(harmless.select("term"), table, bias, hard)
 
     def scored(frames):
         for frame in frames:
