@@ -14,6 +14,8 @@ from sliceweave.session import materialize
 
 #: Rows of the bounded sample from which the tree's planes are taken; every row is filed in the tree.
 TREE_SAMPLE = 20_000
+#: Squared projected distances below this share of a query's own squared length may be rounding; copies of a vector meet so.
+ROUNDING = 1e-9
 
 
 def chi_square_cdf(x: float, dims: int) -> float:
@@ -71,14 +73,16 @@ def _visit(width: int, planes: np.ndarray, k: int, reach: float):
                 limits = np.frombuffer(r.limits, dtype="<f8") if r.limits is not None else np.full(len(q), np.inf)
                 near = m @ planes
                 for i in range(len(q)):
-                    gaps = near - q[i] @ planes
-                    gaps = np.einsum("ij,ij->i", gaps, gaps)
+                    here = q[i] @ planes
+                    gaps = near - here
+                    gaps = np.einsum("ij,ij->i", gaps, gaps) - ROUNDING * (here @ here)
                     order = np.argsort(gaps, kind="stable")
                     order = order[rows[order] != q_rows[i]]
+                    sorted_gaps = gaps[order]
                     best_d, best_at, limit, at = np.zeros(0), np.zeros(0, dtype=np.int64), limits[i], 0
                     while at < len(order):
                         # stop: all points left are farther in the projection than a nearer neighbour would be
-                        stop = np.searchsorted(gaps[order], limit * reach, side="right")
+                        stop = np.searchsorted(sorted_gaps, limit * reach, side="right")
                         part = order[at:min(stop, at + 4 * k + at)]
                         if not len(part):
                             break
@@ -97,7 +101,7 @@ def _visit(width: int, planes: np.ndarray, k: int, reach: float):
     return visit
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 100, dims: int = 8, sure: float = 0.97, id_col: str = "vec_id",
+def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 100, dims: int = 8, sure: float = 0.98, id_col: str = "vec_id",
                        vec_col: str = "embedding", block: int = 1024, pack: int = 32, seed: int = 7) -> DataFrame:
     """For each query row (id divisible by ``every``) its ``k`` nearest other rows found: query_id, rank, vec_id, score.
 
@@ -172,12 +176,14 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 100, dims:
             for r in frame.itertuples(index=False):
                 got = {f["qrow"]: f["limit"] for f in r.known} if r.known is not None else {}
                 limit = np.array([got.get(int(x), np.inf) for x in np.frombuffer(r.q_rows, dtype="<i8")]) * (1 + 1e-9)
-                out.append((r.pack, r.q_ids, r.q_rows, r.q_mat, limit.astype("<f8").tobytes(), float(limit.max())))
-            yield pd.DataFrame(out, columns=["pack", "q_ids", "q_rows", "q_mat", "limits", "widest"])
+                here = np.frombuffer(r.q_mat, dtype="<f8").reshape(len(limit), width) @ planes
+                far = limit * reach + ROUNDING * np.einsum("ij,ij->i", here, here)
+                out.append((r.pack, r.q_ids, r.q_rows, r.q_mat, limit.astype("<f8").tobytes(), float(far.max())))
+            yield pd.DataFrame(out, columns=["pack", "q_ids", "q_rows", "q_mat", "limits", "farthest"])
 
     ready = materialize(queries.join(known, "pack", "left").mapInPandas(
-        with_limits, "pack long, q_ids binary, q_rows binary, q_mat binary, limits binary, widest double"))
-    rest = pairs.join(start, ["pack", "block"], "left_anti").join(ready, "pack").filter(F.col("gap") <= F.col("widest") * reach)
+        with_limits, "pack long, q_ids binary, q_rows binary, q_mat binary, limits binary, farthest double"))
+    rest = pairs.join(start, ["pack", "block"], "left_anti").join(ready, "pack").filter(F.col("gap") <= F.col("farthest"))
     more = rest.select("block", "q_ids", "q_rows", "q_mat", "limits").join(bodies, "block")
     found = found.unionByName(more.drop("block").mapInPandas(visit, FOUND))
     best = merged(found, k, [F.asc("score"), F.asc("vec_id"), F.asc("row")])
