@@ -20,6 +20,8 @@ STEPS = [(j, k, DECAY ** (k - 2)) for k in range(2, SPAN) for j in range(1, k)]
 PLACES = 1 << 20
 #: Bounds of the fit: labelled documents of each class, clean words by chance (and a quarter as many by frequency) and by score, landmarks of each class, rounds.
 TOXIC_DOCS, CLEAN_DOCS, CLEAN_WORDS, HARD_WORDS, LANDMARKS, ROUNDS = 4000, 8000, 20_000, 4000, 192, 5
+#: Raw score of a text without words; clean examples aim at -1.
+NO_WORDS = -2.0
 #: How much a term must explain, see explaining_terms.
 LEAST_GAIN, LEAST_AGAIN, TERMS_A_TEXT = 2.0, 12.0, 12
 MARKS = "\"'.,;:!?()[]{}<>|%#*$&@^~_-+=/\\`"
@@ -135,9 +137,9 @@ def spaced_out(codes: np.ndarray, counts: np.ndarray, words: list[str]) -> tuple
 
 def best_terms(texts: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
     """The greatest score of any term of each text. A sentence scores as its best term, a text as its best sentence; a text
-    without words scores as the bias."""
+    without words scores NO_WORDS."""
     codes, counts, words = words_of(texts, lower=True)
-    out = np.full(len(counts), bias)
+    out = np.full(len(counts), NO_WORDS)
     if len(codes):
         scores = term_scores(terms_of(words), table, bias)[codes]
         full = np.flatnonzero(counts)
@@ -194,14 +196,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for toxic, text in zip(frame["toxic"], frame["text"]):
                 codes, counts, found = words_of(pa.array([text]), lower=True)
                 terms = set(terms_of(found)) | set(spaced_out(codes, counts, found)[0])
-                out.append(pd.DataFrame({"toxic": toxic, "doc": np.int64(hash_of(text)), "term": sorted(terms)}))
+                # copies of a text, near ones too, mostly share their smallest hash
+                sign = min(map(hash_of, terms), default=0)
+                out.append(pd.DataFrame({"toxic": toxic, "doc": np.int64(hash_of(text)), "sign": np.int64(sign), "term": sorted(terms)}))
             if out:
                 yield pd.concat(out)
 
-    held = materialize(sample.mapInPandas(words, "toxic int, doc long, term string"))
+    held = materialize(sample.mapInPandas(words, "toxic int, doc long, sign long, term string"))
     counts = held.groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good"))
     suspects = materialize(counts.filter("bad >= 2 and bad >= 4 * good"))
-    rows = held.filter("toxic = 1").join(suspects, "term").select("doc", "term").collect()
+    rows = held.filter("toxic = 1").join(suspects, "term").select("doc", "sign", "term").collect()
     harmless = counts.filter("good > 0 and bad < 4 * good").select("term", "good")
     frequent = harmless.orderBy(F.desc("good"), "term").limit(CLEAN_WORDS // 4).collect()
     chance = harmless.orderBy(F.xxhash64("term"), "term").limit(CLEAN_WORDS).collect()
@@ -238,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def explaining_terms(rows: list) -> list[tuple[str, int]]:
-    """Terms that explain the documents, with the documents that hold each. ``rows`` are pairs (doc, term).
+    """Terms that explain the documents, with the documents that hold each. ``rows`` are (doc, sign, term).
 
     Greedily: a term is taken if it explains texts of weight LEAST_GAIN that none before explains, or of weight
     LEAST_AGAIN that fewer than TERMS_A_TEXT do, since a toxic text often holds several.
@@ -250,8 +254,8 @@ def explaining_terms(rows: list) -> list[tuple[str, int]]:
     for r in rows:
         by_doc.setdefault(r["doc"], []).append(number[r["term"]])
         by_term[number[r["term"]]].append(r["doc"])
-    # copies of a text share their smallest hash, so together they weigh as one text
-    sign = {d: min(hash_of(terms[t]) for t in ts) for d, ts in by_doc.items()}
+    # copies weigh as one text together
+    sign = {r["doc"]: r["sign"] for r in rows}
     alike = Counter(sign.values())
     weight = {d: 1.0 / alike[s] for d, s in sign.items()}
     gain, out, told = np.zeros(len(terms)), [], dict.fromkeys(by_doc, 0)
@@ -311,7 +315,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """Rows (id, held_out, score, predicted) for every row of ``docs``.
 
     Whole texts are scored where they lie: the landmarks' weights are folded into one table, so a term costs its own
-    subsequences only. Null and empty texts score as the bias, repeated rows alike, an empty table gives no rows; other
+    subsequences only. Null and empty texts have the score of NO_WORDS, repeated rows
+    the same one, an empty table gives no rows; other
     columns are not read.
     """
     table, bias, slope, shift = model.table, model.bias, model.slope, model.shift
