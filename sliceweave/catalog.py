@@ -24,6 +24,7 @@ from sliceweave.operators import overlay as OV
 from sliceweave.operators import raster as RA
 from sliceweave.operators import rings as R
 from sliceweave.operators import spatial_join as SJ
+from sliceweave.operators import tps as TP
 from sliceweave.plans import bins_to_cells as B2C
 from sliceweave.plans import segmentation as SG
 from sliceweave.session import materialize
@@ -213,11 +214,10 @@ def merge_left_dedup_text(spark, sf):
 @query("attach_metadata", """
 WITH x AS (SELECT l_orderkey, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) GROUP BY 1)
 SELECT o_orderkey AS bin_id, o_orderstatus, coalesce(first_flag, 'Unassigned') AS first_flag, n AS entries
-FROM orders LEFT JOIN (SELECT l_orderkey AS k, min(l_returnflag) AS first_flag FROM lineitem WHERE l_linenumber = 3 GROUP BY 1)
+FROM orders LEFT JOIN (SELECT l_orderkey AS k, min(l_returnflag) AS first_flag FROM lineitem GROUP BY 1)
   ON o_orderkey = k JOIN x ON o_orderkey = l_orderkey""")
 def attach_metadata(spark, sf):
-    meta = table(spark, sf, "lineitem").filter("l_linenumber = 3")
-    meta = meta.select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("first_flag"))
+    meta = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("first_flag"))
     m = MX.attach_metadata(order_matrix(spark, sf), meta, ["_index_"], order=[F.col("first_flag")])
     sizes = m.x.groupBy("bin_id").agg(F.count(F.lit(1)).alias("entries"))
     return m.obs.select("bin_id", "o_orderstatus", "first_flag").join(sizes, "bin_id")
@@ -260,13 +260,11 @@ def split_by_group(spark, sf):
 
 
 @query("stack_z", """
-WITH s AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events WHERE user_id % 3 = 0),
+WITH s AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events),
 z AS (SELECT d, 12.0::DOUBLE * (row_number() OVER (ORDER BY d) - 1) AS warp_z FROM s)
-SELECT event_id, CAST(d AS VARCHAR) AS slicename, warp_z FROM events JOIN z ON CAST(ts AS DATE) = d WHERE user_id % 3 = 0""")
+SELECT event_id, CAST(d AS VARCHAR) AS slicename, warp_z FROM events JOIN z ON CAST(ts AS DATE) = d""")
 def stack_z(spark, sf):
-    rows = table(spark, sf, "events").filter("user_id % 3 = 0").select(
-        "event_id", F.col("ts").cast("date").cast("string").alias("slicename")
-    )
+    rows = table(spark, sf, "events").select("event_id", F.col("ts").cast("date").cast("string").alias("slicename"))
     depth = M.section_z(rows.select("slicename").distinct(), "slicename", 0.0, 12.0)
     return rows.join(depth, "slicename")
 
@@ -526,10 +524,12 @@ def mbn_links(spark, sf):
 _TURN = lambda a, b, c: f"(({b}x - {a}x) * ({c}y - {a}y) - ({b}y - {a}y) * ({c}x - {a}x))"
 
 
-@query("crossings", f"""WITH {SQL_LINKS},
+@query("crossings", f"""WITH {SQL_LINKS.replace("links AS (", "links AS MATERIALIZED (", 1)},
+cell AS MATERIALIZED (SELECT *, floor(ax / 61) AS gx, floor(ay / 61) AS gy FROM links),
+hood AS MATERIALIZED (SELECT cell.*, gx + u AS hx, gy + w AS hy FROM cell, range(-1, 2) i(u), range(-1, 2) j(w)),
 p AS (SELECT s.ord, s.a AS i, t.a AS j, s.dist AS di, t.dist AS dj, s.ax AS p1x, s.ay AS p1y, s.bx AS p2x, s."by" AS p2y,
       t.ax AS q1x, t.ay AS q1y, t.bx AS q2x, t."by" AS q2y
-      FROM links s JOIN links t ON s.ord = t.ord AND s.a < t.a AND t.ax >= s.ax - 61 AND t.ax <= s.ax + 61 AND abs(t.ay - s.ay) <= 61),
+      FROM hood s JOIN cell t ON s.ord = t.ord AND s.hx = t.gx AND s.hy = t.gy AND s.a < t.a),
 d AS (SELECT *, {_TURN('q1', 'q2', 'p1')} AS d1, {_TURN('q1', 'q2', 'p2')} AS d2, {_TURN('p1', 'p2', 'q1')} AS d3,
       {_TURN('p1', 'p2', 'q2')} AS d4 FROM p)
 SELECT ord, CASE WHEN di >= dj THEN i ELSE j END AS hi, CASE WHEN di >= dj THEN j ELSE i END AS lo FROM d
@@ -543,6 +543,22 @@ def crossing_removal(spark, sf):
     return MT.remove_crossings(materialize(mbn(spark, sf))).select("a", "b", "dist", "ct")
 
 
+# sections of 1,500 cells each; a seventh of the anchors stand as a small section of their own
+_PAIR = f"(cast(floor({_K} / 1500) as bigint) * 2 + CASE WHEN {_K} % 7 = 0 THEN 1 ELSE 0 END)"
+
+
+@query("tps_warp", f"""SELECT c_custkey AS pos, round(CAST(1.02 AS DOUBLE) * x - CAST(0.03 AS DOUBLE) * y + 5, 6) AS x, round(CAST(0.02 AS DOUBLE) * x + CAST(0.98 AS DOUBLE) * y - 3, 6) AS y
+FROM (SELECT c_custkey, {_CX} + CAST(1.5 AS DOUBLE) AS x, {_CY} - CAST(2.5 AS DOUBLE) AS y FROM customer)""")
+def tps_warp(spark, sf):
+    """Anchors that an affine map moves: the spline is that map, whether it is solved in one task or in tiles."""
+    src = table(spark, sf, "customer").select("c_custkey", F.expr(f"cast({_PAIR} as long)").alias("ord"), F.expr(f"cast({_CX} as double)").alias("ax"), F.expr(f"cast({_CY} as double)").alias("ay"))
+    x, y = F.col("ax"), F.col("ay")
+    anchors = src.select("ord", F.col("c_custkey").alias("a"), "ax", "ay", (x * 1.02 - y * 0.03 + 5).alias("bx"), (x * 0.02 + y * 0.98 - 3).alias("by"))
+    model = TP.fit_tps(anchors, dense_limit=1000, tile=512)
+    out = TP.warp_points(src.select("ord", F.col("c_custkey").alias("pos"), (x + 1.5).alias("x"), (y - 2.5).alias("y")), model)
+    return out.select("pos", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
 @query("tps_links")
 def tps_links(spark, sf):
     return MT.match_sections(section_cells(spark, sf), NEURON_TYPES)[1]
@@ -660,9 +676,9 @@ def channel(spark, sf, ch: int) -> DataFrame:
     return pixels(spark, sf).filter(F.col("ch") == ch)
 
 
-@query("stack_channels", f"""WITH {SQL_PIXELS} SELECT img, CASE ch WHEN 2 THEN 0 ELSE 1 END AS ch, y, x, v FROM px WHERE ch IN (0, 2)""")
+@query("stack_channels", f"""WITH {SQL_PIXELS} SELECT img, CASE ch WHEN 2 THEN 0 WHEN 0 THEN 1 WHEN 3 THEN 2 ELSE 3 END AS ch, y, x, v FROM px""")
 def stack_channels(spark, sf):
-    return RA.stack_channels([channel(spark, sf, c).drop("ch") for c in (2, 0)])
+    return RA.stack_channels([channel(spark, sf, c).drop("ch") for c in (2, 0, 3, 1)])
 
 
 @query("raster_threshold", f"""WITH {SQL_PIXELS} SELECT img, ch, y, x,
@@ -682,10 +698,12 @@ def raster_invert(spark, sf):
     return RA.invert(pixels(spark, sf), 65535)
 
 
-@query("raster_mask", f"""WITH {SQL_PIXELS} SELECT p.img, p.ch, p.y, p.x, CASE WHEN m.v > 600 THEN p.v ELSE 0 END AS v
-FROM px p JOIN px m ON p.img = m.img AND p.y = m.y AND p.x = m.x AND m.ch = 1""")
+@query("raster_mask", f"""WITH {SQL_PIXELS.replace("px AS (", "px AS MATERIALIZED (", 1)},
+m AS MATERIALIZED (SELECT img, y, x, max(v) AS top FROM px WHERE ch IN (1, 3) GROUP BY 1, 2, 3)
+SELECT img, ch, y, x, CASE WHEN top > 600 THEN v ELSE 0 END AS v FROM px JOIN m USING (img, y, x)""")
 def raster_mask(spark, sf):
-    return RA.mask_by_raster(pixels(spark, sf), channel(spark, sf, 1), 600)
+    """A mask of two channels."""
+    return RA.mask_by_raster(pixels(spark, sf), pixels(spark, sf).filter("ch in (1, 3)"), 600)
 
 
 @query("raster_flip_rotate", f"""WITH {SQL_PIXELS}, d AS (SELECT img, max(y) + 1 AS h, max(x) + 1 AS w FROM px GROUP BY 1)
@@ -739,67 +757,71 @@ def otsu(spark, sf):
 
 
 _SQL_GRID = """, d AS (SELECT img, max(y) + 1 AS h, max(x) + 1 AS w FROM px GROUP BY 1),
-g AS (SELECT img, CAST(yy AS INTEGER) AS y, CAST(xx AS INTEGER) AS x, h, w FROM d, range(0, h) a(yy), range(0, w) b(xx))"""
+g AS (SELECT img, CAST(c AS INTEGER) AS ch, CAST(yy AS INTEGER) AS y, CAST(xx AS INTEGER) AS x, h, w
+      FROM d, range(0, h) a(yy), range(0, w) b(xx), range(0, 4) r(c))"""
 
 
-@query("blur", f"""WITH {_SQL_8BIT}{_SQL_GRID}, i AS (SELECT img, y, x, v FROM p8 WHERE ch = 1),
+@query("blur", f"""WITH {_SQL_8BIT}{_SQL_GRID},
 k AS (SELECT CAST(o AS INTEGER) AS o, exp(-(o * o) / 8.0::DOUBLE) AS e FROM range(-5, 6) r(o)),
 kn AS (SELECT o, e / (SELECT sum(e) FROM k) AS wt FROM k),
-c AS (SELECT g.img, g.y, g.x, wt, o, abs(g.y + o) % (2 * h - 2) AS m, h FROM g, kn),
-v1 AS (SELECT c.img, c.y, c.x, sum(wt * v) AS s FROM c JOIN i ON i.img = c.img AND i.x = c.x
-       AND i.y = CASE WHEN m >= h THEN 2 * h - 2 - m ELSE m END GROUP BY 1, 2, 3),
-c2 AS (SELECT g.img, g.y, g.x, wt, abs(g.x + o) % (2 * w - 2) AS m, w FROM g, kn)
-SELECT c2.img, 1 AS ch, c2.y, c2.x, CAST(round_even(sum(wt * s), 0) AS BIGINT) AS v FROM c2 JOIN v1 ON v1.img = c2.img AND v1.y = c2.y
-  AND v1.x = CASE WHEN m >= w THEN 2 * w - 2 - m ELSE m END GROUP BY 1, 3, 4""")
+c AS (SELECT g.img, g.ch, g.y, g.x, wt, o, abs(g.y + o) % (2 * h - 2) AS m, h FROM g, kn),
+v1 AS (SELECT c.img, c.ch, c.y, c.x, sum(wt * v) AS s FROM c JOIN p8 i ON i.img = c.img AND i.ch = c.ch AND i.x = c.x
+       AND i.y = CASE WHEN m >= h THEN 2 * h - 2 - m ELSE m END GROUP BY 1, 2, 3, 4),
+c2 AS (SELECT g.img, g.ch, g.y, g.x, wt, abs(g.x + o) % (2 * w - 2) AS m, w FROM g, kn)
+SELECT c2.img, c2.ch, c2.y, c2.x, CAST(round_even(sum(wt * s), 0) AS BIGINT) AS v FROM c2 JOIN v1 ON v1.img = c2.img AND v1.ch = c2.ch AND v1.y = c2.y
+  AND v1.x = CASE WHEN m >= w THEN 2 * w - 2 - m ELSE m END GROUP BY 1, 2, 3, 4""")
 def blur(spark, sf):
-    return NB.blur(RA.to_8bit(channel(spark, sf, 1)), 11)
+    return NB.blur(RA.to_8bit(pixels(spark, sf)), 11)
+
+
+_SET = "v > CASE WHEN ch = 3 THEN 600 ELSE 740 END"
 
 
 def islands_mask(spark, sf) -> DataFrame:
-    """Sparse set pixels: channel 3 above a high value."""
-    return channel(spark, sf, 3).withColumn("v", F.when(F.col("v") > 600, 255).otherwise(0).cast("long"))
+    """Sparse set pixels: high values in every channel."""
+    return pixels(spark, sf).withColumn("v", F.when(F.expr(_SET), 255).otherwise(0).cast("long"))
 
 
-_SQL_MASK = SQL_PIXELS + _SQL_GRID + ", mk AS (SELECT img, y, x FROM px WHERE ch = 3 AND v > 600)"
+_SQL_MASK = SQL_PIXELS + _SQL_GRID + f", mk AS (SELECT img, ch, y, x FROM px WHERE {_SET})"
 
 
 def _sql_grow(name: str, src: str, k: int) -> str:
     lo, hi = -(k // 2), k - 1 - k // 2
-    return f"""{name} AS (SELECT DISTINCT g.img, g.y, g.x FROM {src} s, range({lo}, {hi + 1}) a(dy), range({lo}, {hi + 1}) b(dx), g
-      WHERE g.img = s.img AND g.y = s.y - dy AND g.x = s.x - dx)"""
+    return f"""{name} AS (SELECT DISTINCT g.img, g.ch, g.y, g.x FROM {src} s, range({lo}, {hi + 1}) a(dy), range({lo}, {hi + 1}) b(dx), g
+      WHERE g.img = s.img AND g.ch = s.ch AND g.y = s.y - dy AND g.x = s.x - dx)"""
 
 
 @query("dilate", f"""WITH {_SQL_MASK}, {_sql_grow('dl', 'mk', 5)}
-SELECT g.img, 3 AS ch, g.y, g.x, CAST(CASE WHEN dl.img IS NULL THEN 0 ELSE 255 END AS BIGINT) AS v FROM g
-LEFT JOIN dl ON dl.img = g.img AND dl.y = g.y AND dl.x = g.x""")
+SELECT g.img, g.ch, g.y, g.x, CAST(CASE WHEN dl.img IS NULL THEN 0 ELSE 255 END AS BIGINT) AS v FROM g
+LEFT JOIN dl ON dl.img = g.img AND dl.ch = g.ch AND dl.y = g.y AND dl.x = g.x""")
 def dilate(spark, sf):
     return NB.dilate(islands_mask(spark, sf), 5)
 
 
 @query("close", f"""WITH {_SQL_MASK}, {_sql_grow('dl', 'mk', 3)},
-cl AS (SELECT g.img, g.y, g.x FROM g LEFT JOIN (SELECT DISTINCT z.img, z.y - dy AS y, z.x - dx AS x
-        FROM (SELECT g.img, g.y, g.x FROM g ANTI JOIN dl ON dl.img = g.img AND dl.y = g.y AND dl.x = g.x) z,
+cl AS (SELECT g.img, g.ch, g.y, g.x FROM g LEFT JOIN (SELECT DISTINCT z.img, z.ch, z.y - dy AS y, z.x - dx AS x
+        FROM (SELECT g.img, g.ch, g.y, g.x FROM g ANTI JOIN dl ON dl.img = g.img AND dl.ch = g.ch AND dl.y = g.y AND dl.x = g.x) z,
         range(-1, 2) a(dy), range(-1, 2) b(dx)) u
-       ON u.img = g.img AND u.y = g.y AND u.x = g.x WHERE u.img IS NULL)
-SELECT g.img, 3 AS ch, g.y, g.x, CAST(CASE WHEN cl.img IS NULL THEN 0 ELSE 255 END AS BIGINT) AS v FROM g
-LEFT JOIN cl ON cl.img = g.img AND cl.y = g.y AND cl.x = g.x""")
+       ON u.img = g.img AND u.ch = g.ch AND u.y = g.y AND u.x = g.x WHERE u.img IS NULL)
+SELECT g.img, g.ch, g.y, g.x, CAST(CASE WHEN cl.img IS NULL THEN 0 ELSE 255 END AS BIGINT) AS v FROM g
+LEFT JOIN cl ON cl.img = g.img AND cl.ch = g.ch AND cl.y = g.y AND cl.x = g.x""")
 def close(spark, sf):
     return NB.close(islands_mask(spark, sf), 3)
 
 
 _SQL_ISLANDS = f"""WITH RECURSIVE {_SQL_MASK},
-rc(img, y, x, ly, lx) AS (SELECT img, y, x, y, x FROM mk UNION
-  SELECT m.img, m.y, m.x, r.ly, r.lx FROM rc r JOIN mk m ON m.img = r.img AND m.y BETWEEN r.y - 1 AND r.y + 1 AND m.x BETWEEN r.x - 1 AND r.x + 1),
-lb AS (SELECT img, y, x, min(CAST(ly AS BIGINT) * 2147483648 + lx) AS label FROM rc GROUP BY 1, 2, 3)"""
+rc(img, ch, y, x, ly, lx) AS (SELECT img, ch, y, x, y, x FROM mk UNION
+  SELECT m.img, m.ch, m.y, m.x, r.ly, r.lx FROM rc r JOIN mk m ON m.img = r.img AND m.ch = r.ch AND m.y BETWEEN r.y - 1 AND r.y + 1 AND m.x BETWEEN r.x - 1 AND r.x + 1),
+lb AS (SELECT img, ch, y, x, min(CAST(ly AS BIGINT) * 2147483648 + lx) AS label FROM rc GROUP BY 1, 2, 3, 4)"""
 
 
-@query("components", f"{_SQL_ISLANDS} SELECT img, 3 AS ch, y, x, label FROM lb")
+@query("components", f"{_SQL_ISLANDS} SELECT img, ch, y, x, label FROM lb")
 def components(spark, sf):
     return CO.label_islands(islands_mask(spark, sf), tile=32)
 
 
-@query("island_area", f"""{_SQL_ISLANDS} SELECT img, 3 AS ch, y, x, label, CAST(255 AS BIGINT) AS v FROM lb
-JOIN (SELECT img, label FROM lb GROUP BY 1, 2 HAVING count(*) >= 6) USING (img, label)""")
+@query("island_area", f"""{_SQL_ISLANDS} SELECT img, ch, y, x, label, CAST(255 AS BIGINT) AS v FROM lb
+JOIN (SELECT img, ch, label FROM lb GROUP BY 1, 2, 3 HAVING count(*) >= 6) USING (img, ch, label)""")
 def island_area(spark, sf):
     return CO.large_islands(CO.label_islands(islands_mask(spark, sf), tile=32), 6)
 
@@ -807,7 +829,7 @@ def island_area(spark, sf):
 @query("island_contours")
 def island_contours(spark, sf):
     """Whole island step: 8 bits, blur, Otsu, closing, islands by area, growth, outer contours."""
-    _, contours = SG.island_mask(channel(spark, sf, 2), kernel=3, grow=3, min_area=20, ksize=5)
+    _, contours = SG.island_mask(pixels(spark, sf), kernel=3, grow=3, min_area=20, ksize=5)
     return contours.select("img", "ch", "label", G.area(F.col("geometry")).alias("area"))
 
 
@@ -852,6 +874,24 @@ def overlay_difference(spark, sf):
     return out.groupBy("pid").agg(F.round(F.sum(G.area(F.col("geometry"))), 6).alias("area"))
 
 
+_NEURON_COPIES = "SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS pid FROM customer UNION ALL SELECT c_custkey, c_custkey || '-copy' FROM customer WHERE c_custkey % 3 = 0"
+
+
+@query("overlay_shared_outlines", f"""WITH k AS ({_NEURON_COPIES}), a AS (SELECT pid, {_CX} - 5 AS x0, {_CX} + 5 AS x1, {_CY} - 5 AS y0, {_CY} + 5 AS y1 FROM k),
+b AS (SELECT {_CX} - 1.5 AS u0, {_CX} + 1.5 AS u1, {_CY} - 6.5 AS v0, {_CY} - 3.5 AS v1 FROM customer),
+c AS (SELECT pid, sum((least(x1, u1) - greatest(x0, u0)) * (least(y1, v1) - greatest(y0, v0))) AS s FROM a JOIN b ON x0 < u1 AND u0 < x1 AND y0 < v1 AND v0 < y1 GROUP BY 1)
+SELECT pid, CAST(count(*) AS BIGINT) AS parts, round(CAST(100 - coalesce(any_value(s), 0) AS DOUBLE), 6) AS area FROM a LEFT JOIN c USING (pid) GROUP BY 1""")
+def overlay_shared_outlines(spark, sf):
+    """Neurons that tile the plane, some of them twice, less a square on each edge that two rows share."""
+    src = table(spark, sf, "customer").select("c_custkey")
+    ids = F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit(""), F.lit("-copy"))).otherwise(F.array(F.lit("")))
+    side = lambda c, d: F.expr(f"cast({c} + {d} as double)")
+    neurons = src.withColumn("tag", F.explode(ids)).select(F.concat(F.col("c_custkey").cast("string"), "tag").alias("pid"), G.rectangle(side(_CX, -5), side(_CY, -5), side(_CX, 5), side(_CY, 5)).alias("geometry"))
+    others = src.select(F.col("c_custkey").cast("string").alias("pid"), G.rectangle(side(_CX, -1.5), side(_CY, -6.5), side(_CX, 1.5), side(_CY, -3.5)).alias("geometry"))
+    out = OV.harmonise(neurons, others)
+    return out.groupBy("pid").agg(F.count(F.lit(1)).alias("parts"), F.round(F.sum(G.area(F.col("geometry"))), 6).alias("area"))
+
+
 @query("polygons_within", f"""SELECT CAST(a.c_custkey AS VARCHAR) AS pid, CAST(b.c_custkey AS VARCHAR) AS pid2
 FROM (SELECT c_custkey, {_AX} - {_AH} AS x0, {_AX} + {_AH} AS x1, {_AY} - {_AH} AS y0, {_AY} + {_AH} AS y1 FROM customer) a
 JOIN (SELECT c_custkey, {_BX} - {_BH} AS u0, {_BX} + {_BH} AS u1, {_BY} - {_BH} AS v0, {_BY} + {_BH} AS v1 FROM customer) b

@@ -111,11 +111,11 @@ def keep_labels(df: DataFrame, label: str, values: list[str], invert: bool = Fal
 
 
 def filter_equals(df: DataFrame, condition: str) -> DataFrame:
-    """Filter by ``column=value``; only the first ``=`` separates."""
+    """Filter by ``column=value``, compared as text; only the first ``=`` separates."""
     column, sep, value = condition.partition("=")
     if not sep:
         raise ValueError(f"expected column=value, got {condition!r}")
-    return df.filter(F.col(column) == F.lit(value))
+    return df.filter(F.col(column).cast("string") == F.lit(value))
 
 
 def split_groups(df: DataFrame, column: str, condition: str | None = None) -> DataFrame:

@@ -126,13 +126,14 @@ def _relations(polygons: DataFrame, pieces: DataFrame, on: list[str]):
     own = pieces.select(*on, "lo", "hi", "layer", "pid", "sid", forward.alias("f1"))
     others = pieces.select(*on, "lo", "hi", F.col("layer").alias("layer2"), F.col("pid").alias("pid2"), forward.alias("f2"))
     differ = (F.col("layer") != F.col("layer2")) | (F.col("pid") != F.col("pid2"))
+    # outlines of layer A are never compared with each other: each keeps its own
+    differ = differ & ~((F.col("layer") == "A") & (F.col("layer2") == "A"))
     shared = own.join(others, [*on, "lo", "hi"]).filter(differ).select(
         *on, "layer", "pid", "sid", "layer2", "pid2", (F.col("f1") == F.col("f2")).alias("same"))
     middle = pieces.select(*on, "layer", "pid", "sid", ((F.col("x1") + F.col("x2")) / 2).alias("mx"),
                            ((F.col("y1") + F.col("y2")) / 2).alias("my"))
     targets = polygons.select(*on, F.col("layer").alias("layer2"), F.col("pid").alias("pid2"), "geometry")
-    near = candidate_pairs(middle, targets, "mx", "my", on, "geometry").filter(
-        differ & ~((F.col("layer") == "A") & (F.col("layer2") == "A")))
+    near = candidate_pairs(middle, targets, "mx", "my", on, "geometry").filter(differ)
     inside = near.filter(G.location("_edges", "mx", "my") == 1).select(*on, "layer", "pid", "sid", "layer2", "pid2")
     shared = materialize(shared)
     return shared, materialize(inside.join(shared, [*on, "layer", "pid", "sid", "layer2", "pid2"], "left_anti"))
@@ -193,6 +194,8 @@ def _simple_rings(pieces: np.ndarray) -> list:
                     path.append(at)
                 ways = leaving.get(at)
                 if not ways:
+                    if len(path) > 1:
+                        raise ValueError(f"a boundary from {origin} ends at {at} without closing")
                     break
                 # the way most to the left keeps the same stretch of interior at hand
                 heading = math.atan2(at[1] - before[1], at[0] - before[0])
@@ -205,7 +208,11 @@ def _simple_rings(pieces: np.ndarray) -> list:
 
 @F.pandas_udf(T.ArrayType(G.PARTS))
 def stitch(pieces: pd.Series) -> pd.Series:
-    """Parts of each polygon, as geometries of one part, from its directed pieces (flat x1, y1, x2, y2 runs)."""
+    """Parts of each polygon, as geometries of one part, from its directed pieces (flat x1, y1, x2, y2 runs).
+
+    A walk that does not close and a hole outside every outline are errors, never dropped. Loops of two points enclose
+    nothing.
+    """
     return pd.Series([_parts(np.asarray(p).reshape(-1, 4)) for p in pieces])
 
 
@@ -217,8 +224,9 @@ def _parts(pieces: np.ndarray) -> list:
         if area < 0:
             mx, my = (ring[0][0] + ring[1][0]) / 2, (ring[0][1] + ring[1][1]) / 2
             home = next((part for part in parts if _holds(part[0], mx, my)), None)
-            if home is not None:
-                home.append(ring)
+            if home is None:
+                raise ValueError(f"the hole at {ring[0]} has no outline around it")
+            home.append(ring)
     place = lambda p: {"x": p[0], "y": p[1], "z": None}
     return [[[[place(p) for p in (*ring, ring[0])] for ring in part]] for part in parts]
 
@@ -229,7 +237,7 @@ def difference_exploded(a: DataFrame, b: DataFrame, on: list[str] = ()) -> DataF
 
 
 def harmonise(neurons: DataFrame, nonneurons: DataFrame, on: list[str] = ()) -> DataFrame:
-    """Neuron polygons freed of overlapping non-neurons: ``on, pid, part, geometry``.
+    """Neuron polygons freed of overlapping non-neurons: ``on, pid, part, geometry`` and the neurons' other columns.
 
     Neurons within a non-neuron go. Non-neurons within a neuron that stays are not subtracted
     from anything. All others are subtracted from every neuron; what is left comes as one row
@@ -291,7 +299,7 @@ def _overlay(a: DataFrame, b: DataFrame, on: list[str], rules: bool) -> DataFram
 
     # own boundary: not inside what is subtracted, nor along it on the same side
     lost = inside.filter("layer = 'A'").select(*on, "sid").unionByName(
-        shared.filter("layer = 'A' and same").select(*on, "sid")).distinct()
+        shared.filter("layer = 'A' and layer2 = 'B' and same").select(*on, "sid")).distinct()
     mine = pieces.filter("layer = 'A'").join(lost, [*on, "sid"], "left_anti").select(*on, "pid", "x1", "y1", "x2", "y2")
     # foreign boundary inside: the outline of the union of what is subtracted, walked backwards
     hidden = inside.filter("layer = 'B' and layer2 = 'B'").select(*on, "sid").unionByName(
@@ -314,7 +322,9 @@ def _overlay(a: DataFrame, b: DataFrame, on: list[str], rules: bool) -> DataFram
     if rules:
         same = same.join(gone.select(*on, "pid"), [*on, "pid"], "left_anti")
     same = same.select(*on, "pid", F.posexplode("geometry.parts").alias("part", "_part"))
-    return cut.unionByName(same.select(*on, "pid", "part", G.geometry(F.array("_part")).alias("geometry")))
+    out = cut.unionByName(same.select(*on, "pid", "part", G.geometry(F.array("_part")).alias("geometry")))
+    rest = [c for c in a.columns if c not in (*on, "pid", "part", "geometry")]
+    return out.join(a.select(*on, F.col("pid").cast("string").alias("pid"), *rest), [*on, "pid"], "left") if rest else out
 
 
 def invalid_polygons(polygons: DataFrame, on: list[str] = ()) -> DataFrame:

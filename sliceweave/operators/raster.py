@@ -40,9 +40,13 @@ def stack_channels(channels: list[DataFrame], check: bool = True) -> DataFrame:
 def threshold(pixels: DataFrame, limits: list[int], invert: bool = False, max_value: int = 65535) -> DataFrame:
     """Keep ``v >= limit`` of the channel, else 0; inverted: keep ``v <= limit``, else the highest value.
 
-    Channels beyond the list use its first limit, as single-channel images do.
+    One limit serves all channels; otherwise there must be one for each, and any other number is an error.
     """
-    limit = F.coalesce(F.try_element_at(F.array(*[F.lit(int(t)) for t in limits]), F.col("ch") + 1), F.lit(int(limits[0])))
+    if len(limits) > 1:
+        channels = pixels.agg(F.max("ch")).first()[0]
+        if channels is not None and channels + 1 != len(limits):
+            raise ValueError(f"{len(limits)} limits for {channels + 1} channels")
+    limit = F.element_at(F.array(*[F.lit(int(t)) for t in limits]), F.col("ch").cast("int") + 1) if len(limits) > 1 else F.lit(int(limits[0]))
     kept = F.when(F.col("v") <= limit, F.col("v")).otherwise(F.lit(max_value)) if invert else \
         F.when(F.col("v") >= limit, F.col("v")).otherwise(F.lit(0))
     return pixels.withColumn("v", kept.cast("long"))
@@ -53,8 +57,11 @@ def invert(pixels: DataFrame, max_value: int = 255) -> DataFrame:
 
 
 def mask_by_raster(pixels: DataFrame, mask: DataFrame, limit: int = 127, inverted: bool = False) -> DataFrame:
-    """Zero the pixels outside (or inside) ``mask > limit``; one mask serves every channel."""
-    on = mask.filter(F.col("v") > limit).select("img", "y", "x").withColumn("_m", F.lit(True))
+    """Zero the pixels outside (or inside) ``mask > limit``; one mask serves every channel.
+
+    A mask of several channels covers a pixel that any of them covers.
+    """
+    on = mask.filter(F.col("v") > limit).select("img", "y", "x").distinct().withColumn("_m", F.lit(True))
     joined = pixels.join(on, ["img", "y", "x"], "left")
     covered = F.coalesce("_m", F.lit(False))
     keep = ~covered if inverted else covered

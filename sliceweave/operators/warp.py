@@ -19,7 +19,8 @@ def warp_by_field(features: DataFrame, field: DataFrame, key: list[str], spacing
 
     ``field`` holds ``on, gx, gy, dx, dy`` with one node every ``spacing``; ``key`` names the
     columns that identify a feature. The field comes from an outside registration. Vertices meet
-    their four nodes through equi-joins; a vertex beyond the field keeps its place.
+    their four nodes through equi-joins; a vertex beyond the field keeps its place, and so does a
+    feature without a geometry.
     """
     on = list(on)
     ids = list(dict.fromkeys([*on, *key]))
@@ -44,5 +45,6 @@ def warp_by_field(features: DataFrame, field: DataFrame, key: list[str], spacing
     ringed = moved.groupBy(*ids, "p", "r").agg(seq("i", "v").alias("ring"))
     parted = ringed.groupBy(*ids, "p").agg(seq("r", "ring").alias("part"))
     whole = parted.groupBy(*ids).agg(seq("p", "part").alias("_parts"))
-    out = features.join(whole, ids)
-    return out.withColumn("geometry", F.struct(F.col("geometry.kind").alias("kind"), F.col("_parts").alias("parts"))).drop("_parts")
+    out = features.join(whole, ids, "left")
+    moved = F.struct(F.col("geometry.kind").alias("kind"), F.col("_parts").alias("parts"))
+    return out.withColumn("geometry", F.when(F.col("_parts").isNotNull(), moved).otherwise(F.col("geometry"))).drop("_parts")

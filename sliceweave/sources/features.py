@@ -31,9 +31,10 @@ def read_geojson(spark: SparkSession, path: str, properties: str | None = None,
     """Feature collection as property columns and ``geometry``; a feature-level id becomes ``id``.
 
     Files with one feature per line (as writers commonly lay them out, and as
-    :func:`write_geojson` does) are read in parallel. ``one_document`` reads collections without
-    line breaks, one file per row. ``properties`` is the DDL of the properties; without it names
-    and types are taken from the data.
+    :func:`write_geojson` does) are read in parallel; a line may also hold a whole collection.
+    A feature that spreads over several lines is an error; ``one_document`` reads such files, one
+    file per row. ``properties`` is the DDL of the properties; without it names and types are taken
+    from the data.
     """
     shape = "type: string, id: string, properties: string, geometry: struct<type: string, coordinates: string>"
     if one_document:
@@ -41,7 +42,13 @@ def read_geojson(spark: SparkSession, path: str, properties: str | None = None,
         items = whole.select(F.explode(F.from_json("value", f"features array<struct<{shape}>>")["features"]).alias("f"))
     else:
         line = F.regexp_replace(F.regexp_replace(F.trim("value"), r"^,", ""), r",$", "")
-        items = spark.read.text(path).select(F.from_json(line, f"struct<{shape}>").alias("f"))
+        lines = spark.read.text(path).select(line.alias("line"), F.from_json(line, f"struct<{shape}>").alias("f"),
+                                             F.from_json(line, f"struct<features: array<struct<{shape}>>>")["features"].alias("all"))
+        torn = F.raise_error(F.concat(F.lit("a feature goes on in the next line, read it as one document: "), F.substring("line", 1, 80)))
+        feature = F.when(F.col("f.type") == "Feature", F.array("f")).when(F.col("all").isNotNull(), F.col("all"))
+        # headers and brackets of a collection name no feature
+        split = F.col("line").rlike(r'"type"\s*:\s*"Feature"')
+        items = lines.select(F.explode(F.coalesce(feature, F.when(split, torn.cast(f"array<struct<{shape}>>")))).alias("f"))
     feature = items.filter(F.col("f.type") == "Feature").select(
         F.col("f.id").alias("_fid"), F.col("f.properties").alias("_props"),
         _from_coordinates(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("geometry"))
