@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,13 +22,40 @@ DEFAULT_CONF = {
 }
 
 
+# Step tables of this driver that stand in the shared folder.
+STEPS: list[str] = []
+
+
+def clear_steps(spark: SparkSession) -> None:
+    """Delete all step tables of this driver; call it when the results that read them have been written."""
+    while STEPS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(STEPS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def build_session(app_name: str = "sliceweave", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     for key, value in {**DEFAULT_CONF, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that its Python functions run wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_sliceweave_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="sliceweave-package-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._sliceweave_shipped = True
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,5 +79,6 @@ def materialize(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
     ``rows_per_file`` keeps files of very wide rows small, since readers take many rows at once.
     """
     path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    STEPS.append(path)
     df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
