@@ -183,6 +183,36 @@ def merge_left_composite_fill_all(spark, sf):
     return M.merge(left, right, ["l_orderkey", "l_linenumber"], ["k", "n"], "left", fill="all", na="Unassigned")
 
 
+def _composite_sql(how: str) -> str:
+    return f"""SELECT coalesce(CAST(l_orderkey AS VARCHAR), 'Unassigned') AS l_orderkey, coalesce(CAST(l_linenumber AS VARCHAR), 'Unassigned') AS l_linenumber, coalesce(kind, 'Unassigned') AS kind,
+  coalesce(CAST(k AS VARCHAR), 'Unassigned') AS k, coalesce(CAST(n AS VARCHAR), 'Unassigned') AS n, coalesce(seen, 'Unassigned') AS seen
+FROM (SELECT l_orderkey, l_linenumber, l_returnflag AS kind FROM lineitem) {how} JOIN
+  (SELECT l_orderkey AS k, l_linenumber + 1 AS n, min(l_linestatus) AS seen FROM lineitem GROUP BY 1, 2) ON l_orderkey = k AND l_linenumber = n"""
+
+
+def _composite(spark, sf, how: str) -> DataFrame:
+    """Every line item with the line before it of the same order."""
+    items = table(spark, sf, "lineitem")
+    left = items.select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("kind"))
+    right = items.groupBy(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") + 1).alias("n")).agg(F.min("l_linestatus").alias("seen"))
+    return M.merge(left, right, ["l_orderkey", "l_linenumber"], ["k", "n"], how, fill="all", na="Unassigned")
+
+
+@query("merge_inner_composite", _composite_sql("INNER"))
+def merge_inner_composite(spark, sf):
+    return _composite(spark, sf, "inner")
+
+
+@query("merge_right_composite", _composite_sql("RIGHT"))
+def merge_right_composite(spark, sf):
+    return _composite(spark, sf, "right")
+
+
+@query("merge_outer_composite", _composite_sql("FULL OUTER"))
+def merge_outer_composite(spark, sf):
+    return _composite(spark, sf, "outer")
+
+
 @query("merge_inner_dedup", """
 SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, CAST(l_orderkey AS VARCHAR) AS l_orderkey,
        l_linenumber, l_partkey
@@ -269,6 +299,14 @@ def stack_z(spark, sf):
     return rows.join(depth, "slicename")
 
 
+@query("point_columns", f"""SELECT c_custkey, CAST({_CX} AS DOUBLE) AS warp_x, CAST({_CY} AS DOUBLE) AS warp_y, CAST(c_nationkey AS DOUBLE) AS warp_z FROM customer""")
+def point_columns(spark, sf):
+    """Points with a depth, as coordinate columns."""
+    place = F.struct(F.expr(f"cast({_CX} as double)").alias("x"), F.expr(f"cast({_CY} as double)").alias("y"), F.col("c_nationkey").cast("double").alias("z"))
+    shape = F.struct(F.lit("Point").alias("kind"), F.array(F.array(F.array(place))).alias("parts"))
+    return M.point_columns(table(spark, sf, "customer").select("c_custkey", shape.alias("geometry")))
+
+
 @query("union_outer", """
 SELECT c_custkey AS id, c_acctbal AS balance, c_mktsegment AS segment, CAST(NULL AS VARCHAR) AS s_name FROM customer
 UNION ALL SELECT s_suppkey, s_acctbal, NULL, s_name FROM supplier""")
