@@ -18,6 +18,8 @@ SPAN, DECAY = 6, 0.5
 STEPS = [(j, k, DECAY ** (k - 2)) for k in range(2, SPAN) for j in range(1, k)]
 #: Features are hashed to so many places.
 PLACES = 1 << 20
+#: Terms scored at once.
+PART = 10_000
 #: Bounds of the fit: labelled documents of each class, clean words by chance (and a quarter as many by frequency) and by score, landmarks of each class, rounds.
 TOXIC_DOCS, CLEAN_DOCS, CLEAN_WORDS, HARD_WORDS, LANDMARKS, ROUNDS = 4000, 8000, 20_000, 4000, 192, 5
 #: Raw score of a text without words; clean examples aim at -1.
@@ -79,8 +81,13 @@ class Kernel:
 
 
 def term_scores(terms: list[str], table: np.ndarray, bias: float) -> np.ndarray:
-    who, where, weight, norm = subsequences(terms)
-    return np.bincount(who, weights=weight * table[where], minlength=len(terms)) / norm + bias
+    """Scores of the terms, PART of them at a time, since a term has some hundred subsequences."""
+    out = np.full(len(terms), bias)
+    for at in range(0, len(terms), PART):
+        part = terms[at:at + PART]
+        who, where, weight, norm = subsequences(part)
+        out[at:at + len(part)] += np.bincount(who, weights=weight * table[where], minlength=len(part)) / norm
+    return out
 
 
 def fit_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
@@ -192,13 +199,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def words(frames):
         for frame in frames:
-            out = []
+            out, held = [], 0
             for toxic, text in zip(frame["toxic"], frame["text"]):
                 codes, counts, found = words_of(pa.array([text]), lower=True)
                 terms = set(terms_of(found)) | set(spaced_out(codes, counts, found)[0])
                 # copies of a text, near ones too, mostly share their smallest hash
                 sign = min(map(hash_of, terms), default=0)
                 out.append(pd.DataFrame({"toxic": toxic, "doc": np.int64(hash_of(text)), "sign": np.int64(sign), "term": sorted(terms)}))
+                held += len(terms)
+                if held > 50_000:
+                    yield pd.concat(out)
+                    out, held = [], 0
             if out:
                 yield pd.concat(out)
 
@@ -234,7 +245,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def scored(frames):
         for frame in frames:
-            yield pd.DataFrame({"toxic": frame["toxic"], "score": best_terms(pa.array(frame["text"], pa.string()), table, bias)})
+            texts = pa.array(frame["text"], pa.string())
+            for a, b in slices(texts):
+                yield pd.DataFrame({"toxic": frame["toxic"].iloc[a:b], "score": best_terms(texts.slice(a, b - a), table, bias)})
 
     got = sample.mapInPandas(scored, "toxic int, score double").toPandas()
     slope, shift = calibrate(got["score"].to_numpy(), got["toxic"].to_numpy().astype(float))
