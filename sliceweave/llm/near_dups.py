@@ -21,7 +21,7 @@ REGISTERS, BASE, RATE, TOP, BANDS, ROWS = 241, 1.001, 20.0, 65534, 48, 5
 #: A pair is confirmed if its estimate is at most this far below the wanted similarity: 4.5 standard deviations.
 SLACK = 4.5 * (0.75 * 0.25 / REGISTERS) ** 0.5
 #: Pairs of a bucket's first members with all its members are tried before the rest of the bucket.
-PIVOTS, CHUNK = 3, 256
+PIVOTS, CHUNK = 3, 128
 
 _FACTORS = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -162,6 +162,15 @@ def _guess(pairs: DataFrame, regs: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, guess double")
 
 
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets reach the wanted similarity."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * shared >= SIMILAR * (len(x) + len(y) - shared)
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets are similar."""
     left, right = sets.select(F.col("node").alias("a"), F.col("keys").alias("ka")), sets.select(F.col("node").alias("b"), F.col("keys").alias("kb"))
@@ -170,12 +179,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             keep = np.zeros(batch.num_rows, dtype=bool)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.frombuffer(x.as_py(), dtype="<u8"), np.frombuffer(y.as_py(), dtype="<u8")
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep[i] = 100 * shared >= SIMILAR * (len(x) + len(y) - shared)
+                keep[i] = similar(np.frombuffer(x.as_py(), dtype="<u8"), np.frombuffer(y.as_py(), dtype="<u8"))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ka", "kb")
@@ -202,6 +206,16 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def joined_components(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: whole components take the place of their nodes, so only links between them count."""
+    ca, cb = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    between = links.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y"))
+    between = materialize(between.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    top = components(between)
+    moved = comps.join(top.select(F.col("node").alias("comp"), F.col("comp").alias("new")), "comp", "left").select("node", F.coalesce("new", "comp").alias("comp"))
+    return materialize(moved.union(top.join(comps.select("node"), "node", "left_anti")))
+
+
 def _apart(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
     """Pairs that are not in one component yet."""
     if comps is None:
@@ -211,45 +225,58 @@ def _apart(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
     return joined.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
-def _rest_of_buckets(members: DataFrame, regs: DataFrame, comps: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs (a, b, guess) still to confirm in buckets of more members than the pivots cover.
+def _rest_of_buckets(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members (key, band, node, n, comp, main, chunks, parts) of buckets that may still hide a link.
 
-    Only a bucket whose members lie in several components can hide a link, and only with a member outside its largest
-    component. Those members are put in chunks, and every member of the bucket meets each chunk once.
+    That takes more members than the pivots cover, members in several components, and one of the pair outside the largest
+    of these, ``main``.
     """
-    big = members.filter(F.col("size") > PIVOTS + 1).select("key", "node", "n")
-    big = big.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    big = materialize(big)
+    big = members.filter(F.col("size") > PIVOTS + 1).select("key", "band", "node", "n")
+    big = materialize(big.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     by_comp = big.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    open_keys = by_comp.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("c").alias("size"))
-    open_keys = open_keys.filter("comps > 1").select("key", F.col("main.comp").alias("main"), F.ceil((F.col("size") - F.col("main.c")) / CHUNK).cast("long").alias("chunks"))
-    in_open = materialize(big.join(open_keys, "key"))
-    bits = regs.select("node", "regs")
-    outside = in_open.filter(F.col("comp") != F.col("main")).withColumn("chunk", F.pmod(F.xxhash64("node", "key"), F.col("chunks"))).join(bits, "node")
-    packs = outside.groupBy("key", "chunk").agg(F.collect_list(F.struct("node", "comp", "n", "regs")).alias("pack"))
-    # one row of a chunk meets one member at a time, so a batch is bounded by the chunk
-    each = in_open.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).join(bits, "node")
-    grouped = each.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(64))).groupBy("key", "chunk", "part").agg(F.collect_list(F.struct("node", "comp", "n", "regs")).alias("all"))
+    keys = by_comp.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("c").alias("size"))
+    outside = F.col("size") - F.col("main.c")
+    keys = keys.filter("comps > 1").select("key", F.col("main.comp").alias("main"), F.ceil(outside / CHUNK).cast("long").alias("chunks"), F.ceil(F.col("size") / CHUNK).cast("long").alias("parts"))
+    return materialize(big.join(keys, "key"))
+
+
+def _links_in_rest(rest: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components in those buckets. Members outside the largest component are put in chunks, and every
+    chunk meets every part of the bucket once. A pair is looked at in the first band that it shares only; the likelihood
+    sorts out most, and the full sets decide."""
+    whole = rest.join(nodes.select("node", "regs"), "node").join(sets, "node")
+    item = F.struct("node", "comp", "n", "regs", "keys")
+    chunk = F.pmod(F.xxhash64("node", "key"), F.col("chunks"))
+    packs = whole.filter(F.col("comp") != F.col("main")).withColumn("chunk", chunk).groupBy("key", "band", "chunk").agg(F.collect_list(item).alias("pack"))
+    parts = whole.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).groupBy("key", "part", "chunks").agg(F.collect_list(item).alias("all"))
+    parts = parts.select("key", "all", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
 
     def run(batches):
         def unpack(column):
             flat = column.flatten()
-            return (*(flat.field(c).to_numpy() for c in ("node", "comp", "n")), np.frombuffer(b"".join(flat.field("regs").to_pylist()), dtype="<u2").reshape(-1, REGISTERS))
+            regs = np.frombuffer(b"".join(flat.field("regs").to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
+            keys = [np.frombuffer(k, dtype="<u8") for k in flat.field("keys").to_pylist()]
+            return (*(flat.field(c).to_numpy() for c in ("node", "comp", "n")), regs, keys)
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                pn, pc, pz, pr = unpack(batch.column("pack").slice(i, 1))
-                an, ac, az, ar = unpack(batch.column("all").slice(i, 1))
+            for i, band in enumerate(batch.column("band").to_pylist()):
+                pn, pc, pz, pr, pk = unpack(batch.column("pack").slice(i, 1))
+                an, ac, az, ar, ak = unpack(batch.column("all").slice(i, 1))
+                found = []
                 for x in range(len(an)):
                     near = np.flatnonzero((pc != ac[x]) & (100 * np.minimum(pz, az[x]) >= SIMILAR * np.maximum(pz, az[x])))
+                    if band and len(near):
+                        same = (pr[near, :band * ROWS] == ar[x, :band * ROWS]).reshape(len(near), band, ROWS)
+                        near = near[~same.all(axis=2).any(axis=1)]
                     if len(near):
                         guess = estimate((pr[near] > ar[x]).sum(axis=1), (pr[near] < ar[x]).sum(axis=1), pz[near], np.full(len(near), az[x]))
-                        near, guess = near[guess >= SIMILAR / 100 - SLACK], guess[guess >= SIMILAR / 100 - SLACK]
-                        a, b = np.minimum(pn[near], an[x]), np.maximum(pn[near], an[x])
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(guess)], names=["a", "b", "guess"])
+                        for y in near[guess >= SIMILAR / 100 - SLACK]:
+                            if similar(pk[y], ak[x]):
+                                found.append((min(pn[y], an[x]), max(pn[y], an[x])))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
-    found = packs.join(grouped, ["key", "chunk"]).select("pack", "all").mapInArrow(run, "a long, b long, guess double")
-    return found.dropDuplicates(["a", "b"]).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    return packs.join(parts, ["key", "chunk"]).select("band", "pack", "all").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,10 +301,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = materialize(nodes)
 
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    bands = nodes.select("node", "n", F.explode(band).alias("key"))
+    bands = nodes.select("node", "n", F.posexplode(band).alias("band", "key"))
     sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = materialize(bands.join(sizes, "key"))
-    order = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node"))
+    # one order for all buckets, so that a family of texts has the same pivots in every band
+    order = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))
     pivots = members.withColumn("turn", order).filter(F.col("turn") <= PIVOTS).select("key", F.col("node").alias("pivot"), F.col("n").alias("pn"))
     close = lambda x, y: 100 * F.least(x, y) >= SIMILAR * F.greatest(x, y)
     pairs = members.join(pivots, "key").filter((F.col("node") != F.col("pivot")) & close(F.col("n"), F.col("pn")))
@@ -291,20 +319,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = materialize(_sets(docs, ends(guessed).join(named, "node"), id_col, text_col))
     each = guessed.select("a", "b", "guess", F.explode(F.array("a", "b")).alias("node"))
     best = each.groupBy("node").agg(F.max(F.struct("guess", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    links = materialize(_confirm(best, sets))
-    comps = components(links)
-    links = materialize(links.union(_confirm(_apart(guessed, comps), sets)))
-    comps = components(links)
+    comps = components(materialize(_confirm(best, sets)))
+    comps = joined_components(comps, _confirm(_apart(guessed, comps), sets))
 
-    rest = materialize(_rest_of_buckets(members, nodes, comps, guessed))
+    rest = _rest_of_buckets(members, comps)
     if rest.head(1):
-        missing = ends(rest).join(sets.select("node"), "node", "left_anti").join(named, "node")
+        missing = rest.select("node").distinct().join(sets.select("node"), "node", "left_anti").join(named, "node")
         sets = sets.union(materialize(_sets(docs, missing, id_col, text_col)))
-        each = rest.select("a", "b", "guess", F.explode(F.array("a", "b")).alias("node"))
-        best = each.groupBy("node").agg(F.max(F.struct("guess", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        links = materialize(links.union(_confirm(best, sets)))
-        comps = components(links)
-        comps = components(materialize(links.union(_confirm(_apart(rest, comps), sets))))
+        comps = joined_components(comps, _links_in_rest(rest, nodes, sets))
 
     owned = nodes.select("node", "d1", "d2", "n", "id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = owned.groupBy("comp").agg(F.min("id").alias("component_id"))
