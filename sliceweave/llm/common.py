@@ -15,7 +15,7 @@ from sliceweave.session import materialize, shared_folder
 #: Java and Python class of the white space that parts words.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a task holds in its own arrays at once; a longer single text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -155,6 +155,7 @@ def pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int, id_col
                     offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+        encoder.clear()  # the worker goes on to other tasks
 
     return docs.select(id_col, text_col).mapInArrow(cut, schema)
 
