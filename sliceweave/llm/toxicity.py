@@ -91,8 +91,8 @@ def term_scores(terms: list[str], table: np.ndarray, bias: float) -> np.ndarray:
 
 
 def fit_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss, by Newton steps on the rows inside the margin."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
+    """A linear machine with squared hinge loss, by Newton steps on the rows inside the margin; the last column of ``x`` is 1."""
+    x1 = x  # its last column is 1
     w = np.zeros(x1.shape[1])
     flat = ridge * np.eye(len(w))
     flat[-1, -1] = 1e-8
@@ -234,7 +234,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         good = values > 1e-4 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])
         bad = toxic + [(v, n / 4) for t, n in toxic for v in disguised(t) if v not in known]
-        x = np.vstack([kernel([t for t, _ in bad]) @ root, kernel(examples) @ root])
+        terms = [t for t, _ in bad] + examples
+        x = np.ones((len(terms), root.shape[1] + 1))
+        for at in range(0, len(terms), 5000):
+            x[at:at + 5000, :-1] = kernel(terms[at:at + 5000]) @ root
         y = np.concatenate([np.ones(len(bad)), -np.ones(len(examples))])
         share = np.sqrt([n for _, n in bad])
         # both classes weigh the same in all
