@@ -2,6 +2,7 @@
 empty tables, and extra columns whose names clash with the operators' own."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -236,6 +237,36 @@ def test_sentence_spans(spark, docs, empty):
     assert spans.without_repeats(empty).count() == 0
 
 
+def test_shared_windows_do_not_stay_whole(spark):
+    """Passages of 51 words in all kinds of sentences, beginning anywhere in a sentence; lines may break elsewhere."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(1, 8)))
+    items, want = [], {}
+    for n, longest in enumerate((2, 4, 6, 13, 20, 21, 45, 300) * 12):
+        shared = []
+        while len(shared) < 51:
+            shared += [word() for _ in range(rng.randint(1, longest) - 1)] + [word() + "."]
+        shared = shared[:51] if n % 3 else [w.strip(".") for w in shared[:51]]
+        own = lambda: [word() for _ in range(rng.randint(0, 40))]
+        between = "\n" if n % 5 == 0 else " "
+        before, after = own(), own()
+        items += [(2 * n, " ".join([*own(), *shared, *own()])), (2 * n + 1, between.join([*before, *shared, *after]))]
+        want[2 * n + 1] = (before, shared, after)
+    items += [(1000, "All alike. " * 40), (1001, "a b c d e f g h i j k l m n o p q r s t u v w x y " * 2), (1002, "start a b c d e f g h i j k l m n o p q r s t u v w x y " + "a b c d e f g h i j k l m n o p q r s t u v w x y")]
+    got = {r["doc_id"]: r for r in spans.without_repeats(spark.createDataFrame(items, "doc_id long, text string").repartition(3)).collect()}
+    for i, text in items:
+        parts, gone = spans.sentences(text), got[i]["removed"]
+        assert max(len(p.split()) for p in parts) <= spans.LONGEST
+        assert got[i]["text"] == "".join(p for j, p in enumerate(parts) if j not in gone)
+    for i, (before, shared, after) in want.items():
+        kept = got[i]["text"].split()
+        assert len(kept) < len(before) + 51 + len(after), i
+        # what the text has of its own stays
+        assert kept[:len(before)] == before and (not after or kept[-len(after):] == after), i
+        assert got[i - 1]["n_removed"] == 0
+    assert got[1000]["n_removed"] > 30 and got[1002]["n_removed"] > 0
+
+
 def naive_bins(lengths, top):
     free = []
     for n in sorted(lengths, reverse=True):
