@@ -92,18 +92,19 @@ class Ledger:
         texts = self._texts(versions, new, id_col, text_col)
         found = texts.select("blob", F.explode(F.array_compact(F.array(*[self._spans(r) for r in rules]))).alias("_r"))
         found = found.select("blob", F.col("_r.rule").alias("rule"), F.posexplode(F.arrays_zip("_r.gaps", "_r.hits")).alias("_i", "_m"))
+        # rows alike in id and text have come along; they leave in the tasks that hold them, before anything is added up
+        found = found.select("blob", "rule", "_i", F.col("_m.gaps").alias("_gap"), F.col("_m.hits").alias("_hit")).distinct()
         # a gap, a match, a gap, a match ...: starts are running sums within one blob and rule
         so_far = Window.partitionBy("blob", "rule").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-        ends = F.sum(F.col("_m.gaps") + F.coalesce(F.abs("_m.hits"), F.lit(0))).over(so_far)
-        found = found.select("blob", "rule", ends.alias("stop"), F.col("_m.hits").cast("long").alias("_hit")).filter("_hit > 0")
+        ends = F.sum(F.col("_gap") + F.coalesce(F.abs("_hit"), F.lit(0))).over(so_far)
+        found = found.select("blob", "rule", ends.alias("stop"), F.col("_hit").cast("long").alias("_hit")).filter("_hit > 0")
         found = found.select("blob", "rule", (F.col("stop") - F.col("_hit")).alias("start"), "stop")
         found.write.mode("append").parquet(f"{self.folder}/findings")
         new.select("blob", F.col("_todo").alias("done")).write.mode("append").parquet(f"{self.folder}/scanned")
 
     @staticmethod
     def _texts(versions: DataFrame, new: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """One row of each new blob. Keys are pairs of blob and id, so no key is hot; a repeated row
-        may pass twice, which finds the same spans twice."""
+        """The rows of each new blob that have its first id: one, or several if rows are alike in id and text."""
         right = new.select(F.col("blob").alias("_blob"), "_first", "_todo").hint("shuffle_hash")
         left = versions.select("blob", F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
         return left.join(right, (left["blob"] == right["_blob"]) & left["_id"].eqNullSafe(right["_first"])).drop("_blob")
