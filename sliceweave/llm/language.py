@@ -14,10 +14,14 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 from sliceweave.llm.common import mix, slices, words_of
 from sliceweave.session import materialize
 
-#: Trigrams of words are hashed to so many places; a language needs this share of the sample.
-PLACES, LEAST_SHARE = 1 << 15, 0.005
-#: The fit reads about so many documents with a declared language.
-FIT_DOCS = 20_000
+#: Trigrams of words are hashed to so many places; a language needs so many documents that declare it, of all rows.
+PLACES, LEAST_DOCS = 1 << 15, 3
+#: The fit reads about so many documents of each declared language.
+FIT_DOCS = 5_000
+#: What each language takes from the background, as a share of its own trigrams and in trigrams at least.
+FROM_BACKGROUND, LEAST_FROM_BACKGROUND = 0.1, 500.0
+#: How likely a text is in a language that the model does not have.
+UNKNOWN = 0.01
 #: A text's evidence counts as that of so many words at most, since its words are not independent.
 WORDS = 60
 #: Weight of a parent's distribution in a host's, in documents.
@@ -39,22 +43,47 @@ def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Languages, and a log likelihood for each place and language."""
+    """Languages, the background (``und``) as the last, and a log likelihood for each place and language."""
 
     def __init__(self, languages: list[str], table: np.ndarray):
         self.languages, self.table = languages, table
 
 
+def smoothed(counts: np.ndarray) -> np.ndarray:
+    """Log likelihoods from trigram counts (places x languages), with a column for the background.
+
+    The background is half all languages alike and half any trigram. Every language takes a part of it, so a text of
+    trigrams that a language lacks is less likely there than in the background, however few documents the language has.
+    """
+    totals = counts.sum(axis=0)
+    own = counts / np.maximum(totals, 1)
+    background = 0.5 * own.mean(axis=1) + 0.5 / PLACES
+    taken = np.maximum(FROM_BACKGROUND, LEAST_FROM_BACKGROUND / (totals + LEAST_FROM_BACKGROUND))
+    return np.log(np.column_stack([(1 - taken) * own + taken * background[:, None], background]))
+
+
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model:
-    """Trigram counts by declared language, over a sample by hash of about FIT_DOCS rows; tasks add up their own first."""
+    """Trigram counts by declared language, over a sample by hash of about FIT_DOCS rows of each; tasks add up their own first.
+
+    Every language that LEAST_DOCS rows declare is in the model, however small its share of the rows.
+    """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = labelled.select("lang").count()
-    share = min(1.0, FIT_DOCS / max(total, 1))
-    sample = labelled.filter(F.pmod(F.xxhash64(F.lit(23), "id"), F.lit(1_000_000)) < int(np.ceil(share * 1_000_000)))
+    labelled = labelled.filter(F.col("lang") != UNDETERMINED)
+    known = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= LEAST_DOCS)
+    known = materialize(known.select(F.col("lang").alias("of_lang"), F.ceil(F.lit(1e6 * FIT_DOCS) / F.col("rows")).alias("share")))
+    drawn = labelled.join(known, F.col("lang") == F.col("of_lang"))
+    sample = drawn.filter(F.pmod(F.xxhash64(F.lit(23), "id", "text"), F.lit(1_000_000)) < F.col("share")).select("lang", "text")
 
     def count(frames):
         held: dict[str, np.ndarray] = {}
+
+        def sums():
+            for lang, n in held.items():
+                at = np.flatnonzero(n)
+                yield pd.DataFrame({"lang": lang, "place": at, "n": n[at].astype(np.int64)})
+            held.clear()
+
         for frame in frames:
             for lang, part in frame.groupby("lang"):
                 codes, _, words = words_of(pa.array(part["text"], pa.string()), lower=True)
@@ -62,19 +91,18 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model:
                 times = np.bincount(codes, minlength=len(words)) if len(words) else np.zeros(0)
                 held.setdefault(lang, np.zeros(PLACES))
                 held[lang] += np.bincount(where, weights=times[who], minlength=PLACES)
-        for lang, n in held.items():
-            at = np.flatnonzero(n)
-            yield pd.DataFrame({"lang": lang, "place": at, "n": n[at].astype(np.int64)})
+            if len(held) > 100:
+                yield from sums()
+        yield from sums()
 
     sums = materialize(sample.mapInPandas(count, "lang string, place int, n long").groupBy("lang", "place").agg(F.sum("n").alias("n")))
-    by_lang = sums.groupBy("lang").agg(F.sum("n").alias("n"))
-    most = by_lang.agg(F.sum("n")).first()[0] or 0
-    # 1 / LEAST_SHARE languages at most
-    languages = sorted(r["lang"] for r in by_lang.filter(F.col("n") >= LEAST_SHARE * most).select("lang").collect())
-    table = np.full((PLACES, len(languages)), 0.5)
-    for r in sums.filter(F.col("lang").isin(languages)).toLocalIterator():
-        table[r["place"], languages.index(r["lang"])] += r["n"]
-    return Model(languages, np.log(table / table.sum(axis=0)))
+    languages = sorted(r["lang"] for r in sums.select("lang").distinct().collect())
+    if not languages:
+        return Model([], np.zeros((PLACES, 0)))
+    counts, at = np.zeros((PLACES, len(languages))), {x: i for i, x in enumerate(languages)}
+    for r in sums.toLocalIterator():
+        counts[r["place"], at[r["lang"]]] += r["n"]
+    return Model([*languages, UNDETERMINED], smoothed(counts))
 
 
 def evidence(docs: DataFrame, model: Model, text: Column, keep: dict[str, Column]) -> DataFrame:
@@ -99,6 +127,8 @@ def evidence(docs: DataFrame, model: Model, text: Column, keep: dict[str, Column
                     total[full] = np.add.reduceat(per_word[codes], starts, axis=0)
                     letters[full] = np.add.reduceat(grams[codes], starts)
                 total *= np.minimum(1.0, WORDS / np.maximum(counts, 1))[:, None]
+                if languages:
+                    total[:, -1] += np.log(UNKNOWN)
                 logs = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * languages), pa.array(total.ravel()))
                 rest = [batch.column(i).slice(a, b - a) for i in range(1, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(letters), logs], names=[f.name for f in schema.fields])
@@ -149,7 +179,7 @@ def identify(docs: DataFrame, model: Model, text: Column, keep: dict[str, Column
     the host's prior. How far a declaration or suffix can be trusted, and what a host writes, is counted over all rows
     against the language that the text alone speaks for. Missing evidence (null) says nothing. A text without letters (null
     and empty ones too) has only the other evidence; it is ``und`` and not accepted, as is one whose best language stays
-    under ``least``. Repeated rows are judged alike; an empty table gives no rows.
+    under ``least``, and one that the background explains better than any language. Repeated rows are judged alike; an empty table gives no rows.
     """
     null = F.lit(None).cast("string")
     given = {"declared": declared if declared is not None else null, "suffix": suffix if suffix is not None else null, "host": host if host is not None else null}
@@ -173,8 +203,8 @@ def identify(docs: DataFrame, model: Model, text: Column, keep: dict[str, Column
             total = add(total, F.transform("prior", lambda p: F.log(p)))
     out = out.withColumn("log", total).withColumn("top", F.array_max("log"))
     sure = 1.0 / F.aggregate("log", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
-    clear = (F.col("letters") > 0) & (F.coalesce(sure, F.lit(0.0)) >= least)
     pick = F.element_at(names, F.array_position("log", F.col("top")).cast("int"))
+    clear = (F.col("letters") > 0) & (F.coalesce(sure, F.lit(0.0)) >= least) & (F.coalesce(pick, F.lit(UNDETERMINED)) != UNDETERMINED)
     return out.select(*[F.col(f"k_{n}").alias(n) for n in keep], F.when(clear, pick).otherwise(UNDETERMINED).alias("language"),
                       F.when(F.col("letters") > 0, sure).otherwise(0.0).alias("confidence"),
                       F.when(F.col("choice").isNotNull(), F.element_at(names, F.col("choice") + 1)).alias("text_language"), "letters",

@@ -128,6 +128,21 @@ def test_language(spark):
     assert told[0]["language"] == "en" and told[1]["language"] == "de" and told[2]["language"] == "fr" and told[501]["language"] == "und"
 
 
+def test_small_and_unknown_languages(spark):
+    """A language of few rows is in the model; a text in none of its languages is und, also if it declares its own."""
+    say = {"en": "the house and the garden with some of those things", "de": "das haus und der garten mit einigen dieser dinge"}
+    few = "talo ja puutarha ovat kauniita kun aurinko paistaa"
+    rows = [(i, " ".join([say[x]] * (1 + i % 4)), x, "a") for i in range(1200) for x in [list(say)[i % 2]]]
+    rows += [(2000 + i, few + " hyvin" * i, "fi", "a") for i in range(4)]
+    rows += [(3000, "zxqv wkpj qqzx jvwx kzqp xwvj zzkq pxqj", "xx", "a"), (3001, "zxqv wkpj qqzx jvwx kzqp xwvj zzkq pxqj", None, "a")]
+    got = {r["doc_id"]: r for r in language.of_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)).collect()}
+    for i, _, lang, _ in rows:
+        if i < 3000:
+            assert got[i]["language"] == lang and got[i]["accepted"], i
+        else:
+            assert got[i]["language"] == got[i]["text_language"] == "und" and not got[i]["accepted"], i
+
+
 def test_host_levels(spark):
     row = spark.range(1).select(language.host_levels(F.lit("a.b.c")).alias("l")).first()
     assert row["l"] == ["a.b.c", "b.c", "c"]
