@@ -293,6 +293,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets is compared chunk by chunk. A likelihood over both sketches sorts out most pairs. Each node's best pair
     is confirmed on full sets first, the others only where that has not joined their components yet.
     """
+    judged = _judged(docs, id_col, text_col)
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return judged.select(F.col("id").alias(id_col), "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"),
+                         F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_key, n, comp, component_id) for every row: comp numbers the components, whatever their ids; null for empty sets."""
     drawn = materialize(sketches(docs, id_col, text_col))
     full = drawn.filter("n > 0")
     first = F.min(F.struct(F.col("id").isNull(), "id", "text_key")).alias("first")
@@ -330,16 +338,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     owned = nodes.select("node", "d1", "d2", "n", "id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = owned.groupBy("comp").agg(F.min("id").alias("component_id"))
-    classes = materialize(owned.join(smallest, "comp").select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.col("n").alias("_n"), "component_id"))
+    classes = materialize(owned.join(smallest, "comp").select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.col("n").alias("_n"), "comp", "component_id"))
     same = (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("n") == F.col("_n"))
-    joined = drawn.select("id", "text_key", "n", "d1", "d2").join(classes, same, "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return joined.select(F.col("id").alias(id_col), "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                         F.col("id").eqNullSafe(component).alias("kept"))
+    return drawn.select("id", "text_key", "n", "d1", "d2").join(classes, same, "left").select("id", "text_key", "n", "comp", "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that are not kept; rows alike in id and text stay or go together."""
-    gone = near_duplicates(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key")).distinct()
+    """``docs`` with one row of each group of near duplicates: the least by id (null last) and text hash, one of those alike
+    in both. Texts without shingles stay."""
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
+    keys = materialize(_judged(docs, id_col, text_col).filter("n > 0").groupBy("comp", "id", "text_key").agg(F.count(F.lit(1)).alias("copies")))
+    first = keys.groupBy("comp").agg(F.min(place).alias("first"))
+    marked = materialize(keys.join(first, "comp").select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), "copies", (place == F.col("first")).alias("_first")).filter(
+        "copies > 1 or not _first"))
     keyed = docs.withColumn("_text_key", F.xxhash64(F.col(text_col)))
-    return keyed.join(materialize(gone), keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_anti").drop("_text_key")
+    same = keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+    out = keyed.join(marked, same, "left_anti")
+    repeated = marked.filter("_first").select("_id", "_key")
+    if repeated.head(1):
+        # rows alike in id and text, of which one stays
+        out = out.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates([id_col, "_text_key"]))
+    return out.drop("_text_key")

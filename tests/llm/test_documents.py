@@ -194,6 +194,16 @@ def test_near_duplicates_match_all_pairs(spark, docs, empty):
     assert kept.columns == given.columns and kept.filter("doc_id = 1").count() == 0 and kept.filter("doc_id in (0, 3, 4, 5)").count() == 4
 
 
+def test_one_row_of_each_group_stays(spark):
+    text = lambda k, odd="": f"{odd}first " + " ".join(f"g{k}w{i}" for i in range(60))
+    items = [(1, text(1))] * 3 + [(2, text(2)), (2, text(2, "x ")), (2, text(3)), (3, text(3))] + [(None, text(4))] * 2 + [(None, text(4, "y ")), (4, text(5)), (5, text(5, "z "))]
+    items += [(6, ""), (6, ""), (None, None)]
+    got = near_dups.deduplicated(spark.createDataFrame([(*x, "r") for x in items], "doc_id long, text string, comp string").repartition(3))
+    assert got.columns == ["doc_id", "text", "comp"]
+    groups = Counter((r["text"] or "").split(" g")[-1][:1] and re.search(r"g\d", r["text"])[0] for r in got.collect())
+    assert groups == {"g1": 1, "g2": 1, "g3": 1, "g4": 1, "g5": 1, "": 3}
+
+
 def test_rest_of_large_buckets(spark, monkeypatch):
     """With hardly any pivots, what the buckets hide is found chunk by chunk."""
     monkeypatch.setattr(near_dups, "PIVOTS", 1)
