@@ -170,3 +170,9 @@ def test_label_and_stack(spark):
     attached = LS.attach_coordinates(m, out.filter("cell_id = 'c1'"))
     assert attached.x.count() == 2 and "warp_x" in attached.obs.columns
     assert LS.neurons_only(m, ["Th"]).x.count() == 2
+
+
+def test_rasters_start_from_tables():
+    from sliceweave.sources import rasters
+
+    assert not hasattr(rasters, "read_tiff")
