@@ -130,3 +130,39 @@ def mix(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
+
+
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all rows in turn, and where each row ends; a null text has none."""
+    whole = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(whole.buffers()[1], dtype=np.int64, count=len(whole) + 1, offset=8 * whole.offset) if len(whole) else np.zeros(1, dtype=np.int64)
+    raw = whole.buffers()[2] if len(whole) else None
+    data = np.frombuffer(raw, dtype=np.uint8)[offsets[0]:offsets[-1]] if raw is not None and raw.size else np.zeros(0, dtype=np.uint8)
+    return data, offsets[1:] - offsets[0]
+
+
+def runs_of(data: np.ndarray, ends: np.ndarray, kind: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """Maximal runs of bytes of one kind within a row, ``kind`` 0 parting them: the runs' contents as a dictionary of binary
+    values, where each run starts, and how many each row has."""
+    if not len(data):
+        return pa.array([], pa.large_binary()).dictionary_encode(), np.zeros(0, dtype=np.int64), np.zeros(len(ends), dtype=np.int64)
+    edge = np.empty(len(data), dtype=bool)
+    edge[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=edge[1:])
+    begins = ends[:-1]
+    edge[begins[begins < len(data)]] = True
+    at = np.flatnonzero(edge)
+    stops = np.append(at[1:], len(data))
+    inside = kind[at] > 0
+    starts, sizes = at[inside], (stops - at)[inside]
+    offsets = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(sizes)])
+    runs = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[kind > 0])])
+    counts = np.diff(np.searchsorted(starts, np.concatenate([[0], ends])))
+    return runs.dictionary_encode(), starts, counts.astype(np.int64)
+
+
+def hash_of_bytes(values: list[bytes]) -> np.ndarray:
+    """64-bit hashes."""
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh64_intdigest, values), dtype=np.uint64, count=len(values))

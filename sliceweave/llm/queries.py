@@ -157,3 +157,66 @@ def language_of_pages(spark, sf_dir):
 
     model = fit(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
     return of_pages(table(spark, sf_dir, "pages"), model)
+
+
+# ------------------------------------------------------------------------------------------------ 11 importance resampling
+
+# crc32 of the bytes of ``w``: a table of 256 steps made by the rule, then one step a byte
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode(w))), lambda i: CAST('0x' || substr(hex(encode(w)), CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT))),
+  lambda c, b: xor(c >> 8, t[CAST(xor(c & 255, b) + 1 AS INTEGER)])))"""
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FEATURES = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+
+
+@query("op11_importance_resampling", f"""WITH steps AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(CAST(b AS BIGINT), range(0, 8)),
+  lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS c FROM range(0, 256) r(b))),
+docs AS (SELECT doc_id, row_number() OVER () AS r, len(w) AS n_words, {_FEATURES} AS f FROM (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)),
+goals AS (SELECT {_FEATURES} AS f FROM (SELECT regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)),
+doc_counts AS (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(f) AS w FROM docs) GROUP BY r, w),
+raw AS (SELECT w, sum(n) AS n FROM doc_counts GROUP BY w), target AS (SELECT w, count(*) AS n FROM (SELECT unnest(f) AS w FROM goals) GROUP BY w),
+placed AS MATERIALIZED (SELECT w, {_CRC} % 10000 AS bucket FROM (SELECT w FROM raw UNION SELECT w FROM target), steps),
+s AS (SELECT bucket, sum(n) AS s FROM raw JOIN placed USING (w) GROUP BY bucket), t AS (SELECT bucket, sum(n) AS t FROM target JOIN placed USING (w) GROUP BY bucket),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM s FULL JOIN t USING (bucket)),
+weights AS (SELECT r, CAST(floor(sum(n * gain)::DOUBLE / sum(n)) AS BIGINT) AS weight, CAST(sum(n) AS BIGINT) AS n_features FROM doc_counts JOIN placed USING (w) JOIN gains USING (bucket) GROUP BY r),
+scored AS (SELECT doc_id, r, n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM docs LEFT JOIN weights USING (r)),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, r) AS rank FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM ranked) * 25 // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (r)""")
+def op11_importance_resampling(spark, sf_dir):
+    from sliceweave.llm.resampling import importance
+
+    drawn = importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# ------------------------------------------------------------------------------------------------ 12 phrase collocations
+
+_GRAMS = " UNION ALL ".join(f"SELECT lang, array_to_string(w[i:i + {n - 1}], ' ') AS phrase, {n} AS size FROM (SELECT lang, w, unnest(range(1, len(w) - {n - 2})) AS i FROM pieces WHERE len(w) >= {n})" for n in range(1, 6))
+
+
+@query("op12_phrase_collocations", f"""WITH pieces AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
+  unnest(string_split_regex({_FOLDED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+totals AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, phrase, any_value(size) AS size, count(*) AS f FROM ({_GRAMS}) GROUP BY lang, phrase HAVING count(*) >= 100),
+cut AS (SELECT lang, phrase, size, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS x, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS y
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM f WHERE size > 1)),
+scores AS (SELECT cut.lang, cut.phrase, cut.size, a, k, l.f AS l, r.f AS r, CAST(n AS BIGINT) AS n, CAST(1000::HUGEINT * a * n::HUGEINT // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = x JOIN f r ON r.lang = cut.lang AND r.phrase = y JOIN totals ON totals.lang = cut.lang),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.lang = b.lang AND f.size > b.size AND 100 * f.f >= 100 * b.a AND contains(' ' || f.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000""")
+def op12_phrase_collocations(spark, sf_dir):
+    from sliceweave.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------------------------------------------ 13 quality
+
+@query("op13_quality")
+def op13_quality(spark, sf_dir):
+    from sliceweave.llm.quality import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
