@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,66 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def as_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` as one column ``row``, so that no name of theirs meets one of an operator's; ``row.*`` opens it again."""
+    return docs.select(F.struct("*").alias("row"))
+
+
+def field(name: str):
+    return F.col("row").getField(name)
+
+
+class KeyFilter:
+    """A Bloom filter of bounded size over 64-bit keys, three bits a key: EACH bits for every key, and MOST (32 MB) in all. A
+    fuller one lets more through, which an exact join or count behind it sorts out."""
+
+    EACH, MOST = 16, 1 << 28
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.mask = bits, np.uint64(64 * len(bits) - 1)
+
+    @staticmethod
+    def places(keys: np.ndarray, mask: np.uint64) -> Iterator[np.ndarray]:
+        yield keys & mask
+        yield (keys >> np.uint64(21)) & mask
+        yield mix(keys) & mask
+
+    @classmethod
+    def of(cls, keys: DataFrame, column: str) -> KeyFilter:
+        """Bits are set in the tasks and put together by words of 64; at most MOST of them reach the driver."""
+        size, count = 1 << 16, keys.count()
+        while size < min(cls.MOST, cls.EACH * count):
+            size *= 2
+        mask = np.uint64(size - 1)
+
+        def run(frames):
+            for frame in frames:
+                k = frame[column].to_numpy().view(np.uint64)
+                yield frame.__class__({"at": np.unique(np.concatenate(list(cls.places(k, mask)))).view(np.int64)})
+
+        words = keys.select(column).mapInPandas(run, "at long").groupBy(F.shiftright("at", 6).alias("word")).agg(
+            F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
+        bits = np.zeros(size // 64, dtype=np.uint64)
+        bits[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+        return cls(bits)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        keep = np.ones(len(keys), dtype=bool)
+        for at in self.places(keys, self.mask):
+            keep &= (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return keep
+
+    def column(self, spark: SparkSession, key):
+        """Whether a column of keys may be among them."""
+        sent = spark.sparkContext.broadcast(self)  # MOST bits at most
+
+        @F.pandas_udf("boolean")
+        def maybe(keys: pd.Series) -> pd.Series:
+            return pd.Series(sent.value(keys.to_numpy().view(np.uint64)))
+
+        return maybe(key)
+
+
 def with_prefix_sums(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """``df`` with running sums of ``value`` within ``keys`` along ``order``, the row's own value included.
 

@@ -7,15 +7,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sliceweave.llm.common import bytes_of, hash_of_bytes, mix, runs_of, slices
+from sliceweave.llm.common import KeyFilter, bytes_of, hash_of_bytes, mix, runs_of, slices
 from sliceweave.session import materialize
 
 #: Words of a phrase at most, and occurrences of a phrase at least.
 LONGEST, SUPPORT = 5, 100
 #: Words of a shard, about; a task holds no more than one and a half times as many at once.
 SHARD_WORDS = 8_000_000
-#: Bits of the candidates' filter for each candidate, and at most (32 MB); a fuller filter lets more through, which the count sorts out.
-BITS_EACH, MOST_BITS = 16, 1 << 28
+#: Words whose phrases are put together at once.
+AT_ONCE = 1 << 20
 #: Bytes of text whose candidates a task counts together.
 PART_BYTES = 8 << 20
 #: Parts of one word are met in so many groups.
@@ -56,47 +56,73 @@ class Words:
         return b" ".join([self.words[c] for c in self.codes[place:place + size]]).decode("utf-8")
 
 
-def _longer(keys: np.ndarray, hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of phrases of ``size`` words at the places ``at``, from those of one word less."""
-    with np.errstate(over="ignore"):
-        return mix(keys[at] * _FACTOR + hashes[at + size - 1])
-
-
-def grow(hashes: np.ndarray, joined: np.ndarray, longest: int, frequent):
-    """Level by level: ``frequent(size, places, keys)`` says which phrases go on. A longer phrase is looked at only where the
-    phrases of one word less at its place and the next one do."""
+def grow(hashes: np.ndarray, joined: np.ndarray, longest: int, thin) -> None:
+    """Level by level: ``thin(size, keys, alive)`` leaves those places alive whose phrases of ``size`` words go on. A longer
+    phrase is looked at only where the phrases of one word less at its place and the next one are alive."""
     keys, alive = hashes.copy(), np.ones(len(hashes), dtype=bool)
-    at = np.arange(len(hashes))
-    alive[at] = frequent(1, at, keys)
-    for size in range(2, longest + 1):
-        at = np.flatnonzero(alive[:-1] & alive[1:])
-        if size == 2:
-            at = at[joined[at + 1]]
-        keys[at] = _longer(keys, hashes, at, size)
-        alive[:] = False
-        alive[at] = frequent(size, at, keys[at])
-
-
-def mine(hashes: np.ndarray, joined: np.ndarray, lang: np.ndarray, least: np.ndarray, longest: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """All phrases that occur at least ``least[language]`` times: (language numbers, keys, counts), an entry per length."""
+    for size in range(1, longest + 1):
+        if size > 1:
+            alive[:-1] &= alive[1:]
+            alive[-1:] = False
+            if size == 2:
+                alive[:-1] &= joined[1:]
+            for a in range(0, len(keys), AT_ONCE):
+                at = np.flatnonzero(alive[a:a + AT_ONCE]) + a
+                with np.errstate(over="ignore"):
+                    keys[at] = mix(keys[at] * _FACTOR + hashes[at + size - 1])
+        thin(size, keys, alive)
+
+
+def mine(hashes: np.ndarray, joined: np.ndarray, lang: np.ndarray, least: np.ndarray, longest: int):
+    """All phrases that occur at least ``least[language]`` times, in parts: (language numbers, keys, counts)."""
     out = []
 
-    def frequent(_, at, keys):
-        order = np.argsort(keys)
-        ranked = keys[order]
-        edge = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, dtype=np.int64)
-        counts = np.diff(np.append(edge, len(ranked)))
-        langs = lang[at[order[edge]]]
-        good = counts >= least[langs]
-        out.append((langs[good], ranked[edge][good], counts[good]))
-        keep = np.empty(len(keys), dtype=bool)
-        keep[order] = np.repeat(good, counts)
-        return keep
-
-    grow(hashes, joined, longest, frequent)
+    def thin(_, keys, alive):
+        # places whose keys begin alike are counted together, a part of all at a time
+        part = np.empty(len(keys), dtype=np.uint8)
+        for a in range(0, len(keys), AT_ONCE):
+            part[a:a + AT_ONCE] = keys[a:a + AT_ONCE] >> np.uint64(60)
+        for p in range(16):
+            at = np.flatnonzero(alive & (part == p))
+            if not len(at):
+                continue
+            ranked = keys[at]
+            order = np.argsort(ranked)
+            ranked, at = ranked[order], at[order]
+            edge = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+            counts = np.diff(np.append(edge, len(ranked)))
+            langs = lang[at[edge]]
+            good = counts >= least[langs]
+            alive[at] = np.repeat(good, counts)
+            out.append((langs[good], ranked[edge[good]], counts[good]))
+
+    grow(hashes, joined, longest, thin)
     return out
 
 
+class Shard:
+    """Words of the texts seen so far, in room for ``size`` of them or a few more."""
+
+    def __init__(self, size: int):
+        self.hash, self.joined, self.lang = np.empty(size, dtype=np.uint64), np.empty(size, dtype=bool), np.empty(size, dtype=np.int32)
+        self.used = 0
+
+    def add(self, words: Words) -> None:
+        stop = self.used + len(words.hash)
+        if stop > len(self.hash):
+            for name in ("hash", "joined", "lang"):
+                have = getattr(self, name)
+                more = np.empty(stop + len(have) // 4, dtype=have.dtype)
+                more[:self.used] = have[:self.used]
+                setattr(self, name, more)
+        for name in ("hash", "joined", "lang"):
+            getattr(self, name)[self.used:stop] = getattr(words, name)
+        self.used = stop
+
+    def content(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.hash[:self.used], self.joined[:self.used], self.lang[:self.used]
+
+
 def language_of(lang: Column) -> Column:
     return F.coalesce(lang.cast("string"), F.lit("und"))
 
@@ -110,11 +136,10 @@ def shard_candidates(texts: DataFrame, totals: dict[str, int], longest: int, sup
     all_words = np.array([totals[n] for n in names], dtype=np.int64)
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        many = 0
+        held = Shard(SHARD_WORDS)
 
-        def shard():
-            hashes, joined, lang = (np.concatenate(x) for x in zip(*held))
+        def mined():
+            hashes, joined, lang = held.content()
             words = np.bincount(lang, minlength=len(names))
             least = np.array([-(-support * int(w) // max(int(n), 1)) for w, n in zip(words, all_words)], dtype=np.int64)
             present = np.flatnonzero(words)
@@ -131,14 +156,12 @@ def shard_candidates(texts: DataFrame, totals: dict[str, int], longest: int, sup
             lang = np.fromiter((number[x] for x in batch.column(0).to_pylist()), dtype=np.int32, count=batch.num_rows)
             for a, b in slices(batch.column(1)):
                 w = Words(batch.column(1).slice(a, b - a), lang[a:b], salts)
-                held.append((w.hash, w.joined, w.lang))
-                many += len(w.hash)
-                if many >= SHARD_WORDS * 3 // 2:
-                    yield from shard()
-                    held.clear()
-                    many = 0
-        if many:
-            yield from shard()
+                held.add(w)
+                if held.used >= SHARD_WORDS * 3 // 2:
+                    yield from mined()
+                    held.used = 0
+        if held.used:
+            yield from mined()
 
     return texts.mapInArrow(run, "lang string, key long, excess long")
 
@@ -156,51 +179,11 @@ def possible(found: DataFrame, support: int, languages: int) -> DataFrame:
     return union.join(a_row_per_language(unfound, languages), "lang").filter(F.col("excess") + F.col("most") >= support).select("lang", "key")
 
 
-class Filter:
-    """A Bloom filter of bounded size over 64-bit keys, three bits a key."""
-
-    def __init__(self, bits: np.ndarray):
-        self.bits, self.mask = bits, np.uint64(64 * len(bits) - 1)
-
-    @staticmethod
-    def places(keys: np.ndarray, mask: np.uint64):
-        yield keys & mask
-        yield (keys >> np.uint64(21)) & mask
-        yield mix(keys) & mask
-
-    @classmethod
-    def of(cls, keys: DataFrame, column: str) -> "Filter":
-        """Bits are set in the tasks and put together by word of 64; at most MOST_BITS of them reach the driver."""
-        size = 1 << 16
-        count = keys.count()
-        while size < min(MOST_BITS, BITS_EACH * count):
-            size *= 2
-        mask = np.uint64(size - 1)
-
-        def run(frames):
-            for frame in frames:
-                k = frame[column].to_numpy().view(np.uint64)
-                at = np.unique(np.concatenate(list(cls.places(k, mask)))).view(np.int64)
-                yield frame.__class__({"at": at})
-
-        words = keys.select(column).mapInPandas(run, "at long").groupBy(F.shiftright("at", 6).alias("word")).agg(
-            F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
-        bits = np.zeros(size // 64, dtype=np.uint64)
-        bits[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-        return cls(bits)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        keep = np.ones(len(keys), dtype=bool)
-        for at in self.places(keys, self.mask):
-            keep &= (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-        return keep
-
-
-def exact_counts(texts: DataFrame, candidates: Filter, languages: list[str], longest: int, support: int) -> DataFrame:
+def exact_counts(texts: DataFrame, candidates: KeyFilter, languages: list[str], longest: int, support: int) -> DataFrame:
     """(lang, phrase, size, n) of all phrases that pass the filter and occur ``support`` times or more, counted by their text."""
     number = {n: i for i, n in enumerate(languages)}
     salts = hash_of_bytes([n.encode("utf-8", "surrogatepass") for n in languages])
-    sent = texts.sparkSession.sparkContext.broadcast(candidates)  # MOST_BITS at most
+    sent = texts.sparkSession.sparkContext.broadcast(candidates)  # of bounded size
 
     def run(batches):
         test, names = sent.value, pa.array(languages, pa.string())
@@ -210,12 +193,13 @@ def exact_counts(texts: DataFrame, candidates: Filter, languages: list[str], lon
                 w = Words(batch.column(1).slice(a, b - a), lang[a:b], salts)
                 hits: list[tuple[int, np.ndarray, np.ndarray]] = []
 
-                def frequent(size, at, keys):
-                    keep = test(keys)
-                    hits.append((size, at[keep], keys[keep]))
-                    return keep
+                def thin(size, keys, alive):
+                    at = np.flatnonzero(alive)
+                    keep = test(keys[at])
+                    alive[at[~keep]] = False
+                    hits.append((size, at[keep], keys[at[keep]]))
 
-                grow(w.hash, w.joined, longest, frequent)
+                grow(w.hash, w.joined, longest, thin)
                 for size, at, keys in hits:
                     _, first, counts = np.unique(keys, return_index=True, return_counts=True)
                     at = at[first]
@@ -238,7 +222,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, support: int = SUP
     shards = -(-sum(totals.values()) // SHARD_WORDS)
     found = materialize(shard_candidates(texts.coalesce(max(shards, 1)), totals, longest, support))
     keys = materialize(possible(found, support, len(totals)))
-    counted = exact_counts(texts, Filter.of(keys, "key"), sorted(totals), longest, support)
+    counted = exact_counts(texts, KeyFilter.of(keys, "key"), sorted(totals), longest, support)
     return materialize(counted), a_row_per_language(words, len(totals))
 
 

@@ -145,8 +145,8 @@ def test_shards_lose_no_phrase(spark, monkeypatch):
     assert sorted(map(tuple, phrases.collocations(given, support=12).collect())) == want
     totals = {"en": 10 ** 6, "de": 10 ** 6, "und": 10 ** 6, "fr": 5}
     assert phrases.shard_candidates(given.fillna("und", "lang").fillna(""), totals, 5, 12).filter("key is null").count() > 4
-    monkeypatch.setattr(phrases, "MOST_BITS", 1 << 16)
-    monkeypatch.setattr(phrases.Filter, "places", staticmethod(lambda keys, mask: iter([keys & np.uint64(7)])))
+    monkeypatch.setattr(phrases.KeyFilter, "MOST", 1 << 16)
+    monkeypatch.setattr(phrases.KeyFilter, "places", staticmethod(lambda keys, mask: iter([keys & np.uint64(7)])))
     assert sorted(map(tuple, phrases.collocations(given, support=12).collect())) == want
 
 
