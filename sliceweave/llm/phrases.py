@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +17,8 @@ from sliceweave.session import materialize
 LONGEST, SUPPORT = 5, 100
 #: Words of a shard, about; a task holds no more than one and a half times as many at once.
 SHARD_WORDS = 8_000_000
+#: The first shard takes this share of its support: what it finds is a candidate, and no other shard tells it again.
+FIRST_SHARE = 0.5
 #: Words whose phrases are put together at once.
 AT_ONCE = 1 << 20
 #: Bytes of text whose candidates a task counts together.
@@ -127,26 +132,31 @@ def language_of(lang: Column) -> Column:
     return F.coalesce(lang.cast("string"), F.lit("und"))
 
 
-def shard_candidates(texts: DataFrame, totals: dict[str, int], longest: int, support: int) -> DataFrame:
+def shard_candidates(texts: DataFrame, totals: dict[str, int], longest: int, support: float, known: KeyFilter | None = None) -> DataFrame:
     """(lang, key, excess): what each shard finds at its own support, by how much its count exceeds what an unfound phrase
-    may have there; and rows without key, that most itself. A shard's support is to ``support`` as its words to all."""
+    may have there; and rows without key, that most itself. A shard's support is to ``support`` as its words to all. What
+    ``known`` holds is a candidate already and is not told again."""
     names = sorted(totals)
     number = {n: i for i, n in enumerate(names)}
     salts = hash_of_bytes([n.encode("utf-8", "surrogatepass") for n in names])
     all_words = np.array([totals[n] for n in names], dtype=np.int64)
+    sent = texts.sparkSession.sparkContext.broadcast(known)  # of bounded size
 
     def run(batches):
-        held = Shard(SHARD_WORDS)
+        held, told = Shard(SHARD_WORDS), sent.value
 
         def mined():
             hashes, joined, lang = held.content()
             words = np.bincount(lang, minlength=len(names))
-            least = np.array([-(-support * int(w) // max(int(n), 1)) for w, n in zip(words, all_words)], dtype=np.int64)
+            least = np.array([max(1, math.ceil(Fraction(support) * int(w) / max(int(n), 1))) for w, n in zip(words, all_words)], dtype=np.int64)
             present = np.flatnonzero(words)
             yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in present], pa.string()), pa.array([None] * len(present), pa.int64()), pa.array(least[present] - 1)],
                                              names=["lang", "key", "excess"])
             spelt = pa.array(names, pa.string())
             for langs, keys, counts in mine(hashes, joined, lang, least, longest):
+                if told is not None:
+                    new = ~told(keys)
+                    langs, keys, counts = langs[new], keys[new], counts[new]
                 for a in range(0, len(keys), 100_000):
                     part = slice(a, a + 100_000)
                     yield pa.RecordBatch.from_arrays([spelt.take(pa.array(langs[part].astype(np.int64))), pa.array(keys[part].view(np.int64)), pa.array(counts[part] - least[langs[part]] + 1)],
@@ -219,9 +229,16 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, support: int = SUP
     texts = docs.select(language_of(F.col(lang_col)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = materialize(texts.groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit(WORD))).cast("long").alias("n")))
     totals = {r["lang"]: r["n"] for r in words.collect()}
-    shards = -(-sum(totals.values()) // SHARD_WORDS)
-    found = materialize(shard_candidates(texts.coalesce(max(shards, 1)), totals, longest, support))
-    keys = materialize(possible(found, support, len(totals)))
+    words_in_all = sum(totals.values())
+    shards = max(-(-words_in_all // SHARD_WORDS), 1)
+    known = None
+    if shards > 1:
+        # a share of the rows, about as large as a shard, tells the common phrases once, so that not every shard has to
+        first = texts.filter(F.rand(5) < SHARD_WORDS / words_in_all).repartition(1)
+        known = materialize(shard_candidates(first, totals, longest, support * FIRST_SHARE).filter("key is not null").select("key"))
+    found = materialize(shard_candidates(texts.coalesce(shards), totals, longest, support, None if known is None else KeyFilter.of(known, "key")))
+    keys = possible(found, support, len(totals)).select("key")
+    keys = materialize(keys if known is None else keys.unionByName(known))
     counted = exact_counts(texts, KeyFilter.of(keys, "key"), sorted(totals), longest, support)
     return materialize(counted), a_row_per_language(words, len(totals))
 
