@@ -71,6 +71,13 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def step_path(spark: SparkSession) -> str:
+    """A new place in the shared folder, which :func:`clear_steps` will delete."""
+    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
+    STEPS.append(path)
+    return path
+
+
 def materialize(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and return a scan of it.
 
@@ -78,7 +85,6 @@ def materialize(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
     is read with column pruning, and its file sizes tell the planner what may be broadcast.
     ``rows_per_file`` keeps files of very wide rows small, since readers take many rows at once.
     """
-    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
-    STEPS.append(path)
+    path = step_path(df.sparkSession)
     df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
