@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from sliceweave.functions import geometry as G
 from sliceweave.operators import grid
-from sliceweave.operators.spatial_join import candidate_pairs
+from sliceweave.operators.spatial_join import candidate_pairs, points_within
 from sliceweave.session import materialize
 
 _BOX = ["bx0", "by0", "bx1", "by1"]
@@ -330,8 +330,8 @@ def _overlay(a: DataFrame, b: DataFrame, on: list[str], rules: bool) -> DataFram
 def invalid_polygons(polygons: DataFrame, on: list[str] = ()) -> DataFrame:
     """Ids ``on, pid`` of polygons that are not valid.
 
-    A ring with fewer than four places or no area, edges that cross or overlap, or a ring that
-    touches itself. Edges meet only edges of their own polygon, through the grid.
+    A ring with fewer than four places or no area, edges that cross or overlap, a ring that touches itself, or rings that
+    nest or touch wrongly, see :func:`wrongly_nested`. Edges meet only edges of their own polygon, through the grid.
     """
     keys = [*on, "pid"]
     ring = F.explode(G.rings(F.col("geometry"))).alias("ring")
@@ -345,15 +345,80 @@ def invalid_polygons(polygons: DataFrame, on: list[str] = ()) -> DataFrame:
     pairs = grid.overlapping_boxes(edges, "eid", keys, _BOX, carry, _levels(edges))
     (p1, p2), (q1, q2) = _ends(1), _ends(2)
     d1, d2, d3, d4 = _turn(q1, q2, p1), _turn(q1, q2, p2), _turn(p1, p2, q1), _turn(p1, p2, q2)
-    contacts = sum(F.when(c, 1).otherwise(0) for c in (
-        _on_segment(d1, q1, q2, p1), _on_segment(d2, q1, q2, p2), _on_segment(d3, p1, p2, q1), _on_segment(d4, p1, p2, q2)))
+    meets = [(_on_segment(d1, q1, q2, p1), p1), (_on_segment(d2, q1, q2, p2), p2), (_on_segment(d3, p1, p2, q1), q1), (_on_segment(d4, p1, p2, q2), q2)]
+    place = lambda c, at: F.when(c, F.struct((at[0] + 0.0).alias("x"), (at[1] + 0.0).alias("y")))
+    touch = F.array_distinct(F.array_compact(F.array(*[place(c, at) for c, at in meets])))
     cross = _opposite(d1, d2) & _opposite(d3, d4)
     one_ring = (F.col("p_1") == F.col("p_2")) & (F.col("r_1") == F.col("r_2"))
     gap = F.abs(F.col("i_1") - F.col("i_2"))
     neighbours = one_ring & ((gap == 1) | (gap == F.col("last_1")))
-    # neighbours share one corner, which shows as two contacts; more means they fold back
-    bad = cross | F.when(neighbours, contacts > 2).when(one_ring, contacts > 0).otherwise(contacts > 2)
-    return pairs.filter(bad).select(*keys).unionByName(flat).distinct()
+    # neighbours share one corner; straight edges with two places in common run along each other
+    bad = cross | (F.size(touch) > F.when(one_ring & ~neighbours, 0).otherwise(1))
+    found = pairs.select(*keys, *[c for side in (1, 2) for c in (f"p_{side}", f"r_{side}")], bad.alias("bad"),
+                         F.when(~one_ring, touch).alias("touch"))
+    found = materialize(found.filter(F.col("bad") | (F.size("touch") > 0)))
+    wrong = found.filter("bad").select(*keys).unionByName(flat).distinct()
+    touches = found.filter("not bad").select(*keys, *[c for side in (1, 2) for c in (f"p_{side}", f"r_{side}")], F.explode("touch").alias("at"))
+    return wrong.unionByName(wrongly_nested(polygons, touches, on)).distinct()
+
+
+def wrongly_nested(polygons: DataFrame, touches: DataFrame, on: list[str] = ()) -> DataFrame:
+    """Ids ``on, pid`` of polygons whose rings don't cross and yet make no valid polygon.
+
+    A hole outside its shell or in another hole, a shell inside another part but not in a hole of it, and rings of a part
+    that touch in so many places that they part its interior. ``touches`` are places ``at`` where two rings meet.
+
+    Most outlines are single rings and take no part. For the others, places of one ring that lie on no other ring are
+    located in the other rings by a point join; one place speaks for a ring that touches none.
+    """
+    keys = [*on, "pid"]
+    ring = [*keys, "p", "r"]
+    several = polygons.filter(F.size(F.flatten(F.col("geometry.parts"))) > 1)
+    parts = several.select(*keys, F.posexplode("geometry.parts").alias("p", "part"))
+    rings = materialize(parts.select(*keys, "p", F.posexplode("part").alias("r", "ring")))
+    each = lambda side: touches.select(*keys, F.col(f"p_{side}").alias("p"), F.col(f"r_{side}").alias("r"), "at")
+    met = materialize(each(1).unionByName(each(2)).distinct())
+
+    middle = F.transform(G.ring_edges(F.col("ring")), lambda e: F.struct(((e["x1"] + e["x2"]) / 2 + 0.0).alias("x"), ((e["y1"] + e["y2"]) / 2 + 0.0).alias("y")))
+    corners = F.transform("ring", lambda v: F.struct((v["x"] + 0.0).alias("x"), (v["y"] + 0.0).alias("y")))
+    places = rings.select(*ring, F.explode(F.array_distinct(F.concat(corners, middle))).alias("at")).join(met, [*ring, "at"], "left_anti")
+    touching = met.select(*ring).distinct().withColumn("touching", F.lit(True))
+    # any place of a ring apart, all places of a ring that touches others
+    apart = rings.select(*ring, F.struct((F.col("ring")[0]["x"] + 0.0).alias("x"), (F.col("ring")[0]["y"] + 0.0).alias("y")).alias("at")).join(touching, ring, "left_anti")
+    places = apart.unionByName(places.join(touching, ring, "left_semi").select(*apart.columns))
+    places = materialize(places.select(*ring, F.col("at.x").alias("_x"), F.col("at.y").alias("_y")))
+    targets = rings.select(*keys, F.col("p").alias("p2"), F.col("r").alias("r2"), G.polygon(F.col("ring")).alias("geometry"))
+    hits = points_within(places, targets, "_x", "_y", keys).filter("p != p2 or r != r2")
+    seen = hits.groupBy(*ring, "_x", "_y", "p2").agg(F.max(F.col("r2") == 0).alias("in_shell"), F.max(F.col("r2") > 0).alias("in_hole"))
+    seen = materialize(seen)
+    elsewhere = seen.filter("(p = p2 and r > 0 and in_hole) or (p != p2 and r = 0 and in_shell and not in_hole)")
+    held = seen.filter("p = p2 and in_shell").select(*ring, "_x", "_y")
+    loose = places.filter("r > 0").join(held, [*ring, "_x", "_y"], "left_anti")
+    # a ring whose every place lies on others
+    hidden = touching.join(places.select(*ring).distinct(), ring, "left_anti")
+
+    # rings and the places where they touch are a graph; a circle in it cuts a piece off the interior
+    in_part = touches.filter("p_1 = p_2")
+    ends = in_part.select(*keys, F.col("p_1").alias("p"), F.explode(F.array("r_1", "r_2")).alias("r"), "at").distinct()
+
+    def circles(frame: pd.DataFrame) -> pd.DataFrame:
+        above: dict = {}
+
+        def top(n):
+            while above.setdefault(n, n) != n:
+                above[n] = n = above[above[n]]
+            return n
+
+        for r, at in zip(frame["r"], frame["at"]):
+            a, b = top(("ring", r)), top((at["x"], at["y"]))
+            if a == b:
+                return frame[keys].iloc[:1]
+            above[a] = b
+        return frame[keys].iloc[:0]
+
+    # a group is the touches of one part, no larger than its geometry value
+    cut_off = ends.groupBy(*keys, "p").applyInPandas(circles, T.StructType([polygons.schema[k] for k in keys]))
+    return elsewhere.select(*keys).unionByName(loose.select(*keys)).unionByName(hidden.select(*keys)).unionByName(cut_off)
 
 
 def valid_only(polygons: DataFrame, on: list[str] = ()) -> DataFrame:
