@@ -73,6 +73,12 @@ def gaussian_weights(ksize: int) -> np.ndarray:
 
 def blur(pixels: DataFrame, ksize: int = 11, size: DataFrame | None = None, tile: int = TILE) -> DataFrame:
     """Gaussian blur in double precision, borders mirrored without the edge pixel, rounded half to even."""
+    halo, fn = blurred(ksize)
+    return tile_apply(pixels, halo, fn, "y int, x int, v long", size, tile)
+
+
+def blurred(ksize: int) -> tuple[int, Callable]:
+    """Halo and block function of :func:`blur`."""
     halo, weights = ksize // 2, gaussian_weights(ksize)
 
     def mirror(first, count, limit):
@@ -90,7 +96,7 @@ def blur(pixels: DataFrame, ksize: int = 11, size: DataFrame | None = None, tile
         both = sum(weights[k] * down[:, k:k + nc] for k in range(ksize))
         return _own(np.rint(both), y0 + halo, x0 + halo)
 
-    return tile_apply(pixels, halo, fn, "y int, x int, v long", size, tile)
+    return halo, fn
 
 
 def _slide(block: np.ndarray, ksize: int, pick) -> np.ndarray:
@@ -101,6 +107,12 @@ def _slide(block: np.ndarray, ksize: int, pick) -> np.ndarray:
 
 def dilate(pixels: DataFrame, ksize: int, size: DataFrame | None = None, tile: int = TILE) -> DataFrame:
     """Highest value under a square of ones, centred at ``ksize // 2``; outside the image counts as nothing."""
+    halo, fn = dilated(ksize)
+    return tile_apply(pixels, halo, fn, "y int, x int, v long", size, tile)
+
+
+def dilated(ksize: int) -> tuple[int, Callable]:
+    """Halo and block function of :func:`dilate`."""
     before, after = ksize // 2, ksize - 1 - ksize // 2
 
     def fn(block, y0, x0, h, w):
@@ -108,11 +120,17 @@ def dilate(pixels: DataFrame, ksize: int, size: DataFrame | None = None, tile: i
         part = block[rows.start - before:rows.stop + after, cols.start - before:cols.stop + after]
         return _own(_slide(part, ksize, np.max), y0 + before, x0 + before)
 
-    return tile_apply(pixels, before, fn, "y int, x int, v long", size, tile)
+    return before, fn
 
 
 def close(pixels: DataFrame, ksize: int, size: DataFrame | None = None, tile: int = TILE) -> DataFrame:
     """Dilation and then erosion under a square of ones, both within one tile visit."""
+    halo, fn = closed(ksize)
+    return tile_apply(pixels, halo, fn, "y int, x int, v long", size, tile)
+
+
+def closed(ksize: int) -> tuple[int, Callable]:
+    """Halo and block function of :func:`close`."""
     before, after = ksize // 2, ksize - 1 - ksize // 2
     halo = 2 * before
 
@@ -127,7 +145,7 @@ def close(pixels: DataFrame, ksize: int, size: DataFrame | None = None, tile: in
         shrunk = _slide(np.where(outside, np.iinfo(np.int64).max, grown), ksize, np.min)
         return _own(shrunk, y0 + halo, x0 + halo)
 
-    return tile_apply(pixels, halo, fn, "y int, x int, v long", size, tile)
+    return halo, fn
 
 
 def border_codes(mask: DataFrame, size: DataFrame | None = None, tile: int = TILE) -> DataFrame:
