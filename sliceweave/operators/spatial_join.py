@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sliceweave.functions import geometry as G
 from sliceweave.operators import grid
+from sliceweave.operators.clipping import points_within_clipped
 
 _BOX = ["_xmin", "_ymin", "_xmax", "_ymax"]
 
@@ -96,7 +97,8 @@ def label_points(points: DataFrame, masks: DataFrame, point_id: str, x: str, y:
     scaled = points.select(*on, point_id, (F.col(x) * factor).alias("_px"), (F.col(y) * factor).alias("_py"))
     # of masks with one outline only the last can win
     latest = masks.groupBy(*on, "geometry").agg(F.max_by(label, order).alias(label), F.max(order).alias(order))
-    hits = points_within(scaled, latest, "_px", "_py", on)
+    # a mask may hold most points of its section, so it is met cell by cell
+    hits = points_within_clipped(scaled, latest, "_px", "_py", on)
     last = hits.groupBy(*on, point_id).agg(F.max_by(label, F.col(order)).alias(label))
     out = points.join(last, [*on, point_id], "left")
     return out.withColumn(label, F.coalesce(F.col(label), F.lit(unassigned)))

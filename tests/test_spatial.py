@@ -5,8 +5,10 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sliceweave.functions import geometry as G
+from sliceweave.operators import clipping as CL
 from sliceweave.operators import overlay as OV
 from sliceweave.operators import spatial_join as SJ
 from sliceweave.operators.warp import affine, warp_by_field
@@ -16,7 +18,6 @@ def shapes(spark, items):
     """Items: (pid, [part, ...]) with part = [ring, ...] and ring = [(x, y), ...] not closed."""
     data = [(p, ("Polygon" if len(parts) == 1 else "MultiPolygon",
                  [[[(float(x), float(y), None) for x, y in [*r, r[0]]] for r in part] for part in parts])) for p, parts in items]
-    from pyspark.sql import types as T
     schema = T.StructType([T.StructField("pid", T.StringType()), T.StructField("geometry", G.GEOMETRY)])
     return spark.createDataFrame(data, schema)
 
@@ -164,3 +165,77 @@ def test_copies_of_a_shape(spark):
     neuron = shapes(spark, [("n", [[box(1, 0, 3, 2)]]), ("i", [[box(0.5, 0.5, 1, 1)]])])
     assert parts_area(OV.harmonise(neuron, many)) == {"n": [2.0]}
     assert OV.polygons_within(neuron, many).count() == 50
+
+
+def test_nesting_of_rings(spark):
+    """Faults of rings that don't cross, in both orders of the rings' corners, and valid neighbours of each."""
+    box = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    shell = box(0, 0, 10, 10)
+    diamond = [(10, 5), (5, 8), (0, 5), (5, 2)]
+    kinds = {
+        "one": ([[shell]], True), "hole": ([[shell, box(1, 1, 2, 2), box(3, 3, 4, 4)]], True), "hole outside": ([[shell, box(11, 1, 12, 2)]], False),
+        "hole around": ([[box(2, 2, 3, 3), shell]], False), "hole in hole": ([[shell, box(1, 1, 9, 9), box(2, 2, 3, 3)]], False),
+        "hole touches once": ([[shell, [(0, 5), (2, 4), (2, 6)]]], True), "hole touches twice": ([[shell, diamond]], False),
+        "holes touch once": ([[shell, box(1, 1, 3, 3), box(3, 3, 5, 5)]], True), "hole outside touches": ([[shell, [(10, 5), (12, 4), (12, 6)]]], False),
+        "ring of holes": ([[shell, [(2, 5), (5, 2), (3, 5)], [(5, 2), (8, 5), (5, 3)], [(8, 5), (5, 8), (7, 5)], [(5, 8), (2, 5), (5, 7)]]], False),
+        "chain of holes": ([[shell, [(2, 5), (5, 2), (3, 5)], [(5, 2), (8, 5), (5, 3)], [(8, 5), (5, 8), (7, 5)]]], True),
+        "chain to the shell": ([[shell, [(0, 5), (3, 4), (3, 6)], [(3, 4), (6, 1), (6, 3)], [(6, 3), (10, 5), (7, 6)]]], False),
+        "part in part": ([[shell], [box(1, 1, 2, 2)]], False), "part around part": ([[box(1, 1, 2, 2)], [shell]], False),
+        "part in hole": ([[shell, box(1, 1, 9, 9)], [box(2, 2, 3, 3)]], True), "part fills hole": ([[shell, box(1, 1, 9, 9)], [box(1, 1, 9, 9)]], False),
+        "part touches hole": ([[shell, box(1, 1, 9, 9)], [[(1, 5), (3, 4), (3, 6)]]], True), "part in part touches": ([[shell], [[(0, 5), (2, 4), (2, 6)]]], False),
+        "parts touch": ([[shell], [box(10, 10, 12, 12)]], True), "parts touch twice": ([[shell], [[(10, 2), (14, 5), (10, 8), (12, 5)]]], True),
+        "parts overlap at corners": ([[[(0, 0), (4, 0), (4, 4), (0, 4)]], [[(4, 0), (4, 4), (0, 0)]]], False), "parts cross in corners": ([[diamond], [[(5, 8), (5, 2), (20, 5)]]], False),
+        "parts share an edge": ([[shell], [box(10, 2, 12, 8)]], False), "same part twice": ([[shell], [shell]], False), "hole is the shell": ([[shell, shell]], False),
+    }
+    rows = []
+    for name, (parts, _) in kinds.items():
+        for turned in (False, True):
+            closed = [[[*ring, ring[0]] for ring in part] for part in parts]
+            closed = [[ring[::-1] if turned else ring for ring in part] for part in closed]
+            rows.append((f"{name}/{turned}", ("MultiPolygon", [[[(float(x), float(y), None) for x, y in ring] for ring in part] for part in closed])))
+    polygons = spark.createDataFrame(rows, T.StructType([T.StructField("pid", T.StringType()), T.StructField("geometry", G.GEOMETRY)])).repartition(3)
+    got = {r["pid"] for r in OV.valid_only(polygons).select("pid").collect()}
+    assert got == {f"{name}/{turned}" for name, (_, fine) in kinds.items() if fine for turned in (False, True)}
+
+
+def star(rng, cx, cy, reach, n):
+    at = np.sort(rng.uniform(0, 2 * np.pi, n))
+    far = rng.uniform(0.2, 1, n) * reach
+    return [(float(cx + r * np.cos(t)), float(cy + r * np.sin(t))) for r, t in zip(far, at)]
+
+
+@pytest.mark.parametrize("size", [0.5, 4.0, 64.0, None])
+def test_clipped_polygons_hold_the_same_points(spark, size):
+    """Stars, holes, parts, needles and outlines along grid lines, with points on corners, edges and cell borders."""
+    rng = np.random.default_rng(11)
+    shapes = [[[star(rng, *rng.uniform(0, 40, 2), rng.uniform(1, 30), int(rng.integers(3, 40)))]] for _ in range(12)]
+    shapes += [[[[(0, 0), (40, 0), (40, 40), (0, 40)], [(10, 10), (20, 10), (20, 30), (10, 30)]], [[(12, 12), (18, 12), (15, 20)]]], [[[(1, 1), (39, 1.001), (39, 1.002)]]],
+               [[[(5, 5), (5, 35), (6, 35), (6, 5)]]], [[[(-500, -500), (600, -480), (20, 900)]]], [[[(100, 100), (101, 100), (101, 101)]]]]
+    rows = [(f"p{i}", "s", ("Polygon", [[[(float(x), float(y), None) for x, y in (*ring, ring[0])] for ring in part] for part in parts])) for i, parts in enumerate(shapes)]
+    polygons = spark.createDataFrame(rows, T.StructType([T.StructField("name", T.StringType()), T.StructField("sec", T.StringType()), T.StructField("geometry", G.GEOMETRY)]))
+    places = [(float(x), float(y)) for x, y in rng.uniform(-5, 45, (400, 2))] + [(x / 2, y / 2) for x in range(0, 82, 3) for y in range(0, 82, 3)]
+    places += [c for parts in shapes for part in parts for ring in part for c in ring]
+    if size:
+        places += [((k - 0.3819660112501051) * size, y) for k in range(3) for y in (1.0, 12.0, 20.0)]
+    points = spark.createDataFrame([(i, "s" if i % 9 else "other", *map(float, p)) for i, p in enumerate(places)] + [(-1, "s", None, 1.0)], "id long, sec string, px double, py double").repartition(3)
+    got = CL.points_within_clipped(points, polygons, "px", "py", ["sec"], size=size)
+    want = SJ.points_within(points, polygons, "px", "py", ["sec"])
+    key = lambda df: sorted((r["id"], r["name"]) for r in df.select("id", "name").collect())
+    assert key(got) == key(want) and len(key(want)) > 500
+    assert CL.points_within_clipped(points.filter("false"), polygons, "px", "py", ["sec"]).count() == 0
+    assert CL.points_within_clipped(points, polygons.filter("false"), "px", "py", ["sec"], size=size).count() == 0
+
+
+def test_a_mask_as_large_as_its_section_is_spread(spark):
+    """One outline round all points: its cells are many keys, of which few hold edges, and few edges each."""
+    rng = np.random.default_rng(12)
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 1000, (40_000, 2)))], "id long, x double, y double")
+    ring = [(500 + 495 * np.cos(2 * np.pi * k / 5000), 500 + 495 * np.sin(2 * np.pi * k / 5000)) for k in range(5000)]
+    mask = spark.createDataFrame([("m", ("Polygon", [[[(float(x), float(y), None) for x, y in (*ring, ring[0])]]]))], T.StructType([T.StructField("name", T.StringType()), T.StructField("geometry", G.GEOMETRY)]))
+    size = CL.cell_size(points, "x", "y", [], 64)
+    cells = CL.clipped(mask, size, []).select("_gx", "_gy", F.coalesce(F.size("_edges"), F.lit(0)).alias("n")).collect()
+    assert len(cells) > 150 and len({(r["_gx"], r["_gy"]) for r in cells}) == len(cells)
+    assert sum(r["n"] == 0 for r in cells) > 0.6 * len(cells) and max(r["n"] for r in cells) < 250
+    hits = CL.points_within_clipped(points, mask, size=size)
+    per_cell = hits.groupBy(CL.cell_of(F.col("x"), size), CL.cell_of(F.col("y"), size)).count().agg(F.max("count")).first()[0]
+    assert per_cell < 400 and hits.count() == SJ.points_within(points, mask).count()
