@@ -24,10 +24,13 @@ from sliceweave.operators import overlay as OV
 from sliceweave.operators import raster as RA
 from sliceweave.operators import rings as R
 from sliceweave.operators import spatial_join as SJ
+from sliceweave.operators import tiles as TI
 from sliceweave.operators import tps as TP
 from sliceweave.plans import bins_to_cells as B2C
 from sliceweave.plans import segmentation as SG
-from sliceweave.session import materialize
+from sliceweave.session import materialize, step_path
+from sliceweave.sources import bundles as BU
+from sliceweave.sources import coordinate_text as CT
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -470,6 +473,28 @@ def bins_to_cells(spark, sf):
     return m.x.withColumn("value", F.col("value").cast("long")).join(obs, "barcode")
 
 
+@query("instrument_bins_to_cells", _CELLS_TO_GENES.replace("FROM orders)", "FROM orders WHERE o_orderstatus <> 'P')") + """,
+nb AS (SELECT cell_id, count(*) AS n FROM u GROUP BY 1)
+SELECT CAST(k.cell_id AS VARCHAR) AS barcode, p_name AS symbol, k.gene, CAST(v AS BIGINT) AS value, nb.n AS num_assigned_bins
+FROM k JOIN w ON k.gene = w.gene JOIN nb ON k.cell_id = nb.cell_id JOIN part ON p_partkey = k.gene""")
+def instrument_bins_to_cells(spark, sf):
+    """The same from an instrument folder: positions of all orders, a raw matrix, and a filtered one without pending orders."""
+    folder, k = step_path(spark), F.lit(PIXEL_PER_MICRON)
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("bin_id"), F.concat(F.lit("bin-"), F.col("o_orderkey")).alias("barcode"), "o_orderstatus")
+    at = f"{folder}/binned_outputs/square_002um"
+    places = bins(spark, sf).join(orders, "bin_id").select(
+        "barcode", F.lit(1).alias("in_tissue"), (F.col("bin_id") % 40).cast("int").alias("array_row"), F.floor("x").cast("int").alias("array_col"),
+        (F.col("y") * k).alias("pxl_row_in_fullres"), (F.col("x") * k).alias("pxl_col_in_fullres"))
+    places.write.parquet(f"{at}/spatial/tissue_positions.parquet")
+    var = genes(spark, sf).withColumn("kind", F.lit("Gene Expression"))
+    for kind, kept in (("raw", orders), ("filtered", orders.filter("o_orderstatus <> 'P'"))):
+        CT.write_counts(MX.Matrix(kept, var, entries(spark, sf), "bin_id", "gene"), f"{at}/{kind}_feature_bc_matrix", "barcode", ["gene", "symbol", "kind"])
+    got = BU.counts_of(BU.read_visium_hd(spark, folder, spacing=1.0, counts=True), "square_002um")
+    m = B2C.bins_to_cells(vertices(spark, sf), got.obs, got.x, got.var, None, "", "obs_pos", "var_pos", "value", PIXEL_PER_MICRON, min_count=60, keep=True)
+    return m.x.join(m.var.select("var_pos", "symbol", F.col("feature_id").cast("long").alias("gene")), "var_pos").join(
+        m.obs.select("barcode", "num_assigned_bins"), "barcode").select("barcode", "symbol", "gene", F.col("value").cast("long").alias("value"), "num_assigned_bins")
+
+
 @query("group_sum", """
 SELECT o_custkey AS cell, l_partkey AS gene, CAST(sum(l_quantity) AS BIGINT) AS value
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""")
@@ -562,39 +587,69 @@ def mbn_links(spark, sf):
 _TURN = lambda a, b, c: f"(({b}x - {a}x) * ({c}y - {a}y) - ({b}y - {a}y) * ({c}x - {a}x))"
 
 
-@query("crossings", f"""WITH {SQL_LINKS.replace("links AS (", "links AS MATERIALIZED (", 1)},
+SQL_CROSSINGS = f"""{SQL_LINKS.replace("links AS (", "links AS MATERIALIZED (", 1)},
 cell AS MATERIALIZED (SELECT *, floor(ax / 61) AS gx, floor(ay / 61) AS gy FROM links),
 hood AS MATERIALIZED (SELECT cell.*, gx + u AS hx, gy + w AS hy FROM cell, range(-1, 2) i(u), range(-1, 2) j(w)),
 p AS (SELECT s.ord, s.a AS i, t.a AS j, s.dist AS di, t.dist AS dj, s.ax AS p1x, s.ay AS p1y, s.bx AS p2x, s."by" AS p2y,
       t.ax AS q1x, t.ay AS q1y, t.bx AS q2x, t."by" AS q2y
       FROM hood s JOIN cell t ON s.ord = t.ord AND s.hx = t.gx AND s.hy = t.gy AND s.a < t.a),
 d AS (SELECT *, {_TURN('q1', 'q2', 'p1')} AS d1, {_TURN('q1', 'q2', 'p2')} AS d2, {_TURN('p1', 'p2', 'q1')} AS d3,
-      {_TURN('p1', 'p2', 'q2')} AS d4 FROM p)
-SELECT ord, CASE WHEN di >= dj THEN i ELSE j END AS hi, CASE WHEN di >= dj THEN j ELSE i END AS lo FROM d
-WHERE ((d1 > 1e-9 AND d2 < -1e-9) OR (d1 < -1e-9 AND d2 > 1e-9)) AND ((d3 > 1e-9 AND d4 < -1e-9) OR (d3 < -1e-9 AND d4 > 1e-9))""")
+      {_TURN('p1', 'p2', 'q2')} AS d4 FROM p),
+crs AS MATERIALIZED (SELECT ord, CASE WHEN di >= dj THEN i ELSE j END AS hi, CASE WHEN di >= dj THEN j ELSE i END AS lo FROM d
+WHERE ((d1 > 1e-9 AND d2 < -1e-9) OR (d1 < -1e-9 AND d2 > 1e-9)) AND ((d3 > 1e-9 AND d4 < -1e-9) OR (d3 < -1e-9 AND d4 > 1e-9)))"""
+
+
+@query("crossings", f"WITH {SQL_CROSSINGS} SELECT ord, hi, lo FROM crs")
 def crossings(spark, sf):
     return MT.crossings(materialize(mbn(spark, sf))).select(F.col("ord").cast("long").alias("ord"), "hi", "lo")
 
 
-@query("crossing_removal")
+# one link at a time in every section pair: each crossing votes against its longer link, most votes go first
+SQL_STAY = f"""{SQL_CROSSINGS},
+rem(round, ord, hi, lo) AS (SELECT 0, ord, hi, lo FROM crs UNION ALL
+  SELECT round + 1, rem.ord, hi, lo FROM rem JOIN (SELECT ord, arg_min(hi, (-v, hi)) AS top FROM (SELECT ord, hi, count(*) AS v FROM rem GROUP BY 1, 2) GROUP BY 1) t
+    ON rem.ord = t.ord AND hi <> top AND lo <> top),
+gone AS (SELECT round, ord, arg_min(hi, (-v, hi)) AS a FROM (SELECT round, ord, hi, count(*) AS v FROM rem GROUP BY 1, 2, 3) GROUP BY 1, 2),
+stay AS (SELECT * FROM links WHERE (ord, a) NOT IN (SELECT (ord, a) FROM gone))"""
+
+
+@query("crossing_removal", f"WITH RECURSIVE {SQL_STAY} SELECT a, b, dist, ct FROM stay")
 def crossing_removal(spark, sf):
     return MT.remove_crossings(materialize(mbn(spark, sf))).select("a", "b", "dist", "ct")
 
 
-# sections of 1,500 cells each; a seventh of the anchors stand as a small section of their own
-_PAIR = f"(cast(floor({_K} / 1500) as bigint) * 2 + CASE WHEN {_K} % 7 = 0 THEN 1 ELSE 0 END)"
+# sections of 300 cells, of which 60 from two rows stand as a small section of their own
+_PAIR = f"(cast(floor({_K} / 300) as bigint) * 2 + CASE WHEN {_K} % 300 >= 81 AND {_K} % 300 < 141 THEN 1 ELSE 0 END)"
+# weights of a spline: second differences along a row of three cells, so that they are orthogonal to planes, but at row ends
+# and at the end of the table
+_TRIPLE = f"(cast(floor({_K} / 3) as bigint) * 3)"
+_WEIGHT = (f"(CASE WHEN floor({_TRIPLE} / 100) = floor(({_TRIPLE} + 2) / 100) AND {_TRIPLE} > 0 AND {_TRIPLE} + 2 <= last THEN "
+           f"(CASE WHEN {_K} % 3 = 1 THEN -2 ELSE 1 END) * ({_TRIPLE} % 7 - 3) ELSE 0 END)")
+_SQL_SPLINE = f"""k AS (SELECT c_custkey AS pos, {_PAIR} AS ord, CAST({_CX} AS DOUBLE) AS x, CAST({_CY} AS DOUBLE) AS y, CAST({_WEIGHT} AS DOUBLE) * 0.002::DOUBLE AS wx,
+  CAST({_WEIGHT} AS DOUBLE) * -0.003::DOUBLE AS wy FROM customer, (SELECT max(c_custkey) AS last FROM customer)),
+t AS (SELECT p.pos, p.x + 1.5::DOUBLE AS x, p.y - 2.5::DOUBLE AS y, j.wx, j.wy, (p.x + 1.5 - j.x) * (p.x + 1.5 - j.x) + (p.y - 2.5 - j.y) * (p.y - 2.5 - j.y) AS s FROM k p JOIN k j USING (ord))"""
 
 
-@query("tps_warp", f"""SELECT c_custkey AS pos, round(CAST(1.02 AS DOUBLE) * x - CAST(0.03 AS DOUBLE) * y + 5, 6) AS x, round(CAST(0.02 AS DOUBLE) * x + CAST(0.98 AS DOUBLE) * y - 3, 6) AS y
-FROM (SELECT c_custkey, {_CX} + CAST(1.5 AS DOUBLE) AS x, {_CY} - CAST(2.5 AS DOUBLE) AS y FROM customer)""")
+@query("tps_warp", f"""WITH {_SQL_SPLINE}
+SELECT pos, round(1.02::DOUBLE * x - 0.03::DOUBLE * y + 5 + sum(wx * CASE WHEN s > 0 THEN 0.5::DOUBLE * s * ln(s) ELSE 0 END), 5) AS x,
+  round(0.02::DOUBLE * x + 0.98::DOUBLE * y - 3 + sum(wy * CASE WHEN s > 0 THEN 0.5::DOUBLE * s * ln(s) ELSE 0 END), 5) AS y FROM t GROUP BY pos, t.x, t.y""")
 def tps_warp(spark, sf):
-    """Anchors that an affine map moves: the spline is that map, whether it is solved in one task or in tiles."""
-    src = table(spark, sf, "customer").select("c_custkey", F.expr(f"cast({_PAIR} as long)").alias("ord"), F.expr(f"cast({_CX} as double)").alias("ax"), F.expr(f"cast({_CY} as double)").alias("ay"))
-    x, y = F.col("ax"), F.col("ay")
-    anchors = src.select("ord", F.col("c_custkey").alias("a"), "ax", "ay", (x * 1.02 - y * 0.03 + 5).alias("bx"), (x * 0.02 + y * 0.98 - 3).alias("by"))
-    model = TP.fit_tps(anchors, dense_limit=1000, tile=512)
+    """Anchors that a spline of known weights moves: the fit finds that spline, whether it is solved in one task or in tiles."""
+    customers = table(spark, sf, "customer")
+    last = customers.agg(F.max("c_custkey")).first()[0] or 0
+    src = customers.withColumn("last", F.lit(last)).select("c_custkey", F.expr(f"cast({_PAIR} as long)").alias("ord"), F.expr(f"cast({_CX} as double)").alias("ax"), F.expr(f"cast({_CY} as double)").alias("ay"),
+                                                   F.expr(f"cast({_WEIGHT} as double)").alias("w"))
+    src = materialize(src)
+    other = src.filter("w != 0").select("ord", F.col("ax").alias("jx"), F.col("ay").alias("jy"), F.col("w").alias("jw"))
+    s = (F.col("ax") - F.col("jx")) ** 2 + (F.col("ay") - F.col("jy")) ** 2
+    # a section is of bounded size
+    bent = src.join(other, "ord", "left").groupBy("ord", "c_custkey", "ax", "ay", "w").agg(
+        F.coalesce(F.sum(F.col("jw") * F.when(s > 0, 0.5 * s * F.log(s)).otherwise(0.0)), F.lit(0.0)).alias("u"))
+    x, y, off = F.col("ax"), F.col("ay"), F.col("u") + 0.1 * F.col("w")
+    anchors = bent.select("ord", F.col("c_custkey").alias("a"), "ax", "ay", (x * 1.02 - y * 0.03 + 5 + 0.002 * off).alias("bx"), (x * 0.02 + y * 0.98 - 3 - 0.003 * off).alias("by"))
+    model = TP.fit_tps(materialize(anchors), smoothing=0.1, dense_limit=100, tile=64)
     out = TP.warp_points(src.select("ord", F.col("c_custkey").alias("pos"), (x + 1.5).alias("x"), (y - 2.5).alias("y")), model)
-    return out.select("pos", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return out.select("pos", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
 
 
 @query("tps_links")
@@ -710,6 +765,15 @@ SQL_PIXELS = f"""px AS (SELECT o_orderkey // {IMAGE_W * IMAGE_H} AS img, CAST(c
   ON o_orderkey = l.l_orderkey AND l.ch = c)"""
 
 
+#: Side of the tiles: several to an image.
+TILE = 48
+
+
+def tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """The same images in tiles, stored as a raster would be."""
+    return materialize(TI.to_tiles(pixels(spark, sf), tile=TILE))
+
+
 def channel(spark, sf, ch: int) -> DataFrame:
     return pixels(spark, sf).filter(F.col("ch") == ch)
 
@@ -741,7 +805,8 @@ m AS MATERIALIZED (SELECT img, y, x, max(v) AS top FROM px WHERE ch IN (1, 3) GR
 SELECT img, ch, y, x, CASE WHEN top > 600 THEN v ELSE 0 END AS v FROM px JOIN m USING (img, y, x)""")
 def raster_mask(spark, sf):
     """A mask of two channels."""
-    return RA.mask_by_raster(pixels(spark, sf), pixels(spark, sf).filter("ch in (1, 3)"), 600)
+    src = tiles(spark, sf)
+    return TI.from_tiles(TI.mask_by_raster(src, src.filter("ch in (1, 3)"), 600), TILE)
 
 
 @query("raster_flip_rotate", f"""WITH {SQL_PIXELS}, d AS (SELECT img, max(y) + 1 AS h, max(x) + 1 AS w FROM px GROUP BY 1)
@@ -762,7 +827,7 @@ SELECT img, y, x, 255 - CAST(round_even(CAST(least(r, 1::FLOAT) * 255::FLOAT AS
   255 - CAST(round_even(CAST(least(g, 1::FLOAT) * 255::FLOAT AS FLOAT)::DOUBLE, 0) AS BIGINT) AS g,
   255 - CAST(round_even(CAST(least(bl, 1::FLOAT) * 255::FLOAT AS FLOAT)::DOUBLE, 0) AS BIGINT) AS b FROM t""")
 def rgb_blend(spark, sf):
-    return RA.blend_rgb(pixels(spark, sf), inverted=True)
+    return TI.rgb_pixels(TI.blend_rgb(tiles(spark, sf), inverted=True), TILE)
 
 
 @query("intensity_hist", f"""WITH {SQL_PIXELS}, k AS (SELECT img, log10(v + 1e-6::DOUBLE) AS u FROM px WHERE ch = 2 AND v > 1),
@@ -809,7 +874,7 @@ c2 AS (SELECT g.img, g.ch, g.y, g.x, wt, abs(g.x + o) % (2 * w - 2) AS m, w FROM
 SELECT c2.img, c2.ch, c2.y, c2.x, CAST(round_even(sum(wt * s), 0) AS BIGINT) AS v FROM c2 JOIN v1 ON v1.img = c2.img AND v1.ch = c2.ch AND v1.y = c2.y
   AND v1.x = CASE WHEN m >= w THEN 2 * w - 2 - m ELSE m END GROUP BY 1, 2, 3, 4""")
 def blur(spark, sf):
-    return NB.blur(RA.to_8bit(pixels(spark, sf)), 11)
+    return TI.from_tiles(TI.blur(TI.to_8bit(tiles(spark, sf)), 11, TILE), TILE)
 
 
 _SET = "v > CASE WHEN ch = 3 THEN 600 ELSE 740 END"
@@ -833,7 +898,7 @@ def _sql_grow(name: str, src: str, k: int) -> str:
 SELECT g.img, g.ch, g.y, g.x, CAST(CASE WHEN dl.img IS NULL THEN 0 ELSE 255 END AS BIGINT) AS v FROM g
 LEFT JOIN dl ON dl.img = g.img AND dl.ch = g.ch AND dl.y = g.y AND dl.x = g.x""")
 def dilate(spark, sf):
-    return NB.dilate(islands_mask(spark, sf), 5)
+    return TI.from_tiles(TI.dilate(TI.to_tiles(islands_mask(spark, sf), tile=TILE), 5, TILE), TILE)
 
 
 @query("close", f"""WITH {_SQL_MASK}, {_sql_grow('dl', 'mk', 3)},
@@ -844,7 +909,7 @@ cl AS (SELECT g.img, g.ch, g.y, g.x FROM g LEFT JOIN (SELECT DISTINCT z.img, z.c
 SELECT g.img, g.ch, g.y, g.x, CAST(CASE WHEN cl.img IS NULL THEN 0 ELSE 255 END AS BIGINT) AS v FROM g
 LEFT JOIN cl ON cl.img = g.img AND cl.ch = g.ch AND cl.y = g.y AND cl.x = g.x""")
 def close(spark, sf):
-    return NB.close(islands_mask(spark, sf), 3)
+    return TI.from_tiles(TI.close(TI.to_tiles(islands_mask(spark, sf), tile=TILE), 3, TILE), TILE)
 
 
 _SQL_ISLANDS = f"""WITH RECURSIVE {_SQL_MASK},
@@ -871,13 +936,24 @@ def island_contours(spark, sf):
     return contours.select("img", "ch", "label", G.area(F.col("geometry")).alias("area"))
 
 
-@query("mask_by_polygon", f"""WITH {SQL_PIXELS} SELECT img, ch, y, x,
-  CASE WHEN x + 0.5 > 20.25 AND x + 0.5 < 90.25 AND y + 0.5 > 5.25 + img % 3 AND y + 0.5 < 40.25 THEN v ELSE 0 END AS v FROM px""")
+# outlines of the mask, in pixels: a bent one with a hole, and one over its edge; several corners and edges are on pixel centres
+_MASKS = [[[(20.5, 5.5), (90.25, 5.25), (70.0, 30.0), (90.25, 45.5), (20.5, 45.5), (40.0, 25.0)], [(45.0, 12.0), (60.5, 12.5), (52.5, 22.0)]], [[(80.5, 10.5), (120.25, 20.5), (80.5, 55.0)]]]
+_MASK_EDGES = ", ".join(f"({p}, {x1}::DOUBLE, {y1}::DOUBLE, {x2}::DOUBLE, {y2}::DOUBLE)" for p, rings in enumerate(_MASKS) for ring in rings
+                        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]))
+
+
+@query("mask_by_polygon", f"""WITH {SQL_PIXELS}, e(p, x1, y1, x2, y2) AS (VALUES {_MASK_EDGES}),
+c AS (SELECT DISTINCT img, y, x, x + 0.5::DOUBLE AS px, y + 0.5::DOUBLE - img % 3 AS py FROM px),
+t AS (SELECT *, (x2 - x1) * (py - y1) - (y2 - y1) * (px - x1) AS cr FROM c, e),
+h AS (SELECT img, y, x, p FROM t GROUP BY 1, 2, 3, 4
+  HAVING sum(CASE WHEN (y1 <= py AND y2 > py AND cr > 0) OR (y1 > py AND y2 <= py AND cr < 0) THEN 1 ELSE 0 END) % 2 = 1
+     AND sum(CASE WHEN cr = 0 AND px BETWEEN least(x1, x2) AND greatest(x1, x2) AND py BETWEEN least(y1, y2) AND greatest(y1, y2) THEN 1 ELSE 0 END) = 0)
+SELECT img, ch, y, x, CASE WHEN (img, y, x) IN (SELECT (img, y, x) FROM h) THEN v ELSE 0 END AS v FROM px""")
 def mask_by_polygon(spark, sf):
-    src = pixels(spark, sf)
-    shapes = src.select("img").distinct().withColumn(
-        "geometry", G.rectangle(F.lit(20.25), F.col("img") % 3 + 5.25, F.lit(90.25), F.lit(40.25)))
-    return RA.mask_by_polygon(src, shapes)
+    place = lambda x, y: G.vertex(F.lit(x), F.lit(y) + F.col("img") % 3)
+    shapes = [G.geometry(F.array(F.array(*[F.array(*[place(*c) for c in (*ring, ring[0])]) for ring in rings]))) for rings in _MASKS]
+    src = tiles(spark, sf)
+    return TI.from_tiles(TI.mask_by_polygon(src, src.select("img").distinct().select("img", F.explode(F.array(*shapes)).alias("geometry")), tile=TILE), TILE)
 
 
 # ------------------------------------------------------------------------ polygon overlay
@@ -955,13 +1031,26 @@ def overlay_of_cells(spark, sf):
     return OV.harmonise(even, odd).select("pid", "part", F.round(G.area(F.col("geometry")), 6).alias("area"))
 
 
-@query("valid_polygons", """SELECT CAST(c_custkey AS VARCHAR) AS pid FROM customer WHERE c_custkey % 5 <> 2""")
+@query("valid_polygons", """SELECT CAST(c_custkey AS VARCHAR) AS pid FROM customer WHERE c_custkey % 10 IN (0, 1, 3, 6)""")
 def valid_polygons(spark, sf):
-    """Every fifth outline is a bow tie."""
-    corner = lambda dx, dy: G.vertex(F.expr(f"{_CX} + {dx}"), F.expr(f"{_CY} + {dy}"))
-    square = F.array(*[corner(*c) for c in ((0, 0), (4, 0), (4, 4), (0, 4), (0, 0))])
-    bow = F.array(*[corner(*c) for c in ((0, 0), (4, 4), (4, 0), (0, 3), (0, 0))])
-    shapes = table(spark, sf, "customer").select(
-        F.col("c_custkey").cast("string").alias("pid"),
-        G.polygon(F.when(F.col("c_custkey") % 5 == 2, bow).otherwise(square)).alias("geometry"))
-    return OV.valid_only(shapes).select("pid")
+    """Outlines of ten kinds, six of them at fault and four valid."""
+    box = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    shell = box(-4, -4, 4, 4)
+    kinds = [
+        [[shell]], [[shell, box(-2, -2, 2, 2)]],
+        [[[(0, 0), (4, 4), (4, 0), (0, 3)]]],  # edges cross
+        [[shell, box(-2, -2, 2, 2)], [box(-1, -1, 1, 1)]],  # a part in a hole
+        [[box(-4, -4, 0, 0), box(1, 1, 2, 2)]],  # a hole outside its shell
+        [[shell, box(-3, -3, 3, 3), box(-1, -1, 1, 1)]],  # a hole in a hole
+        [[shell, [(4, 0), (2, 1), (2, -1)]]],  # a hole that touches its shell in one place
+        [[shell], [box(-1, -1, 1, 1)]],  # a part in a part
+        [[shell, [(4, 0), (0, 2), (-4, 0), (0, -2)]]],  # a hole that cuts the inside in two
+        [[box(-4, -4, 1, 1)], [box(-1, -1, 4, 4)]],  # parts that overlap
+    ]
+    outlines = F.lit([[[[float(c) for at in (*ring, ring[0]) for c in at] for ring in part] for part in parts] for parts in kinds])
+    here = table(spark, sf, "customer").select("c_custkey", F.expr(f"cast({_CX} as double)").alias("cx"), F.expr(f"cast({_CY} as double)").alias("cy"),
+                                               F.element_at(outlines, (F.col("c_custkey") % 10 + 1).cast("int")).alias("parts"))
+    corner = lambda ring, i: G.vertex(F.col("cx") + F.get(ring, 2 * i), F.col("cy") + F.get(ring, 2 * i + 1))
+    ring = lambda r: F.transform(F.sequence(F.lit(0), (F.size(r) / 2 - 1).cast("int")), lambda i: corner(r, i))
+    shapes = here.select(F.col("c_custkey").cast("string").alias("pid"), G.geometry(F.transform("parts", lambda part: F.transform(part, ring))).alias("geometry"))
+    return OV.valid_only(materialize(shapes)).select("pid")
