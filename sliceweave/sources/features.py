@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from sliceweave.functions import geometry as G
 from sliceweave.operators.position import with_position
+from sliceweave.sources.geo_files import ready_to_write, geo_columns, join_parts, write_with_footer
 from sliceweave.sources.tables import infer_types
 
 
@@ -94,12 +96,22 @@ def promote_feature_id(df: DataFrame) -> tuple[DataFrame, str | None]:
 
 
 def write_geojson(df: DataFrame, path: str, order: list[str], id_column: str | None = None, collection: bool = True,
-                  mode: str = "error") -> None:
+                  mode: str = "error", one_file: bool = False) -> None:
     """Write features as text, one per line, in order.
 
     With ``collection`` the part files, joined in name order, form one FeatureCollection without
-    ``name`` or ``crs`` keys; otherwise each line is a feature of its own.
+    ``name`` or ``crs`` keys; otherwise each line is a feature of its own. ``one_file`` joins them: the
+    parts are written in parallel beside ``path``, and a task copies them into one file there.
     """
+    if one_file:
+        spark = df.sparkSession
+        if ready_to_write(spark, path, mode):
+            if mode == "append":
+                raise ValueError("a document cannot be appended to")
+            parts = f"{path}.parts-{uuid.uuid4().hex}"
+            write_geojson(df, parts, order, id_column, collection)
+            join_parts(spark, parts, path)
+        return
     if not collection:
         df.select(feature_json(df, id_column).alias("value")).write.mode(mode).text(path)
         return
@@ -183,13 +195,16 @@ def read_geoparquet(spark: SparkSession, path: str) -> DataFrame:
     if "geometry" not in df.columns:
         raise ValueError(f"{path} has no geometry column")
     if df.schema["geometry"].dataType.typeName() == "binary":
-        return df.withColumn("geometry", from_wkb("geometry"))
+        return df.withColumn("geometry", F.when(F.col("geometry").isNotNull(), from_wkb("geometry")))
     return df
 
 
 def write_geoparquet(df: DataFrame, path: str, wkb: bool = True, mode: str = "error") -> None:
-    out = df.withColumn("geometry", to_wkb("geometry")) if wkb else df
-    out.write.mode(mode).parquet(path)
+    """GeoParquet with well-known binary and the ``geo`` footer key; without ``wkb`` plain Parquet of the structured column."""
+    if wkb:
+        write_with_footer(df, geo_columns(df, to_wkb), path, mode)
+    else:
+        df.write.mode(mode).parquet(path)
 
 
 def read_features(spark: SparkSession, path: str, **options) -> DataFrame:
