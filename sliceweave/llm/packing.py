@@ -12,13 +12,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from sliceweave.llm.common import slices, words_of
 from sliceweave.session import materialize
 
-#: Words whose ids a Python worker remembers; beyond that it starts anew.
-KNOWN_WORDS = 300_000
+#: Words whose ids a Python worker remembers, about 200 bytes each; beyond that it forgets the half not used for longest.
+KNOWN_WORDS = 400_000
+#: Numbers by task and length that are sent to all tasks (16 MB); more are joined.
+SENT_LIFTS = 1_000_000
 
 
 class WordIds:
@@ -40,9 +42,20 @@ class WordIds:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.cores: dict[str, tuple[int, ...]] = {}
-        self.starts, self.sizes = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
-        self.ids, self.used = np.zeros(4096, dtype=np.uint32), 0
+        self.starts, self.sizes, self.last = (np.zeros(1024, dtype=np.int64) for _ in range(3))
+        self.ids, self.used, self.turn = np.zeros(4096, dtype=np.uint32), 0, 0
+
+    def _forget(self) -> None:
+        """Keep the half of the words that were used last."""
+        known = len(self.index)
+        keep = np.sort(np.argsort(-self.last[:known], kind="stable")[:KNOWN_WORDS // 2])
+        names = list(self.index)
+        self.index = {names[i]: j for j, i in enumerate(keep.tolist())}
+        starts, sizes = self.starts[keep], self.sizes[keep]
+        stops = np.cumsum(sizes)
+        ids = self.ids[np.arange(int(stops[-1])) + np.repeat(starts - (stops - sizes), sizes)]
+        self.last[:len(keep)], self.sizes[:len(keep)], self.starts[:len(keep)] = self.last[keep], sizes, stops - sizes
+        self.ids, self.used = ids, len(ids)
 
     def _room(self, name: str, size: int) -> None:
         have = getattr(self, name)
@@ -57,12 +70,11 @@ class WordIds:
         """Ids of one word. Lower-case letters with full stops or commas behind them, most of any text, skip the
         tokenizer's normaliser and splitter, which leave such letters as they are and part them from the marks."""
         core = word.rstrip(".,")
-        ids = self.cores.get(core)
-        if ids is None:
-            plain = self.simple and core.isalpha() and (core.isascii() or core == core.lower() and is_normalized("NFC", core))
-            if not plain or not core.islower():
-                return tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
-            ids = self.cores[core] = self._model(core)
+        plain = self.simple and core.isalpha() and core.islower() and (core.isascii() or core == core.lower() and is_normalized("NFC", core))
+        if not plain:
+            return tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        at = self.index.get(core)
+        ids = self._model(core) if at is None else tuple(self.ids[self.starts[at]:self.starts[at] + self.sizes[at]].tolist())
         tail = word[len(core):]
         if tail not in self.tails:
             if len(tail) > 3:
@@ -73,7 +85,8 @@ class WordIds:
     def numbers(self, words: list[str]) -> np.ndarray:
         """Places of the words in the tables; unknown words are tokenised first."""
         if len(self.index) > KNOWN_WORDS:
-            self.clear()
+            self._forget()
+        self.turn += 1
         fresh = [w for w in words if w not in self.index]
         for at in range(0, len(fresh), 20_000):
             part = fresh[at:at + 20_000]
@@ -81,14 +94,16 @@ class WordIds:
             sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
             flat = np.fromiter((i for ids in lists for i in ids), dtype=np.uint32, count=int(sizes.sum()))
             first = len(self.index)
-            for name, size in (("starts", first + len(part)), ("sizes", first + len(part)), ("ids", self.used + len(flat))):
+            for name, size in (("starts", first + len(part)), ("sizes", first + len(part)), ("last", first + len(part)), ("ids", self.used + len(flat))):
                 self._room(name, size)
             self.starts[first:first + len(part)] = self.used + np.cumsum(sizes) - sizes
             self.sizes[first:first + len(part)] = sizes
             self.ids[self.used:self.used + len(flat)] = flat
             self.used += len(flat)
             self.index.update(zip(part, range(first, first + len(part))))
-        return np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
+        places = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
+        self.last[places] = self.turn
+        return places
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, each closed by ``end_id``, and where each text's ids end."""
@@ -121,12 +136,19 @@ def tokenizer_path(tokenizer: str) -> str:
     return public_tokenizers.path(tokenizer)
 
 
+def id_kind(tokenizer: str) -> str:
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(tokenizer_path(tokenizer)).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
+
 def pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
-    """A row per piece of at most ``max_tokens`` ids, numbered within its task and length; only longer documents are cut."""
+    """A row per piece of at most ``max_tokens`` ids, numbered within its task and length; only longer documents are cut. Ids
+    are stored in two bytes each if the vocabulary allows."""
     fields = [StructField(id_col, docs.schema[id_col].dataType), StructField("piece", IntegerType())]
     fields += [StructField(c, LongType()) for c in ("start", "length", "ids_crc32", "_part", "_nth")]
-    fields += [StructField("ids", ArrayType(IntegerType()))] * with_ids
-    schema = StructType(fields)
+    fields += [StructField("ids", BinaryType())] * with_ids
+    schema, kind = StructType(fields), id_kind(tokenizer)
 
     def cut(batches):
         from pyspark import TaskContext
@@ -152,10 +174,9 @@ def pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int, id_col
                 columns = [keys.slice(a, b - a).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                            pa.array(length, pa.int64()), pa.array(crcs), pa.array(np.full(len(row), part, dtype=np.int64)), pa.array(nth)]
                 if with_ids:
-                    offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32))))
+                    short = ids.astype(kind)
+                    columns.append(pa.array([short[f:f + n].tobytes() for f, n in zip(first.tolist(), length.tolist())], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
-        encoder.clear()  # the worker goes on to other tasks
 
     return docs.select(id_col, text_col).mapInArrow(cut, schema)
 
@@ -231,29 +252,48 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", max_tokens: int
     the ids. A null text is empty and is the end id alone; rows with a null or repeated id are packed like any other; an
     empty table gives no rows; other columns are not read.
 
-    ``tokenizer`` must drop white space and never join text over it; then ids of words, looked up once per task, put
-    together, are the ids of the text. Pieces are stored once. Only counts by length (at most ``max_tokens`` of them) reach
+    ``tokenizer`` must drop white space and never join text over it; then ids of words, looked up once, put
+    together, are the ids of the text. Long texts are taken whole, in a task's own memory. Pieces are stored once and, unless tasks
+    are very many, not shuffled. Only counts by length (at most ``max_tokens`` of them) reach
     the driver, where a segment tree over remaining capacities places runs of equal pieces; the placed runs, at most a few
     for each pair of length and capacity, go back to the tasks.
     """
     cut = materialize(pieces(docs, tokenizer, max_tokens, end_id, id_col, text_col, with_ids))
     by_task = cut.groupBy("length", "_part").agg(F.max("_nth").alias("_n"))
     before = F.sum(F.col("_n") + 1).over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    lifts = by_task.select("length", "_part", F.coalesce(before, F.lit(0)).alias("_lift"))
-    counts = by_task.groupBy("length").agg(F.sum(F.col("_n") + 1).alias("n")).collect()
+    lifts = materialize(by_task.select("length", "_part", (F.col("_n") + 1).alias("_n"), F.coalesce(before, F.lit(0)).alias("_lift")))
+    counts = lifts.groupBy("length").agg(F.sum("_n").alias("n")).collect()
     runs = np.array(sorted(best_fit_runs({r["length"]: r["n"] for r in counts}, max_tokens)), dtype=np.int64).reshape(-1, 6)
     keys = (runs[:, 0] << 44) + runs[:, 1]
-    out = StructType([f for f in cut.schema.fields if not f.name.startswith("_")] + [StructField(c, LongType()) for c in ("sequence_id", "offset")])
-    keep = [f.name for f in out.fields[:-2]]
+    fields = [f for f in cut.schema.fields if not f.name.startswith("_") and f.name != "ids"]
+    fields += [StructField("ids", ArrayType(IntegerType()))] * with_ids
+    out = StructType([*fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    kind = id_kind(tokenizer)
+    lifts = lifts.select("length", "_part", "_lift")
+    few = lifts.count() <= SENT_LIFTS
+    if few:
+        table = lifts.orderBy("_part", "length").toPandas()
+        order = (table["_part"].to_numpy(np.int64) << 32) + table["length"].to_numpy(np.int64)
+        sent = docs.sparkSession.sparkContext.broadcast((order, table["_lift"].to_numpy(np.int64)))  # of SENT_LIFTS numbers at most
+
+    def lift(batch: pa.RecordBatch) -> np.ndarray:
+        if not few:
+            return batch.column("_lift").to_numpy()
+        order, values = sent.value
+        return values[np.searchsorted(order, (batch.column("_part").to_numpy() << 32) + batch.column("length").to_numpy())]
 
     def place(batches):
         for batch in batches:
             length = batch.column("length").to_numpy()
-            nth = batch.column("_nth").to_numpy() + batch.column("_lift").to_numpy()
+            nth = batch.column("_nth").to_numpy() + lift(batch)
             run = runs[np.searchsorted(keys, (length << 44) + nth, side="right") - 1].reshape(-1, 6)
             step = nth - run[:, 1]
-            columns = [batch.column(c) for c in keep]
+            columns = [batch.column(f.name) for f in fields if f.name != "ids"]
+            if with_ids:
+                flat = np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype=kind).astype(np.int32)
+                offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
             columns += [pa.array(run[:, 3] + step // run[:, 5]), pa.array(run[:, 4] + step % run[:, 5] * length)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in out.fields])
 
-    return cut.join(lifts, ["length", "_part"]).mapInArrow(place, out)
+    return (cut if few else cut.join(lifts, ["length", "_part"])).mapInArrow(place, out)
