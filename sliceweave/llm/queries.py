@@ -92,16 +92,16 @@ def op10_pack(spark, sf_dir):
 
 # ------------------------------------------------------------------------------------------------ 2 exact top-k
 
-@query("op2_top_inner_products", """WITH v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(CAST(256 AS DOUBLE) * x)) AS e FROM embeddings
+@query("op2_top_inner_products", """WITH v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(CAST(256 AS DOUBLE) * x) AS HUGEINT)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, q.r AS qr, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score, c.r FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
+s AS (SELECT q.vec_id AS query_id, q.r AS qr, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score, c.r FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id, r) AS rank FROM s) WHERE rank <= 5""")
 def op2_top_inner_products(spark, sf_dir):
     from sliceweave.llm.topk import top_inner_products
 
     whole = F.transform(F.col("embedding"), lambda x: F.floor(x.cast("double") * 256.0).cast("double"))
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), whole).alias("embedding"))
-    return top_inner_products(vectors).select("query_id", "rank", "vec_id", F.round("score").cast("long").alias("score"))
+    return top_inner_products(vectors, whole=True).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
 
 
 # ------------------------------------------------------------------------------------------------ 4 repeated passages

@@ -51,6 +51,49 @@ def test_top_inner_products(spark):
     assert topk.top_inner_products(few).count() <= 2
 
 
+@pytest.mark.parametrize("scale", [10, 3 * 10 ** 6, 2 ** 50])
+def test_whole_scores_are_exact(spark, scale):
+    """Sums beyond the whole numbers that doubles hold, close scores and ties among them, against Python's integers."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [int(x) for x in rng.integers(-scale, scale, 8)]) for i in range(300)]
+    rows += [(300 + i, [x + (j == i % 8) for j, x in enumerate(rows[0][1])]) for i in range(40)] + [(400, rows[7][1]), (401, rows[7][1])]
+    want = []
+    for n, (q, v) in enumerate(rows):
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(rows) if m != n)[:5]
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>").repartition(3)
+    for options in ({}, {"block": 32, "pack": 2}):
+        got = topk.top_inner_products(df, whole=True, **options).collect()
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], int(r["score"])) for r in got) == sorted(want)
+
+
+def test_packs_meet_only_blocks_they_can_reach(spark):
+    """With lengths that fall steeply, pairs of packs and blocks stay far below all of them."""
+    rng = np.random.default_rng(3)
+    made = [(i, [float(x) for x in rng.standard_normal(6) * 0.97 ** (i % 600)]) for i in range(3000)]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<double>").repartition(3)
+    visits, keep = spark.sparkContext.accumulator(0), topk._visit
+
+    def counted(*args):
+        inner = keep(*args)
+
+        def visit(frames):
+            for frame in frames:
+                visits.add(len(frame))
+                yield from inner(iter([frame]))
+
+        return visit
+
+    topk._visit = counted
+    try:
+        got = found(topk.top_inner_products(df, block=50, pack=4))
+    finally:
+        topk._visit = keep
+    assert got == brute([(i, np.array(v)) for i, v in made], 50, 5, lambda a, b: float(a @ b), -1)
+    assert visits.value < 60 // 4 * 60 * 0.6
+
+
 def test_nearest_neighbours(spark):
     df = spark.createDataFrame(vectors(), SCHEMA).repartition(3)
     want = brute(usable(False), 100, 10, lambda a, b: float(np.sqrt(((a - b) ** 2).sum())), 1)
