@@ -31,6 +31,8 @@ from sliceweave.plans import segmentation as SG
 from sliceweave.session import materialize, step_path
 from sliceweave.sources import bundles as BU
 from sliceweave.sources import coordinate_text as CT
+from sliceweave.sources import features as FE
+from sliceweave.sources import tables as TA
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -1054,3 +1056,42 @@ def valid_polygons(spark, sf):
     ring = lambda r: F.transform(F.sequence(F.lit(0), (F.size(r) / 2 - 1).cast("int")), lambda i: corner(r, i))
     shapes = here.select(F.col("c_custkey").cast("string").alias("pid"), G.geometry(F.transform("parts", lambda part: F.transform(part, ring))).alias("geometry"))
     return OV.valid_only(materialize(shapes)).select("pid")
+
+
+# ------------------------------------------------------------------------------ files and back
+
+@query("geo_files_round_trip", f"""WITH {SQL_EDGES},
+m AS (SELECT cell_id, sum(x1 * y2 - x2 * y1) / 2 AS a FROM edge GROUP BY 1)
+SELECT CAST(cell_id AS VARCHAR) AS id, c_name AS name, c_acctbal AS balance, round(a, 6) AS polygon_area FROM m JOIN customer ON cell_id = c_custkey""")
+def geo_files_round_trip(spark, sf):
+    """Outlines with properties as GeoParquet, from there as one GeoJSON document, and back."""
+    folder = step_path(spark)
+    about = table(spark, sf, "customer").select(F.col("c_custkey").alias("cell_id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    FE.write_geoparquet(polygons(spark, sf).join(about, "cell_id").select(F.col("cell_id").cast("string").alias("id"), "name", "balance", "geometry"), f"{folder}/cells.parquet")
+    FE.write_geojson(FE.read_features(spark, f"{folder}/cells.parquet"), f"{folder}/cells.geojson", ["id"], "id", one_file=True)
+    back = FE.read_features(spark, f"{folder}/cells.geojson", properties="name string, balance double")
+    return back.select("id", "name", "balance", F.round(G.area(F.col("geometry")), 6).alias("polygon_area"))
+
+
+@query("text_tables_round_trip", """SELECT e.event_id, e.event_type, e.value, e.user_id FROM events e
+WHERE e.user_id % 3 = 0 AND e.event_type IS NOT NULL""")
+def text_tables_round_trip(spark, sf):
+    """Events as a gzipped table, a folder per type with id lists, and edges; rows chosen by the id list that was written."""
+    folder = step_path(spark)
+    events = table(spark, sf, "events").select("event_id", "event_type", "value", "user_id")
+    TA.write_table(events, f"{folder}/events.tsv.gz")
+    TA.write_groups(events.withColumn("chosen", F.when(F.col("user_id") % 3 == 0, "yes").otherwise("no")), "chosen", f"{folder}/groups", "event_id")
+    ids = TA.read_id_list(spark, f"{folder}/groups/ids/_group=yes")
+    back = TA.read_table(spark, f"{folder}/events.tsv.gz", schema="event_id bigint, event_type string, value double, user_id bigint")
+    return M.subset_by_ids(back.filter("event_type is not null"), ids, ["event_id"])
+
+
+@query("edges_and_chains_round_trip", f"WITH RECURSIVE {SQL_CHAINS} SELECT chain, array_to_string(members, ',') AS members, l.n AS n_links FROM chn, (SELECT count(*) AS n FROM links) l")
+def edges_and_chains_round_trip(spark, sf):
+    """Links as edge text, chains as lists of positions, both read again."""
+    folder, links = step_path(spark), materialize(mbn(spark, sf)).select("a", "b", "dist", "ct")
+    TA.write_edges(links, f"{folder}/edges.tsv.gz")
+    edges = materialize(TA.read_edges(spark, f"{folder}/edges.tsv.gz"))
+    TA.write_chains(CH.chains(CH.choose_links(CH.threads(edges), 30.0, 3)), f"{folder}/chains.txt.gz")
+    count = F.lit(edges.count()).cast("long")
+    return TA.read_chains(spark, f"{folder}/chains.txt.gz").select("chain", F.array_join("members", ",").alias("members"), count.alias("n_links"))
