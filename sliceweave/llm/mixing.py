@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sliceweave.llm.common import WORD, with_prefix_sums
+from sliceweave.llm.common import WORD, as_rows, field, with_prefix_sums
 from sliceweave.operators.position import with_position
 from sliceweave.session import materialize
 
@@ -56,9 +56,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1
     like the added ones are replaced.
     """
     added = ("size", "source_size", "target", "copies")
-    base = docs.drop(*[c for c in added if c not in (id_col, text_col, source_col)])
-    keyed = base.withColumns({"size": size_of(F.col(text_col)), "_key": F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))})
-    narrow = materialize(keyed.select(F.col(source_col).alias("source"), "_key", "size"))
+    rows = _mixed(docs, weights, budget, repeats, seed, id_col, text_col, source_col)
+    return rows.select(*[field(c).alias(c) for c in docs.columns if c not in added or c in (id_col, text_col, source_col)], *added)
+
+
+def _mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, repeats: int = 2, seed: int = 42,
+           id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """See :func:`mix`; the rows of ``docs`` are in one column ``row``."""
+    keyed = as_rows(docs).withColumns({"size": size_of(field(text_col)), "_key": F.xxhash64(F.lit(seed), field(id_col), field(text_col))})
+    narrow = materialize(keyed.select(field(source_col).alias("source"), "_key", "size"))
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = materialize(source_targets(sizes, weights, budget, repeats))
     total = sources.agg(F.sum("target")).first()[0] or 0.0
@@ -75,13 +81,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1
     last = last.select("rank", F.array(*[F.col(str(i)) for i in range(repeats)]).alias("_last"))
     cuts = materialize(sources.join(last, "rank", "left").select(F.col("source").alias("_source"), "source_size", "target", "_last"))
 
-    joined = keyed.join(cuts, keyed[source_col].eqNullSafe(cuts["_source"]), "left")
+    joined = keyed.join(cuts, field(source_col).eqNullSafe(F.col("_source")), "left")
     taken = F.aggregate("_last", F.lit(0), lambda n, k: n + F.when(F.col("_key") <= k, 1).otherwise(0))
     copies = F.when(F.col("size") > 0, F.coalesce(taken, F.lit(0))).otherwise(0)
-    return joined.select(*[keyed[c] for c in base.columns], "size", "source_size", "target", copies.alias("copies"))
+    return joined.select("row", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every taken document as often as it is taken, with the columns of ``docs``."""
-    mixed = mix(docs, **options).filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return mixed.select(*docs.columns)
+    """The mix itself: every taken document as often as it is taken, with the columns of ``docs``, whatever their names."""
+    mixed = _mixed(docs, **options).filter("copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
