@@ -198,7 +198,7 @@ def test_nesting_of_rings(spark):
     assert got == {f"{name}/{turned}" for name, (_, fine) in kinds.items() if fine for turned in (False, True)}
 
 
-def star(rng, cx, cy, reach, n):
+def spiky(rng, cx, cy, reach, n):
     at = np.sort(rng.uniform(0, 2 * np.pi, n))
     far = rng.uniform(0.2, 1, n) * reach
     return [(float(cx + r * np.cos(t)), float(cy + r * np.sin(t))) for r, t in zip(far, at)]
@@ -208,7 +208,7 @@ def star(rng, cx, cy, reach, n):
 def test_clipped_polygons_hold_the_same_points(spark, size):
     """Stars, holes, parts, needles and outlines along grid lines, with points on corners, edges and cell borders."""
     rng = np.random.default_rng(11)
-    shapes = [[[star(rng, *rng.uniform(0, 40, 2), rng.uniform(1, 30), int(rng.integers(3, 40)))]] for _ in range(12)]
+    shapes = [[[spiky(rng, *rng.uniform(0, 40, 2), rng.uniform(1, 30), int(rng.integers(3, 40)))]] for _ in range(12)]
     shapes += [[[[(0, 0), (40, 0), (40, 40), (0, 40)], [(10, 10), (20, 10), (20, 30), (10, 30)]], [[(12, 12), (18, 12), (15, 20)]]], [[[(1, 1), (39, 1.001), (39, 1.002)]]],
                [[[(5, 5), (5, 35), (6, 35), (6, 5)]]], [[[(-500, -500), (600, -480), (20, 900)]]], [[[(100, 100), (101, 100), (101, 101)]]]]
     rows = [(f"p{i}", "s", ("Polygon", [[[(float(x), float(y), None) for x, y in (*ring, ring[0])] for ring in part] for part in parts])) for i, parts in enumerate(shapes)]
