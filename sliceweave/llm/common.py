@@ -227,3 +227,17 @@ def hash_of_bytes(values: list[bytes]) -> np.ndarray:
     import xxhash
 
     return np.fromiter(map(xxhash.xxh64_intdigest, values), dtype=np.uint64, count=len(values))
+
+
+def hashes_of(values: pa.LargeBinaryArray) -> np.ndarray:
+    """64-bit hashes of binary values, from where each byte stands, without a Python object for each value."""
+    if not len(values):
+        return np.zeros(0, dtype=np.uint64)
+    offsets = np.frombuffer(values.buffers()[1], dtype=np.int64, count=len(values) + 1, offset=8 * values.offset)
+    data = np.frombuffer(values.buffers()[2] or b"", dtype=np.uint8)[offsets[0]:offsets[-1]].astype(np.uint64)
+    sizes = np.diff(offsets)
+    place = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], sizes)
+    running = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(data + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(1)))])
+    ends = offsets - offsets[0]
+    with np.errstate(over="ignore"):
+        return mix(running[ends[1:]] - running[ends[:-1]] + sizes.astype(np.uint64))

@@ -14,17 +14,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from sliceweave.llm.common import slices, words_of
+from sliceweave.llm.common import bytes_of, hashes_of, runs_of, slices
 from sliceweave.session import materialize
 
-#: Words whose ids a Python worker remembers, about 200 bytes each; beyond that it forgets the half not used for longest.
-KNOWN_WORDS = 400_000
+#: Words whose ids a Python worker remembers, some 35 bytes each; beyond that it forgets the half not used for longest.
+KNOWN_WORDS = 600_000
 #: Numbers by task and length that are sent to all tasks (16 MB); more are joined.
 SENT_LIFTS = 1_000_000
 
 
+# white space parts words; A-Z are lower-cased if the tokenizer does so
+_KIND = np.array([0 if b == 0x20 or 9 <= b <= 13 else 1 for b in range(256)], dtype=np.int8)
+_FOLD = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype=np.uint8)
+
+
 class WordIds:
-    """Ids of words under a tokenizer that never joins text over white space."""
+    """Ids of words under a tokenizer that never joins text over white space. Words are known by 64-bit hashes."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -33,91 +38,104 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bytes = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.tails: dict[str, tuple[int, ...]] = {"": ()}
-        same = lambda text: tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        self.kind = id_kind(path)
+        self.tails: dict[str, list[int]] = {"": []}
+        same = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         self.folds = same("QWERTZ Abc") == same("qwertz abc")
         # a tokenizer that works otherwise sends every word down the plain road
         self.simple = self.folds and all(same(a + b) == self._model(a) + same(b) for a in ("thing", "größe", "añ") for b in ("", ".", ",,"))
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.starts, self.sizes, self.last = (np.zeros(1024, dtype=np.int64) for _ in range(3))
-        self.ids, self.used, self.turn = np.zeros(4096, dtype=np.uint32), 0, 0
-
-    def _forget(self) -> None:
-        """Keep the half of the words that were used last."""
-        known = len(self.index)
-        keep = np.sort(np.argsort(-self.last[:known], kind="stable")[:KNOWN_WORDS // 2])
-        names = list(self.index)
-        self.index = {names[i]: j for j, i in enumerate(keep.tolist())}
-        starts, sizes = self.starts[keep], self.sizes[keep]
-        stops = np.cumsum(sizes)
-        ids = self.ids[np.arange(int(stops[-1])) + np.repeat(starts - (stops - sizes), sizes)]
-        self.last[:len(keep)], self.sizes[:len(keep)], self.starts[:len(keep)] = self.last[keep], sizes, stops - sizes
-        self.ids, self.used = ids, len(ids)
-
-    def _room(self, name: str, size: int) -> None:
-        have = getattr(self, name)
-        if size > len(have):
-            setattr(self, name, np.concatenate([have, np.zeros(max(size, 2 * len(have)) - len(have), dtype=have.dtype)]))
-
-    def _model(self, letters: str) -> tuple[int, ...]:
+        """An empty table: hashes of words in order, and for each where its ids begin, how many there are, and its last use."""
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.starts, self.sizes, self.last = (np.zeros(0, dtype=np.int32) for _ in range(3))
+        self.ids, self.turn = np.zeros(0, dtype=self.kind), 0
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the hashes in the table, and whether they are there."""
+        if not len(self.keys) or not len(hashes):
+            return np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes), dtype=bool)
+        # in order, so that the search goes through the table once
+        order, at = np.argsort(hashes), np.empty(len(hashes), dtype=np.int64)
+        at[order] = np.searchsorted(self.keys, hashes[order])
+        at = np.minimum(at, len(self.keys) - 1)
+        return at, self.keys[at] == hashes
+
+    def _keep(self, places: np.ndarray) -> None:
+        starts, sizes = self.starts[places].astype(np.int64), self.sizes[places]
+        stops = np.cumsum(sizes, dtype=np.int64)
+        self.ids = self.ids[np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(starts - (stops - sizes), sizes)]
+        self.keys, self.sizes, self.last, self.starts = self.keys[places], sizes, self.last[places], (stops - sizes).astype(np.int32)
+
+    def _learn(self, words: list[str], hashes: np.ndarray) -> None:
+        if len(self.keys) + len(words) > KNOWN_WORDS:
+            # the half that was used last stays, and all that is in use
+            many = max(KNOWN_WORDS // 2, int((self.last == self.turn).sum()))
+            self._keep(np.sort(np.argsort(-self.last, kind="stable")[:many]))
+        lists = self.words(words)
+        sizes = np.fromiter(map(len, lists), dtype=np.int32, count=len(lists))
+        flat = np.fromiter((i for ids in lists for i in ids), dtype=self.kind, count=int(sizes.sum()))
+        starts = (len(self.ids) + np.cumsum(sizes, dtype=np.int64) - sizes).astype(np.int32)
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.keys, hashes[order])
+        self.keys = np.insert(self.keys, at, hashes[order])
+        self.starts, self.sizes = np.insert(self.starts, at, starts[order]), np.insert(self.sizes, at, sizes[order])
+        self.last = np.insert(self.last, at, self.turn)
+        self.ids = np.concatenate([self.ids, flat])
+
+    def _model(self, letters: str) -> list[int]:
         spelt = letters if letters.isascii() else self.bytes.pre_tokenize_str(letters)[0][0]
-        return tuple([t.id for t in self.tokenizer.model.tokenize(spelt)])
-
-    def word(self, word: str) -> tuple[int, ...]:
-        """Ids of one word. Lower-case letters with full stops or commas behind them, most of any text, skip the
-        tokenizer's normaliser and splitter, which leave such letters as they are and part them from the marks."""
-        core = word.rstrip(".,")
-        plain = self.simple and core.isalpha() and core.islower() and (core.isascii() or core == core.lower() and is_normalized("NFC", core))
-        if not plain:
-            return tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        at = self.index.get(core)
-        ids = self._model(core) if at is None else tuple(self.ids[self.starts[at]:self.starts[at] + self.sizes[at]].tolist())
-        tail = word[len(core):]
-        if tail not in self.tails:
-            if len(tail) > 3:
-                return tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
-            self.tails[tail] = tuple(self.tokenizer.encode(tail, add_special_tokens=False).ids)
-        return ids + self.tails[tail] if tail else ids
-
-    def numbers(self, words: list[str]) -> np.ndarray:
-        """Places of the words in the tables; unknown words are tokenised first."""
-        if len(self.index) > KNOWN_WORDS:
-            self._forget()
+        return [t.id for t in self.tokenizer.model.tokenize(spelt)]
+
+    def words(self, words: list[str]) -> list[list[int]]:
+        """Ids of words. Lower-case letters with full stops or commas behind them, most of any text, skip the tokenizer's
+        normaliser and splitter, which leave such letters as they are and part them from the marks."""
+        cores = [w.rstrip(".,") for w in words]
+        at, known = self._find(hashes_of(pa.array([c.encode("utf-8") for c in cores], pa.large_binary())))
+        out = []
+        for i, (word, core) in enumerate(zip(words, cores)):
+            tail = word[len(core):]
+            plain = self.simple and len(tail) <= 3 and core.isalpha() and core.islower() and (core.isascii() or core == core.lower() and is_normalized("NFC", core))
+            if not plain:
+                out.append(self.tokenizer.encode(word, add_special_tokens=False).ids)
+                continue
+            if tail and known[i]:
+                ids = self.ids[self.starts[at[i]]:self.starts[at[i]] + self.sizes[at[i]]].tolist()
+            else:
+                ids = self._model(core)
+            if tail not in self.tails:
+                self.tails[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
+            out.append(ids + self.tails[tail])
+        return out
+
+    def numbers(self, words: pa.LargeBinaryArray) -> np.ndarray:
+        """Places of the words in the table; unknown words are tokenised first."""
+        hashes = hashes_of(words)
         self.turn += 1
-        fresh = [w for w in words if w not in self.index]
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at:at + 20_000]
-            lists = [self.word(w) for w in part]
-            sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-            flat = np.fromiter((i for ids in lists for i in ids), dtype=np.uint32, count=int(sizes.sum()))
-            first = len(self.index)
-            for name, size in (("starts", first + len(part)), ("sizes", first + len(part)), ("last", first + len(part)), ("ids", self.used + len(flat))):
-                self._room(name, size)
-            self.starts[first:first + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.sizes[first:first + len(part)] = sizes
-            self.ids[self.used:self.used + len(flat)] = flat
-            self.used += len(flat)
-            self.index.update(zip(part, range(first, first + len(part))))
-        places = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
-        self.last[places] = self.turn
-        return places
+        at, known = self._find(hashes)
+        self.last[at[known]] = self.turn
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            self._learn(words.take(pa.array(fresh)).cast(pa.large_string()).to_pylist(), hashes[fresh])
+            at, _ = self._find(hashes)
+        return at
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, each closed by ``end_id``, and where each text's ids end."""
-        codes, counts, words = words_of(texts, self.folds)
-        places = self.numbers(words)[codes] if len(codes) else np.zeros(0, dtype=np.int64)
+        data, text_ends = bytes_of(texts)
+        data = _FOLD[data] if self.folds else data
+        coded, _, counts = runs_of(data, text_ends, _KIND[data])
+        places = self.numbers(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, dtype=np.int64)
         ends = np.cumsum(counts)
         places = np.insert(places, ends, -1)
         close = places < 0
-        sizes = np.where(close, 1, self.sizes[places])
+        sizes = np.where(close, 1, self.sizes[places] if len(self.sizes) else 0).astype(np.int64)
         stops = np.cumsum(sizes)
-        take = np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(self.starts[places] - (stops - sizes), sizes)
+        take = np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat((self.starts[places] if len(self.starts) else places * 0) - (stops - sizes), sizes)
         last = stops[close] - 1
         take[last] = 0
-        ids = self.ids[take]
+        ids = self.ids[take].astype(np.uint32) if len(self.ids) else np.zeros(len(take), dtype=np.uint32)
         ids[last] = end_id
         return ids, last + 1
 
