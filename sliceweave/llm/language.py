@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from sliceweave.llm.common import mix, slices, words_of
+from sliceweave.llm.common import as_rows, field, mix, slices, words_of
 from sliceweave.session import materialize
 
 #: Trigrams of words are hashed to so many places; a language needs so many documents that declare it, of all rows.
@@ -237,8 +237,8 @@ def of_pages(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: s
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents whose language could not be told."""
+    """``docs`` without the documents whose language could not be told, whatever their other columns are called."""
     judged = of_documents(docs, id_col, text_col, **options)
-    gone = materialize(judged.filter("not accepted").select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key")).distinct())
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.col(text_col)))
-    return keyed.join(gone, keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_anti").drop("_text_key")
+    gone = materialize(judged.filter("not accepted").select(F.col(id_col).alias("id"), "text_key").distinct())
+    same = field(id_col).eqNullSafe(F.col("id")) & (F.xxhash64(field(text_col)) == F.col("text_key"))
+    return as_rows(docs).join(gone, same, "left_anti").select("row.*")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from sliceweave.llm.common import discard, mix, slices, words_of
+from sliceweave.llm.common import KeyFilter, as_rows, discard, field, mix, slices, words_of
 from sliceweave.operators.position import with_position
 from sliceweave.session import materialize
 
@@ -345,17 +345,23 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the least by id (null last) and text hash, one of those alike
-    in both. Texts without shingles stay."""
+    in both. Texts without shingles stay; columns may have any names.
+
+    Rows that go, and those with repeats, are few next to all; a filter of bounded size lets the others pass where they lie.
+    """
     place = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
     keys = materialize(_judged(docs, id_col, text_col).filter("n > 0").groupBy("comp", "id", "text_key").agg(F.count(F.lit(1)).alias("copies")))
     first = keys.groupBy("comp").agg(F.min(place).alias("first"))
-    marked = materialize(keys.join(first, "comp").select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), "copies", (place == F.col("first")).alias("_first")).filter(
-        "copies > 1 or not _first"))
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.col(text_col)))
-    same = keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
-    out = keyed.join(marked, same, "left_anti")
-    repeated = marked.filter("_first").select("_id", "_key")
+    marked = keys.join(first, "comp").select("id", "text_key", "copies", (place == F.col("first")).alias("stays")).filter("copies > 1 or not stays")
+    marked = materialize(marked.withColumn("key", F.xxhash64("id", "text_key")))
+    rows = as_rows(docs)
+    text_key = F.xxhash64(field(text_col))
+    maybe = KeyFilter.of(marked, "key").column(docs.sparkSession, F.xxhash64(field(id_col), text_key))
+    same = field(id_col).eqNullSafe(F.col("id")) & (text_key == F.col("text_key"))
+    out = rows.filter(~maybe).unionByName(rows.filter(maybe).join(marked, same, "left_anti"))
+    repeated = marked.filter("stays").select("id", "text_key")
     if repeated.head(1):
         # rows alike in id and text, of which one stays
-        out = out.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates([id_col, "_text_key"]))
-    return out.drop("_text_key")
+        kept = rows.filter(maybe).join(repeated, same).dropDuplicates(["id", "text_key"])
+        out = out.unionByName(kept.select("row"))
+    return out.select("row.*")
