@@ -148,26 +148,31 @@ def redact(docs: DataFrame, ledger: Ledger, rules: Sequence[Rule] = ALL_RULES, m
            text_col: str = "text") -> DataFrame:
     """``docs`` with every secret replaced by ``mark``; texts without findings stay as they are.
 
-    The ledger's findings say which contents are rewritten. Those are masked rule by rule, in the order of the rules, each
-    on the text that the rules before have left.
+    The ledger's spans are put together where they overlap, so a place that several rules find has one mark, and joined by
+    content; each text is cut at them once. Only texts in which some rule's hint matches can have findings, so only those
+    are shuffled. Null texts stay null, an empty table gives no rows, rows alike are masked alike, and other columns are
+    kept, whatever their names.
     """
-    found = scan(docs, ledger, rules, id_col, text_col).filter(F.size("spans") > 0).select("blob").distinct()
-    dirty = materialize(found.select(F.col("blob").alias("_blob")))
-    keyed = docs.withColumn("_sha", blob_of(F.col(text_col)))
-    joined = keyed.join(dirty, keyed["_sha"] == dirty["_blob"], "left")
-    clean = F.col(text_col)
-    for rule in rules:
-        clean = _masked(clean, rule, mark)
-    text = F.when(F.col("_blob").isNotNull(), clean).otherwise(F.col(text_col))
-    return joined.select(*[text.alias(c) if c == text_col else keyed[c] for c in docs.columns])
-
-
-def _masked(text: Column, rule: Rule, mark: str) -> Column:
-    pattern = F.lit(rule.pattern)
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    kept = F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    new = F.zip_with(hits, kept, lambda h, k: F.when(F.length(k) >= rule.least, F.lit(mark)).otherwise(h))
-    return F.array_join(F.zip_with(F.split(text, rule.pattern, -1), F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    from sliceweave.llm.common import as_rows, field
+
+    scan(docs, ledger, rules, id_col, text_col)
+    kept = ledger.findings().filter(F.col("rule").isin([r.name for r in rules]))
+    # a span that begins before all earlier ones of its text have ended belongs to them
+    ahead = Window.partitionBy("blob").orderBy("start", "stop")
+    apart = (F.col("start") >= F.coalesce(F.max("stop").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("int")
+    runs = kept.withColumn("apart", apart).withColumn("run", F.sum("apart").over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("blob", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    cuts = runs.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
+
+    rows, text = as_rows(docs), field(text_col)
+    hinted = F.coalesce(text, F.lit("")).rlike("|".join(f"(?:{r.hint})" for r in rules))
+    met = rows.filter(hinted).withColumn("blob", blob_of(text)).join(materialize(cuts), "blob", "left")
+    before = lambda i: F.coalesce(F.get("cuts", i - 1)["stop"], F.lit(0))
+    part = lambda c, i: F.concat(text.substr((before(i) + 1).cast("int"), (c["start"] - before(i)).cast("int")), F.lit(mark))
+    last = F.element_at("cuts", -1)["stop"]
+    masked = F.concat(F.array_join(F.transform("cuts", part), ""), text.substr((last + 1).cast("int"), F.length(text)))
+    changed = met.select(F.col("row").withField(f"`{text_col}`", F.when(F.col("cuts").isNull(), text).otherwise(masked)).alias("row"))
+    return rows.filter(~hinted).unionByName(changed).select("row.*")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
