@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 from sliceweave.llm.common import bytes_of, hashes_of, runs_of, slices
 from sliceweave.session import materialize
 
-#: Words whose ids a Python worker remembers, some 35 bytes each; beyond that it forgets the half not used for longest.
+#: Words whose ids a task remembers, some 35 bytes each; beyond that it forgets the half not used for longest.
 KNOWN_WORDS = 600_000
 #: Numbers by task and length that are sent to all tasks (16 MB); more are joined.
 SENT_LIFTS = 1_000_000
@@ -195,6 +195,7 @@ def pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int, id_col
                     short = ids.astype(kind)
                     columns.append(pa.array([short[f:f + n].tobytes() for f, n in zip(first.tolist(), length.tolist())], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+        encoder.clear()  # the worker goes on to other stages, which need the memory
 
     return docs.select(id_col, text_col).mapInArrow(cut, schema)
 
