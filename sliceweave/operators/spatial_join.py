@@ -33,7 +33,8 @@ def candidate_pairs(points: DataFrame, polygons: DataFrame, x: str, y: str, on:
     if not levels:
         levels = [0]
     probes = grid.probe_points(points, F.col(x), F.col(y), levels)
-    joined = probes.join(filed_polygons(polygons, geom), [*on, "_level", "_gx", "_gy"])
+    # edges are many times what the planner takes them for, so they must not be broadcast on its estimate
+    joined = probes.join(filed_polygons(polygons, geom).hint("merge"), [*on, "_level", "_gx", "_gy"])
     boxed = joined.filter(
         (F.col(x) >= F.col("_xmin")) & (F.col(x) <= F.col("_xmax"))
         & (F.col(y) >= F.col("_ymin")) & (F.col(y) <= F.col("_ymax"))
@@ -114,8 +115,9 @@ def counts_per_polygon(points: DataFrame, polygons: DataFrame, polygon_id: str,
     shapes = distinct_shapes(polygons.select(*on, geom, F.col(polygon_id).alias("_shape")), on, "_shape", geom)
     hits = points_within(points, shapes.drop("_copies"), **join)
     per_shape = hits.groupBy(*on, "_shape").agg(*[agg.alias(name) for name, agg in counts.items()])
-    found = shapes.join(per_shape, [*on, "_shape"]).select(*on, geom, *counts)
-    return polygons.join(found, [*on, geom], "left").select(*polygons.columns, *counts)
+    # outlines are too large to be broadcast on the planner's estimate
+    found = shapes.hint("merge").join(per_shape, [*on, "_shape"]).select(*on, geom, *counts)
+    return polygons.join(found.hint("merge"), [*on, geom], "left").select(*polygons.columns, *counts)
 
 
 def transcript_ratio(polygons: DataFrame, nonneuron: DataFrame, neuron: DataFrame, polygon_id: str,
