@@ -23,6 +23,8 @@ FIRST_SHARE = 0.5
 AT_ONCE = 1 << 20
 #: Bytes of text whose candidates a task counts together.
 PART_BYTES = 8 << 20
+#: Phrases whose counts a task holds before it tells them.
+HELD = 1 << 19
 #: Parts of one word are met in so many groups.
 SALTS = 16
 #: A table with a row for each of so many languages is broadcast.
@@ -189,6 +191,36 @@ def possible(found: DataFrame, support: int, languages: int) -> DataFrame:
     return union.join(a_row_per_language(unfound, languages), "lang").filter(F.col("excess") + F.col("most") >= support).select("lang", "key")
 
 
+class Tally:
+    """Counts of phrases of one size over the parts of a task, by their hashes; each is spelt once."""
+
+    def __init__(self):
+        self.keys, self.counts, self.place = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.phrases, self.langs = [], []
+
+    def add(self, words: Words, size: int, at: np.ndarray, keys: np.ndarray) -> None:
+        keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
+        where = np.searchsorted(self.keys, keys)
+        old = where < len(self.keys)
+        old[old] = self.keys[where[old]] == keys[old]
+        self.counts[where[old]] += counts[old]
+        new = at[first[~old]]
+        self.phrases.append(pa.array([words.spelt(i, size) for i in new.tolist()], pa.string()))
+        self.langs.append(words.lang[new])
+        places = len(self.place) + np.arange(len(new))
+        where = where[~old]
+        self.keys, self.counts, self.place = (np.insert(have, where, more) for have, more in ((self.keys, keys[~old]), (self.counts, counts[~old]), (self.place, places)))
+
+    def told(self, size: int, names: pa.Array):
+        phrases, langs = pa.chunked_array(self.phrases, pa.string()), np.concatenate([np.zeros(0, dtype=np.int64), *self.langs])
+        counts = np.empty_like(self.counts)
+        counts[self.place] = self.counts
+        for a in range(0, len(counts), 50_000):
+            n = min(50_000, len(counts) - a)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(langs[a:a + n].astype(np.int64))), phrases.slice(a, n).combine_chunks(), pa.array(np.full(n, size, dtype=np.int32)),
+                                              pa.array(counts[a:a + n])], names=["lang", "phrase", "size", "n"])
+
+
 def exact_counts(texts: DataFrame, candidates: KeyFilter, languages: list[str], longest: int, support: int) -> DataFrame:
     """(lang, phrase, size, n) of all phrases that pass the filter and occur ``support`` times or more, counted by their text."""
     number = {n: i for i, n in enumerate(languages)}
@@ -197,27 +229,27 @@ def exact_counts(texts: DataFrame, candidates: KeyFilter, languages: list[str],
 
     def run(batches):
         test, names = sent.value, pa.array(languages, pa.string())
+        held: dict[int, Tally] = {}
+
+        def told():
+            for size in sorted(held):
+                yield from held.pop(size).told(size, names)
+
         for batch in batches:
             lang = np.fromiter((number[x] for x in batch.column(0).to_pylist()), dtype=np.int32, count=batch.num_rows)
             for a, b in slices(batch.column(1), PART_BYTES):
                 w = Words(batch.column(1).slice(a, b - a), lang[a:b], salts)
-                hits: list[tuple[int, np.ndarray, np.ndarray]] = []
 
                 def thin(size, keys, alive):
                     at = np.flatnonzero(alive)
                     keep = test(keys[at])
                     alive[at[~keep]] = False
-                    hits.append((size, at[keep], keys[at[keep]]))
+                    held.setdefault(size, Tally()).add(w, size, at[keep], keys[at[keep]])
 
                 grow(w.hash, w.joined, longest, thin)
-                for size, at, keys in hits:
-                    _, first, counts = np.unique(keys, return_index=True, return_counts=True)
-                    at = at[first]
-                    for c in range(0, len(at), 50_000):
-                        part = at[c:c + 50_000]
-                        phrase = pa.array([w.spelt(i, size) for i in part.tolist()], pa.string())
-                        yield pa.RecordBatch.from_arrays([names.take(pa.array(w.lang[part].astype(np.int64))), phrase, pa.array(np.full(len(part), size, dtype=np.int32)),
-                                                          pa.array(counts[c:c + 50_000])], names=["lang", "phrase", "size", "n"])
+                if sum(len(t.keys) for t in held.values()) > HELD:
+                    yield from told()
+        yield from told()
 
     local = texts.mapInArrow(run, "lang string, phrase string, size int, n long")
     return local.groupBy("lang", "phrase").agg(F.first("size").alias("size"), F.sum("n").alias("n")).filter(F.col("n") >= support)

@@ -150,6 +150,18 @@ def test_shards_lose_no_phrase(spark, monkeypatch):
     assert sorted(map(tuple, phrases.collocations(given, support=12).collect())) == want
 
 
+def test_a_task_tells_a_phrase_once():
+    """However many parts its texts come in."""
+    salts, tally = np.array([7, 9], dtype=np.uint64), phrases.Tally()
+    for texts, langs in ((["b a b", "c"], [0, 1]), (["a d", "a c b"], [0, 1]), (["d"], [1])):
+        w = phrases.Words(pa.array(texts), np.array(langs, dtype=np.int32), salts)
+        tally.add(w, 1, np.arange(len(w.hash)), w.hash)
+    rows = [r for batch in tally.told(1, pa.array(["en", "fr"])) for r in batch.to_pylist()]
+    assert sorted((r["lang"], r["phrase"], r["size"], r["n"]) for r in rows) == [
+        ("en", "a", 1, 2), ("en", "b", 1, 2), ("en", "d", 1, 1), ("fr", "a", 1, 1), ("fr", "b", 1, 1), ("fr", "c", 1, 2), ("fr", "d", 1, 1)]
+    assert not list(phrases.Tally().told(1, pa.array(["en"])))
+
+
 def test_collocations_beyond_64_bits(spark):
     big = [("en", p, s, n) for p, s, n in (("a b", 2, 4 * 10 ** 12), ("a", 1, 5 * 10 ** 12), ("b", 1, 7 * 10 ** 12))]
     frequent = spark.createDataFrame(big, "lang string, phrase string, size int, n long")
