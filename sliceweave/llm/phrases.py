@@ -17,8 +17,9 @@ from sliceweave.session import materialize
 LONGEST, SUPPORT = 5, 100
 #: Words of a shard, about; a task holds no more than one and a half times as many at once.
 SHARD_WORDS = 8_000_000
-#: The first shard takes this share of its support: what it finds is a candidate, and no other shard tells it again.
-FIRST_SHARE = 0.5
+#: Languages of more shards than this have a first shard, which takes a share of its support: what it finds is a candidate, and
+#: no other shard tells it again.
+FIRST_FROM, FIRST_SHARE = 8, 0.5
 #: Words whose phrases are put together at once.
 AT_ONCE = 1 << 20
 #: Bytes of text whose candidates a task counts together.
@@ -134,13 +135,18 @@ def language_of(lang: Column) -> Column:
     return F.coalesce(lang.cast("string"), F.lit("und"))
 
 
+def language_salts(names: list[str]) -> np.ndarray:
+    """A number per language, mixed once more than words are: a word may be a language's name, and their hashes must not cancel out."""
+    return mix(hash_of_bytes([n.encode("utf-8", "surrogatepass") for n in names]) ^ _FACTOR) if names else np.zeros(0, dtype=np.uint64)
+
+
 def shard_candidates(texts: DataFrame, totals: dict[str, int], longest: int, support: float, known: KeyFilter | None = None) -> DataFrame:
     """(lang, key, excess): what each shard finds at its own support, by how much its count exceeds what an unfound phrase
     may have there; and rows without key, that most itself. A shard's support is to ``support`` as its words to all. What
     ``known`` holds is a candidate already and is not told again."""
     names = sorted(totals)
     number = {n: i for i, n in enumerate(names)}
-    salts = hash_of_bytes([n.encode("utf-8", "surrogatepass") for n in names])
+    salts = language_salts(names)
     all_words = np.array([totals[n] for n in names], dtype=np.int64)
     sent = texts.sparkSession.sparkContext.broadcast(known)  # of bounded size
 
@@ -224,7 +230,7 @@ class Tally:
 def exact_counts(texts: DataFrame, candidates: KeyFilter, languages: list[str], longest: int, support: int) -> DataFrame:
     """(lang, phrase, size, n) of all phrases that pass the filter and occur ``support`` times or more, counted by their text."""
     number = {n: i for i, n in enumerate(languages)}
-    salts = hash_of_bytes([n.encode("utf-8", "surrogatepass") for n in languages])
+    salts = language_salts(languages)
     sent = texts.sparkSession.sparkContext.broadcast(candidates)  # of bounded size
 
     def run(batches):
@@ -255,23 +261,30 @@ def exact_counts(texts: DataFrame, candidates: KeyFilter, languages: list[str],
     return local.groupBy("lang", "phrase").agg(F.first("size").alias("size"), F.sum("n").alias("n")).filter(F.col("n") >= support)
 
 
+def by_language(texts: DataFrame, parts: int) -> DataFrame:
+    """``texts`` in about so many parts of one size, each of few languages: so a phrase is told by the parts of its own language
+    alone, and a shard's support is near the whole one."""
+    return texts.withColumn("_at", F.rand(7)).repartitionByRange(parts, "lang", "_at").drop("_at") if parts > 1 else texts
+
+
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, support: int = SUPPORT, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """Stored tables: (lang, phrase, size, n) of all phrases of 1 to ``longest`` words with ``support`` or more occurrences, and
     (lang, n) of all words, to be broadcast if languages are few."""
     texts = docs.select(language_of(F.col(lang_col)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = materialize(texts.groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit(WORD))).cast("long").alias("n")))
     totals = {r["lang"]: r["n"] for r in words.collect()}
-    words_in_all = sum(totals.values())
-    shards = max(-(-words_in_all // SHARD_WORDS), 1)
+    shards = max(-(-sum(totals.values()) // SHARD_WORDS), 1)
+    dealt = by_language(texts, shards)
+    large = {lang: n for lang, n in totals.items() if n > FIRST_FROM * SHARD_WORDS}
     known = None
-    if shards > 1:
+    if large:
         # a share of the rows, about as large as a shard, tells the common phrases once, so that not every shard has to
-        first = texts.filter(F.rand(5) < SHARD_WORDS / words_in_all).repartition(1)
+        first = texts.filter(F.col("lang").isin(list(large))).filter(F.rand(5) < SHARD_WORDS / sum(large.values())).repartition(1)
         known = materialize(shard_candidates(first, totals, longest, support * FIRST_SHARE).filter("key is not null").select("key"))
-    found = materialize(shard_candidates(texts.coalesce(shards), totals, longest, support, None if known is None else KeyFilter.of(known, "key")))
+    found = materialize(shard_candidates(dealt if shards > 1 else texts.coalesce(1), totals, longest, support, None if known is None else KeyFilter.of(known, "key")))
     keys = possible(found, support, len(totals)).select("key")
     keys = materialize(keys if known is None else keys.unionByName(known))
-    counted = exact_counts(texts, KeyFilter.of(keys, "key"), sorted(totals), longest, support)
+    counted = exact_counts(dealt, KeyFilter.of(keys, "key"), sorted(totals), longest, support)
     return materialize(counted), a_row_per_language(words, len(totals))
 
 

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sliceweave.llm import phrases, quality, resampling
 
@@ -150,6 +151,26 @@ def test_shards_lose_no_phrase(spark, monkeypatch):
     assert sorted(map(tuple, phrases.collocations(given, support=12).collect())) == want
 
 
+def test_words_that_are_names_of_languages(spark):
+    """A word of one language's name in another one is no word of that other's name in the first."""
+    items = [("de", "en de. en fr en"), ("en", "de en en. fr"), ("fr", "fr en. en fr de")] * 30
+    given = spark.createDataFrame(items, "lang string, text string").coalesce(1)
+    frequent, _ = phrases.frequent_phrases(given, support=20)
+    counts = {(r["lang"], r["phrase"]): r["n"] for r in frequent.collect()}
+    assert {k: n for k, n in counts.items() if " " not in k[1]} == {
+        ("de", "en"): 90, ("de", "de"): 30, ("de", "fr"): 30, ("en", "de"): 30, ("en", "en"): 60, ("en", "fr"): 30, ("fr", "fr"): 60, ("fr", "en"): 60, ("fr", "de"): 30}
+    assert sorted(map(tuple, phrases.collocations(given, support=20).collect())) == brute_collocations(items, 20)
+
+
+def test_texts_are_dealt_by_language(spark):
+    """All rows, and a language in the parts of its own share only."""
+    given = spark.createDataFrame([(lang, f"{lang} {i}") for i in range(600) for lang in ("de", "en", "es", "fr")], "lang string, text string").repartition(5)
+    dealt = phrases.by_language(given, 8)
+    parts = {(r["p"], r["lang"]) for r in dealt.select(F.spark_partition_id().alias("p"), "lang").distinct().collect()}
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, given.collect()))
+    assert len({p for p, _ in parts}) >= 4 and len(parts) <= 8 + 3
+
+
 def test_a_task_tells_a_phrase_once():
     """However many parts its texts come in."""
     salts, tally = np.array([7, 9], dtype=np.uint64), phrases.Tally()
