@@ -17,9 +17,8 @@ from sliceweave.session import materialize
 LONGEST, SUPPORT = 5, 100
 #: Words of a shard, about; a task holds no more than one and a half times as many at once.
 SHARD_WORDS = 8_000_000
-#: Languages of more shards than this have a first shard, which takes a share of its support: what it finds is a candidate, and
-#: no other shard tells it again.
-FIRST_FROM, FIRST_SHARE = 8, 0.5
+#: Languages of more shards than this have a first shard: what it finds is a candidate, and no other shard tells it again.
+FIRST_FROM = 8
 #: Words whose phrases are put together at once.
 AT_ONCE = 1 << 20
 #: Bytes of text whose candidates a task counts together.
@@ -280,7 +279,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, support: int = SUP
     if large:
         # a share of the rows, about as large as a shard, tells the common phrases once, so that not every shard has to
         first = texts.filter(F.col("lang").isin(list(large))).filter(F.rand(5) < SHARD_WORDS / sum(large.values())).repartition(1)
-        known = materialize(shard_candidates(first, totals, longest, support * FIRST_SHARE).filter("key is not null").select("key"))
+        known = materialize(shard_candidates(first, totals, longest, support).filter("key is not null").select("key"))
     found = materialize(shard_candidates(dealt if shards > 1 else texts.coalesce(1), totals, longest, support, None if known is None else KeyFilter.of(known, "key")))
     keys = possible(found, support, len(totals)).select("key")
     keys = materialize(keys if known is None else keys.unionByName(known))
@@ -302,7 +301,8 @@ def collocations(docs: DataFrame, longest: int = LONGEST, support: int = SUPPORT
     Null and empty texts have no words, long ones are taken whole, repeated rows count each, ids and other columns are not
     read, an empty table gives no rows. Scores are exact up to 10^15 occurrences of a phrase and 10^17 words.
 
-    Shards are mined by 64-bit hashes, which can only add candidates; the exact count is by the phrases' texts.
+    Shards are mined by 64-bit hashes, which can only add candidates. The exact count adds up by these hashes within a task, so
+    two phrases of a task that share one would be counted as one; between tasks it goes by the phrases' texts.
     """
     frequent, words = frequent_phrases(docs, longest, support, text_col, lang_col)
     parts = F.split("phrase", " ")
