@@ -55,6 +55,8 @@ class KeyFilter:
     fuller one lets more through, which an exact join or count behind it sorts out."""
 
     EACH, MOST = 16, 1 << 28
+    #: Words of 64 bits that reach the driver as one row.
+    BLOCK = 1 << 12
 
     def __init__(self, bits: np.ndarray):
         self.bits, self.mask = bits, np.uint64(64 * len(bits) - 1)
@@ -67,21 +69,38 @@ class KeyFilter:
 
     @classmethod
     def of(cls, keys: DataFrame, column: str) -> KeyFilter:
-        """Bits are set in the tasks and put together by words of 64; at most MOST of them reach the driver."""
+        """Bits are set in the tasks and put together there, first by words of 64, then in blocks of BLOCK words; the driver takes
+        the blocks of one task after the other, MOST bits in all and no row for a word."""
         size, count = 1 << 16, keys.count()
         while size < min(cls.MOST, cls.EACH * count):
             size *= 2
-        mask = np.uint64(size - 1)
+        mask, many = np.uint64(size - 1), cls.BLOCK
 
         def run(frames):
             for frame in frames:
                 k = frame[column].to_numpy().view(np.uint64)
                 yield frame.__class__({"at": np.unique(np.concatenate(list(cls.places(k, mask)))).view(np.int64)})
 
+        def blocks(batches):
+            held: dict[int, np.ndarray] = {}
+            for batch in batches:
+                word, bits = (batch.column(i).to_numpy() for i in (0, 1))
+                order = np.argsort(word, kind="stable")
+                word, bits = word[order], bits[order].view(np.uint64)
+                starts = np.flatnonzero(np.diff(word // many, prepend=-1))
+                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(word)]):
+                    block = held.setdefault(int(word[a]) // many, np.zeros(many, dtype=np.uint64))
+                    block[word[a:b] % many] = bits[a:b]
+            for at, block in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([block.tobytes()], pa.binary())], names=["block", "bits"])
+
         words = keys.select(column).mapInPandas(run, "at long").groupBy(F.shiftright("at", 6).alias("word")).agg(
-            F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
+            F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+        parts = max(1, size // 64 // many // 32)  # of about 32 blocks, 1 MB
         bits = np.zeros(size // 64, dtype=np.uint64)
-        bits[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+        for row in words.repartition(parts, F.floor(F.col("word") / many)).mapInArrow(blocks, "block long, bits binary").toLocalIterator():
+            at = row["block"] * many
+            bits[at:at + many] = np.frombuffer(row["bits"], dtype=np.uint64)[:len(bits) - at]
         return cls(bits)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:

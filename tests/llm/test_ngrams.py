@@ -137,6 +137,34 @@ def test_collocations(spark, cover):
     assert sorted(map(tuple, few.collect())) == brute_collocations(items, 12, cover=cover, top=3)
 
 
+def test_key_filter_sends_blocks(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    sent = []
+
+    def counted(self, *args, f=DataFrame.toLocalIterator, **more):
+        for row in f(self, *args, **more):
+            sent.append(row)
+            yield row
+
+    def refuse(*_, **__):
+        raise AssertionError("a row for each word of bits reaches the driver")
+
+    keys = spark.range(40_000).select(F.xxhash64("id").alias("k"))
+    plain = keys.toPandas()["k"].to_numpy().view(np.uint64)
+    monkeypatch.setattr(phrases.KeyFilter, "BLOCK", 1 << 10)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", counted)
+    monkeypatch.setattr(DataFrame, "toPandas", refuse)
+    monkeypatch.setattr(DataFrame, "collect", refuse)
+    found = phrases.KeyFilter.of(keys, "k")
+    assert 64 * len(found.bits) == 1 << 20 and len(sent) == 16
+    bits = np.zeros(1 << 20, dtype=np.uint8)
+    for at in phrases.KeyFilter.places(plain, np.uint64((1 << 20) - 1)):
+        bits[at.astype(np.int64)] = 1
+    assert np.array_equal(np.packbits(bits, bitorder="little").view(np.uint64), found.bits)
+    assert found(plain).all() and not phrases.KeyFilter.of(keys.limit(0), "k")(plain).any()
+
+
 def test_shards_lose_no_phrase(spark, monkeypatch):
     """Many small shards, whose supports differ, and a filter that lets nearly all through."""
     items = texts_of_phrases()
